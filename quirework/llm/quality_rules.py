@@ -2,8 +2,8 @@
 
 Two histograms of each text, of character classes and of common words, are compared
 with the references of every language by Jensen-Shannon distance (base 2, so 0 to
-1). References are the summed histograms of all documents of a language, gathered
-in one pass over the corpus. A text is rejected if no language has both distances
+1). References are the summed histograms of the documents of a language, gathered
+from the whole corpus. A text is rejected if no language has both distances
 within the limits. Texts shorter than a rule's minimum can't be told from chance,
 and that rule keeps them. The base rules on length and repetition come first.
 
@@ -30,17 +30,17 @@ COMMON_WORDS = {
     "fr": "de la le et les des en un du une que pour est qui par dans sur au pas avec ce il plus ne".split(),
     "es": "de la que el en y los se del las por un no con su una es para al lo como más o pero".split(),
 }
-#: Character classes: white space, a-z, A-Z, digit, sentence mark, symbol, control, beyond ASCII; 8 is none (within a character).
+#: Character classes: white space, a-z and digits, A-Z, sentence mark, symbol, control, beyond ASCII; 7 is none (within a character).
 _MARKS = b".,;:!?'\"()-"
 _CLASS = np.array(
     [
-        0 if b == 32 or 9 <= b <= 13 else 1 if 97 <= b <= 122 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57
-        else 4 if b in _MARKS else 6 if b < 32 or b == 127 else 5 if b < 128 else 8 if b < 192 else 7
+        0 if b == 32 or 9 <= b <= 13 else 1 if 97 <= b <= 122 or 48 <= b <= 57 else 2 if 65 <= b <= 90
+        else 3 if b in _MARKS else 5 if b < 32 or b == 127 else 4 if b < 128 else 7 if b < 192 else 6
         for b in range(256)
     ],
     np.uint8,
 )
-N_CLASSES = 8
+N_CLASSES = 7
 _WORDS = {w.encode(): k for k, w in enumerate(sorted({w for ws in COMMON_WORDS.values() for w in ws}))}
 #: A word as the histogram takes it: A-Z lower-cased, marks and symbols cut off.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 or 48 <= b <= 57 else 32 for b in range(256))
@@ -51,7 +51,7 @@ POOLED = "*"
 
 
 def class_histogram(text: bytes) -> np.ndarray:
-    return np.bincount(_CLASS[np.frombuffer(text, np.uint8)], minlength=9)[:N_CLASSES]
+    return np.bincount(_CLASS[np.frombuffer(text, np.uint8)], minlength=8)[:N_CLASSES]
 
 
 def word_histogram(text: bytes) -> np.ndarray:
@@ -93,32 +93,56 @@ def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.maximum(parts.sum(axis=1), 0) / 2), 0)
 
 
-def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Class and word histograms of all documents, by language.
+def nearest(letters: np.ndarray, words: np.ndarray, refs: list, limits: tuple[float, float], minima: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the reference that fits best, and its two distances; 0 where a text is too short for a rule."""
+    chars, n = letters[:, 1:].sum(axis=1), words.sum(axis=1)
+    by_class = np.array([np.where(chars >= minima[0], js_distance(letters, r[0]), 0) for _, r in refs]).reshape(-1, len(n))
+    by_word = np.array([np.where(n >= minima[1], js_distance(words, r[1]), 0) for _, r in refs]).reshape(-1, len(n))
+    if not refs:
+        return np.full(len(n), -1), np.zeros(len(n)), np.zeros(len(n))
+    best = np.maximum(by_class / limits[0], by_word / limits[1]).argmin(axis=0)
+    line = np.arange(len(n))
+    return best, by_class[best, line], by_word[best, line]
 
+
+def language_references(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", limits: tuple[float, float] = (0.14, 0.46), minima: tuple[int, int] = (200, 100)
+) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Class and word histograms of the documents, by language, in two passes over all of them.
+
+    The second pass leaves out the texts that are beyond the limits from every
+    reference of the first, so that junk doesn't shape what it is measured by.
     Languages without common words of their own, and rows without a language, are
     pooled, so there are never more than five references.
     """
     known = F.col(lang_col).cast("string")
     rows = docs.select(F.when(known.isin(*COMMON_WORDS), known).otherwise(POOLED).alias("lang"), F.col(text_col).cast("string").alias("text"))
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            langs, at = batch.column(0).to_pylist(), 0
-            for part in chunks(batch.column(1)):
-                for text in as_bytes(part):
-                    found = np.concatenate((class_histogram(text), word_histogram(text)))
-                    total[langs[at]] = total.get(langs[at], 0) + found
-                    at += 1
-        for lang, found in total.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(found), "at": np.arange(len(found), dtype=np.int32), "n": found.astype(np.int64)})
-
-    parts = rows.mapInArrow(sums, "lang string, at int, n bigint").groupBy("lang", "at").agg(F.sum("n").alias("n"))
-    out: dict[str, np.ndarray] = {}
-    for r in parts.collect():  # five languages of fewer than 120 numbers
-        out.setdefault(r.lang, np.zeros(N_CLASSES + len(_WORDS) + 1, np.int64))[r.at] = r.n
-    return {k: (v[:N_CLASSES], v[N_CLASSES:]) for k, v in out.items()}
+    def gather(first: list) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[str, np.ndarray] = {}
+            for batch in batches:
+                langs, at = batch.column(0).to_pylist(), 0
+                for part in chunks(batch.column(1)):
+                    texts = as_bytes(part)
+                    letters, words = np.array([class_histogram(x) for x in texts]), np.array([word_histogram(x) for x in texts])
+                    _, by_class, by_word = nearest(letters, words, first, limits, minima)
+                    fits = (by_class <= limits[0]) & (by_word <= limits[1])
+                    for k, found in enumerate(np.concatenate((letters, words), axis=1)):
+                        if fits[k]:
+                            total[langs[at + k]] = total.get(langs[at + k], 0) + found
+                    at += len(texts)
+            for lang, found in total.items():
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(found), "at": np.arange(len(found), dtype=np.int32), "n": found.astype(np.int64)})
+
+        parts = rows.mapInArrow(sums, "lang string, at int, n bigint").groupBy("lang", "at").agg(F.sum("n").alias("n"))
+        out: dict[str, np.ndarray] = {}
+        for r in parts.collect():  # five languages of fewer than 120 numbers
+            out.setdefault(r.lang, np.zeros(N_CLASSES + len(_WORDS) + 1, np.int64))[r.at] = r.n
+        return {k: (v[:N_CLASSES], v[N_CLASSES:]) for k, v in out.items()}
+
+    first = gather([])
+    return first | gather(sorted(first.items()))
 
 
 def quality_rules(
@@ -127,13 +151,14 @@ def quality_rules(
     lang_col: str = "lang",
     references: dict[str, tuple[np.ndarray, np.ndarray]] | None = None,
     class_limit: float = 0.14,
-    word_limit: float = 0.42,
+    word_limit: float = 0.46,
     min_chars: int = 200,
-    min_words: int = 60,
+    min_words: int = 100,
     result_col: str = "quality",
 ) -> DataFrame:
     """``docs`` with a struct: the base counts, base_failed, the distances and language, and kept."""
-    refs = sorted((references or language_references(docs, text_col, lang_col)).items())
+    limits, minima = (class_limit, word_limit), (min_chars, min_words)
+    refs = sorted((references or language_references(docs, text_col, lang_col, limits, minima)).items())
     whole = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     kind = pa.struct([(c, pa.int64()) for c in whole] + [("class_distance", pa.float64()), ("word_distance", pa.float64()), ("nearest", pa.string())])
 
@@ -145,13 +170,9 @@ def quality_rules(
                 texts = as_bytes(part)
                 counts = np.array([base_counts(x) for x in texts], np.int64)
                 letters, words = np.array([class_histogram(x) for x in texts]), np.array([word_histogram(x) for x in texts])
-                # a rule that a text is too short for has nothing to say
-                by_class = np.array([np.where(counts[:, 1] >= min_chars, js_distance(letters, r[0]), 0) for _, r in refs]).reshape(-1, len(texts))
-                by_word = np.array([np.where(counts[:, 0] >= min_words, js_distance(words, r[1]), 0) for _, r in refs]).reshape(-1, len(texts))
-                best = np.maximum(by_class / class_limit, by_word / word_limit).argmin(axis=0) if refs else np.zeros(len(texts), int)
-                line = np.arange(len(texts))
-                columns = [pa.array(counts[:, k]) for k in range(5)] + [pa.array(x[best, line] if refs else np.zeros(len(texts))) for x in (by_class, by_word)]
-                done.append(pa.StructArray.from_arrays([*columns, pa.array([refs[k][0] if refs else None for k in best], pa.string())], fields=list(kind)))
+                best, by_class, by_word = nearest(letters, words, refs, limits, minima)
+                columns = [pa.array(counts[:, k]) for k in range(5)] + [pa.array(by_class), pa.array(by_word)]
+                done.append(pa.StructArray.from_arrays([*columns, pa.array([refs[k][0] if k >= 0 else None for k in best.tolist()], pa.string())], fields=list(kind)))
             yield pa.concat_arrays(done) if done else pa.array([], kind)
 
     name = free_name(docs, "measured")
