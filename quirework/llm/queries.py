@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import decontaminate as _decontaminate
+from quirework.llm import mixing as _mixing
 from quirework.llm import near_dedup as _near_dedup
 from quirework.llm import quality_rules as _quality_rules
 
@@ -41,10 +42,16 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = _mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality_rules": op2_quality_rules,
     "op8_near_dedup": op8_near_dedup,
+    "op9_mix_sources": op9_mix_sources,
 }
 
 SQL: dict[str, str] = {}
