@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import decontaminate as _decontaminate
+from quirework.llm import line_dedup as _line_dedup
 from quirework.llm import mixing as _mixing
 from quirework.llm import near_dedup as _near_dedup
 from quirework.llm import quality_rules as _quality_rules
+from quirework.llm import secret_scan as _secret_scan
+from quirework.llm import warc as _warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +40,35 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance", "nearest")])
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _warc.read_warc(spark, _warc.write_warc(table(spark, sf_dir, "pages")))
+    whole = F.col("record_type") == "response"
+    return records.select(
+        F.when(F.col("record_id") != "", F.col("record_id")).cast("long").alias("page_id"),
+        F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(whole, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = _secret_scan.scan_secrets(table(spark, sf_dir, "documents"), result_col="s")
+    return scanned.select("doc_id", *[c.alias(k) for k, c in _secret_scan.span_columns(F.col("s")).items()])
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _line_dedup.dedup_units(table(spark, sf_dir, "documents"), result_col="r")
+    spans = F.transform("r.removed", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
+    return done.select(
+        "doc_id",
+        F.col("r.n_units").alias("n_units"),
+        F.size("r.removed").cast("long").alias("n_removed"),
+        F.array_join(spans, ",").alias("removed"),
+        F.sha2(F.coalesce("r.text", F.lit("")), 256).alias("clean_sha256"),
+    )
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")
@@ -50,6 +82,9 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality_rules": op2_quality_rules,
+    "op3_warc": op3_warc,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_line_dedup": op6_line_dedup,
     "op8_near_dedup": op8_near_dedup,
     "op9_mix_sources": op9_mix_sources,
 }
@@ -96,3 +131,12 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, t.b FROM r JOIN b
 SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id, min(r.b) = d.doc_id AS kept
 FROM d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+SQL["op3_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT page_id, strlen(html) AS n, sha256(html) AS digest, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+FROM f
+"""
