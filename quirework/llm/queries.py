@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import decontaminate as _decontaminate
+from quirework.llm import langid as _langid
 from quirework.llm import line_dedup as _line_dedup
 from quirework.llm import mixing as _mixing
 from quirework.llm import near_dedup as _near_dedup
 from quirework.llm import quality_rules as _quality_rules
 from quirework.llm import secret_scan as _secret_scan
 from quirework.llm import warc as _warc
+from quirework.llm._shared import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +54,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    langs, prototypes = _langid.language_prototypes(docs.filter(~held_out(F.col("doc_id"))))
+    found = _langid.identify_languages(docs.drop("lang"), langs, prototypes, result_col="l")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("l.lang").alias("lang_pred"), F.col("l.score").alias("score"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = _secret_scan.scan_secrets(table(spark, sf_dir, "documents"), result_col="s")
     return scanned.select("doc_id", *[c.alias(k) for k, c in _secret_scan.span_columns(F.col("s")).items()])
@@ -83,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality_rules": op2_quality_rules,
     "op3_warc": op3_warc,
+    "op4_language_id": op4_language_id,
     "op5_secret_scan": op5_secret_scan,
     "op6_line_dedup": op6_line_dedup,
     "op8_near_dedup": op8_near_dedup,
