@@ -45,6 +45,21 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def only_known(rows: DataFrame, key: str, known: DataFrame, bits: int = 1 << 27) -> DataFrame:
+    """``rows`` without most of those whose ``key`` isn't in ``known``, before a join shuffles them.
+
+    The keys' hashes set bits of a bitmap of at most ``bits`` bits (16 MB), whatever
+    the number of keys; that bound is what allows its broadcast. Keys that share a bit
+    with a known one stay, so the join must still decide.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(bits))
+    maps = known.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map_"))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("map_", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(maps), F.bitmap_bucket_number(bit) == F.col("bucket_"))
+    return found.filter(F.getbit(byte, (at % 8).cast("int")) == 1).drop("bucket_", "map_")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}
@@ -88,3 +103,24 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     shift = np.repeat(starts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
     return np.arange(total, dtype=np.int64) + shift
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """(text, label) of at most ``per_class`` documents of either label, and how many have it.
+
+    Only rows outside the held-out fold count, and only ids whose labels agree. The
+    sample is the lowest by hash of the id, the same on any partitioning; of rows that
+    repeat an id the smallest text is taken.
+    """
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    known = known.groupBy(F.col(id_col).alias("id")).agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("other")).filter("label = other").drop("other")
+    known = stored(known, "labels")
+    totals = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    chosen = None
+    for value in (0, 1):
+        part = known.filter(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(per_class)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    chosen = stored(chosen, "sample")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = texts.join(F.broadcast(chosen), "id")  # 2 * per_class narrow rows at most
+    return found.groupBy("id", "label").agg(F.min("text").alias("text")).select("text", "label"), totals

@@ -15,8 +15,10 @@ from quirework.llm import langid as _langid
 from quirework.llm import line_dedup as _line_dedup
 from quirework.llm import mixing as _mixing
 from quirework.llm import near_dedup as _near_dedup
+from quirework.llm import quality_crf as _quality_crf
 from quirework.llm import quality_rules as _quality_rules
 from quirework.llm import secret_scan as _secret_scan
+from quirework.llm import toxicity as _toxicity
 from quirework.llm import warc as _warc
 from quirework.llm._shared import held_out
 
@@ -78,6 +80,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = _quality_crf.train(docs, table(spark, sf_dir, "labels"))
+    scored = _quality_crf.score_quality(docs, model, result_col="q")
+    score = F.col("q.score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")
@@ -88,6 +98,14 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = _toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = _toxicity.score_toxicity(docs, model, result_col="t")
+    score = F.col("t.score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality_rules": op2_quality_rules,
@@ -95,8 +113,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_secret_scan": op5_secret_scan,
     "op6_line_dedup": op6_line_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_near_dedup": op8_near_dedup,
     "op9_mix_sources": op9_mix_sources,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {}
