@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm._shared import as_bytes, chunks, free_name, mix64, stored
+from quirework.llm._shared import as_bytes, chunks, free_name, mix64, only_known, stored
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -174,20 +174,21 @@ def near_duplicates(
     classes = signed.filter("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
 
-    member = classes.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
+    member = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
     rank: Column = F.xxhash64("id", F.col("band") % ORDERS)
-    centre = (
-        member.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "id", "n")).alias("c"), F.count("*").alias("members")).filter("members > 1").select("bucket", F.col("c.id").alias("a"), F.col("c.n").alias("na"))
-    )
-    pairs = member.drop("band").join(centre, "bucket").filter("id <> a").filter(F.least("n", "na") * 100 >= F.greatest("n", "na") * percent)
+    buckets = member.select("bucket", "id", rank.alias("rank")).groupBy("bucket")
+    centre = buckets.agg(F.min_by("id", "rank").alias("a"), F.count("*").alias("members")).filter("members > 1").select("bucket", "a")
+    centre = stored(centre, "centres")  # most buckets have one member, so little is left
+    pairs = only_known(member.select("bucket", "id"), "bucket", centre).join(centre, "bucket").filter("id <> a")
     # which of two is the centre doesn't matter any more
     pairs = stored(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs")
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = texts.join(ids, "id").select("id", _shingles(width)("text").alias("set"))
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    sets = only_known(texts, "id", ids).join(ids, "id").select("id", _shingles(width)("text").alias("set"))
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    links = both.filter(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    sized = both.filter(F.least(F.size("set_a"), F.size("set_b")) * 100 >= F.greatest(F.size("set_a"), F.size("set_b")) * percent)
+    links = sized.filter(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     found = components(links)
 
     least = classes.select("digest", F.col("id").alias("least")).join(found, F.col("least") == F.col("node"), "left").select("digest", F.coalesce("component", "least").alias("component"))
