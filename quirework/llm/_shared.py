@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task holds as Python objects at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows and bytes of an Arrow batch, at most; one row at least, however long.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +63,20 @@ def only_known(rows: DataFrame, key: str, known: DataFrame, bits: int = 1 << 27)
     return found.filter(F.getbit(byte, (at % 8).cast("int")) == 1).drop("bucket_", "map_")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session sends texts to Python in batches of bounded size.
+
+    Smaller limits that the session has stay.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        said = re.fullmatch(r"(\d+)b?", conf.get(f"spark.sql.execution.arrow.{name}"))  # other units are larger
+        now = int(said[1]) if said else 0
+        if not 0 < now <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+    return df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

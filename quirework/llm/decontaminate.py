@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm._shared import as_bytes, chunks, free_name, ranges
+from quirework.llm._shared import as_bytes, chunks, free_name, ranges, small_batches
 
 #: Words are runs of digits, letters a-z (A-Z lower-cased) and anything beyond ASCII.
 _FOLD = bytes(
@@ -219,7 +219,7 @@ def find_contamination(
                     )
             yield pa.array(rows, kind)
 
-    return docs.withColumn(result_col, search(F.col(text_col).cast("string")))
+    return small_batches(docs).withColumn(result_col, search(F.col(text_col).cast("string")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm._shared import chunks, free_name
+from quirework.llm._shared import chunks, free_name, small_batches
 
 #: Known trigrams that a task keeps the vectors of.
 KEPT = 24_000
@@ -119,7 +119,7 @@ def language_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str =
         for lang, vector in total.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang] * dimensions, "at": np.arange(dimensions, dtype=np.int32), "n": np.broadcast_to(vector, dimensions)})
 
-    rows = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     sums = rows.mapInArrow(bundles, "lang string, at int, n bigint").groupBy("lang", "at").agg(F.sum("n").alias("n"))
     vectors = sums.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("v"))  # one vector a language
     found = vectors.orderBy("lang").limit(most + 1).collect()
@@ -155,4 +155,4 @@ def identify_languages(docs: DataFrame, langs: list[str], prototypes: np.ndarray
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     text = free_name(docs, "whole_text")
-    return docs.withColumn(text, F.col(text_col).cast("string")).withColumn(result_col, identify(F.col(text))).drop(text)
+    return small_batches(docs).withColumn(text, F.col(text_col).cast("string")).withColumn(result_col, identify(F.col(text))).drop(text)

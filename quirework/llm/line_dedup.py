@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm._shared import chunks, free_name, stored
+from quirework.llm._shared import chunks, free_name, small_batches, stored
 
 _CUTS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")}
 _GAPS = re.compile(r"[\W_]+")
@@ -62,7 +62,7 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     text = F.col(text_col).cast("string")
     keys = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(text).alias("text"))
-    cut_up = docs.select(keys.alias("doc"), F.explode(cut(text)).alias("u")).select("doc", "u.start", "u.end", "u.digest")
+    cut_up = small_batches(docs).select(keys.alias("doc"), F.explode(cut(text)).alias("u")).select("doc", "u.start", "u.end", "u.digest")
     cut_up = stored(cut_up, "units")
     first = cut_up.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("times")).filter("times > 1")
     again = cut_up.join(first.select("digest", "first"), "digest").filter(F.struct("doc", "start") != F.col("first"))

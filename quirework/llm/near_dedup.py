@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm._shared import as_bytes, chunks, free_name, mix64, only_known, stored
+from quirework.llm._shared import as_bytes, chunks, free_name, mix64, only_known, small_batches, stored
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -169,7 +169,7 @@ def near_duplicates(
 
     Links hold where 100 * intersection >= ``percent`` * union of the shingle sets.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = stored(texts.select("id", _signature(width, bands, rows)("text").alias("s")).select("id", "s.*"), "signatures")
     classes = signed.filter("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm._shared import as_bytes, chunks, free_name, labelled_sample
+from quirework.llm._shared import as_bytes, chunks, free_name, labelled_sample, small_batches
 
 _KINDS = 8
 #: white space, a-z, A-Z, digit, sentence mark, bang, other symbol, beyond ASCII; 8 is none (within a character).
@@ -188,4 +188,4 @@ def score_quality(docs: DataFrame, model: dict | None, text_col: str = "text", r
             yield pa.array(rows, kind)
 
     whole = free_name(docs, "whole_text")
-    return docs.withColumn(whole, F.col(text_col).cast("string")).withColumn(result_col, score(F.col(whole))).drop(whole)
+    return small_batches(docs).withColumn(whole, F.col(text_col).cast("string")).withColumn(result_col, score(F.col(whole))).drop(whole)

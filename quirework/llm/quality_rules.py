@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm._shared import as_bytes, chunks, free_name
+from quirework.llm._shared import as_bytes, chunks, free_name, small_batches
 
 # The most frequent function words of four languages.
 COMMON_WORDS = {
@@ -116,7 +116,7 @@ def language_references(
     pooled, so there are never more than five references.
     """
     known = F.col(lang_col).cast("string")
-    rows = docs.select(F.when(known.isin(*COMMON_WORDS), known).otherwise(POOLED).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.when(known.isin(*COMMON_WORDS), known).otherwise(POOLED).alias("lang"), F.col(text_col).cast("string").alias("text"))
 
     def gather(first: list) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +180,7 @@ def quality_rules(
     failed = (at["n_words"] < 50) | (100 * at["n_repeat_words"] > 50 * at["n_words"])
     near = (at["class_distance"] <= class_limit) & (at["word_distance"] <= word_limit)
     result = F.struct(*[c.alias(k) for k, c in at.items()], failed.alias("base_failed"), (~failed & near).alias("kept"))
-    return docs.withColumn(name, measure(F.col(text_col).cast("string"))).withColumn(result_col, result).drop(name)
+    return small_batches(docs).withColumn(name, measure(F.col(text_col).cast("string"))).withColumn(result_col, result).drop(name)
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:

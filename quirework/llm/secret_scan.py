@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm._shared import chunks, free_name
+from quirework.llm._shared import chunks, small_batches
 
 #: In the order in which kinds with one start are listed.
 KINDS = ("assign", "access", "hex")
@@ -192,7 +192,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", max_layer_bytes: int =
                 rows += [[dict(zip(("start", "end", "kind", "depth"), x)) for x in scan_layers(t or "", max_layer_bytes)] for t in part.to_pylist()]
             yield pa.array(rows, kind)
 
-    return docs.withColumn(result_col, scan(F.col(text_col).cast("string")))
+    return small_batches(docs).withColumn(result_col, scan(F.col(text_col).cast("string")))
 
 
 def _spans(found: Column) -> Column:
@@ -207,26 +207,25 @@ def span_columns(found: Column) -> dict[str, Column]:
     return counts | {"base_sha256": F.sha2(_spans(base), 256), "spans": _spans(found)}
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", **options) -> DataFrame:
+def masked(text: str, mask: str, max_layer_bytes: int) -> str:
+    """The text with each finding, or run of findings that overlap or touch, replaced by ``mask``."""
+    parts, at = [], 0
+    for start, end, _, _ in scan_layers(text, max_layer_bytes):
+        if start > at or not parts:
+            parts += [text[at:start], mask]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
+def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", max_layer_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` with every span replaced by ``mask``; overlapping or touching spans by one."""
-    name = free_name(docs, "found")
-    found = scan_secrets(docs, text_col, result_col=name, **options)
 
     @F.arrow_udf("string")
-    def cover(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for text, marks in zip(texts.to_pylist(), spans.to_pylist()):
-            if text is None or not marks:
-                out.append(text)
-                continue
-            parts, at = [], 0
-            for m in marks:
-                if m["start"] > at or not parts:
-                    parts += [text[at : m["start"]], mask]
-                at = max(at, m["end"])
-            out.append("".join([*parts, text[at:]]))
-        return pa.array(out, pa.string())
-
-    whole = F.col(text_col).cast("string")
-    clean = F.when(F.size(name) > 0, cover(whole, F.col(name))).otherwise(whole)
-    return found.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in docs.columns])
+    def cover(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out: list[str | None] = []
+            for part in chunks(batch):
+                out += [t and masked(t, mask, max_layer_bytes) for t in part.to_pylist()]
+            yield pa.array(out, pa.string())
+
+    return small_batches(docs).withColumn(text_col, cover(F.col(text_col).cast("string"))).select(*[F.col(f"`{c}`") for c in docs.columns])

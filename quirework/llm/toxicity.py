@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm._shared import as_bytes, chunks, free_name, labelled_sample
+from quirework.llm._shared import as_bytes, chunks, free_name, labelled_sample, small_batches
 
 _SENTENCE = re.compile(rb"[.!?\n]+")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 or 48 <= b <= 57 else 46 if b in b".!?\n" else 32 for b in range(256))
@@ -164,4 +164,4 @@ def score_toxicity(docs: DataFrame, model: dict | None, text_col: str = "text",
             yield pa.array(rows, kind)
 
     whole = free_name(docs, "whole_text")
-    return docs.withColumn(whole, F.col(text_col).cast("string")).withColumn(result_col, score(F.col(whole))).drop(whole)
+    return small_batches(docs).withColumn(whole, F.col(text_col).cast("string")).withColumn(result_col, score(F.col(whole))).drop(whole)

@@ -28,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm._shared import scratch_path, stored
+from quirework.llm._shared import scratch_path, small_batches, stored
 
 MAGIC = b"\x1f\x8b\x08"
 _BLOCK = 1 << 16
@@ -71,7 +71,7 @@ def write_warc(
     """Writes the archives; returns the manifest (path, bytes, records)."""
     directory = directory or scratch_path(pages.sparkSession, "warc")
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    rows = small_batches(pages).select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
     first = rows.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     joined = rows.join(first, "digest", "left")
