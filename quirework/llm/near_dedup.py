@@ -12,9 +12,11 @@ pair is confirmed on the full sets; components of the confirmed links follow by
 alternating large-star and small-star steps.
 
 With 40 bands of 6 rows, two texts of similarity 0.8 share no bucket with a
-probability of 5e-6, and the more similar the less. A star misses a link of two
-members only if neither is the centre of any bucket that holds both, and no chain
-of other links joins them.
+probability of 5e-6, and the more similar the less. A star leaves the pairs of its
+other members undecided. Where those of a bucket lie in several components after
+the stars, all of them go through an exact join by prefix filter (rarest shingles
+first, so a passage that thousands share makes no keys), which decides every pair of
+theirs in different components. So each link of two texts that share a bucket counts.
 
 Rows without words have an empty set and are linked with nothing, as are rows with
 a null id. Rows that repeat an id are one node: the links of each of them count.
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.llm._shared import as_bytes, chunks, free_name, mix64, only_known, small_batches, stored
@@ -156,6 +158,43 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component"))
 
 
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose full sets are similar enough, as (src, dst)."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    sets = only_known(texts, "id", ids).join(ids, "id").select("id", _shingles(width)("text").alias("set"))
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    sized = both.filter(F.least(F.size("set_a"), F.size("set_b")) * 100 >= F.greatest(F.size("set_a"), F.size("set_b")) * percent)
+    return sized.filter(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``sets`` (id, component, set) that hold all links between different components.
+
+    Shingles are ordered by how many sets have them, rarest first. Two sets that are
+    similar enough share one of the first n - ceil(t n) + 1 of the larger and of the
+    first n - ceil(2 t / (1 + t) n) + 1 of the smaller; what can follow after the
+    shared one bounds their intersection.
+    """
+    each = sets.select("id", "component", F.xxhash64("set").alias("row"), F.size("set").cast("long").alias("n"), F.explode("set").alias("h"))
+    shared = each.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1")  # the others come first and meet nothing
+    text = Window.partitionBy("id", "row")
+    place = F.row_number().over(text.orderBy("times", "h")) + F.col("n") - F.count("*").over(text)
+    keys = each.join(shared, "h").withColumn("place", place).filter(f"place <= n - ceil({percent} * n / 100) + 1")
+    keys = stored(keys.select("h", "id", "component", "n", "place"), "keys")
+
+    # couples of components first, so that the many members of one component never meet each other
+    of_key = keys.select("h", "component").distinct()
+    mixed = of_key.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
+    of_key = stored(of_key.join(mixed, "h"), "mixed")
+    couples = of_key.withColumnRenamed("component", "c").join(of_key.withColumnRenamed("component", "d"), "h").filter("c <> d")
+    a = keys.filter(f"place <= n - ceil({2 * percent} * n / {100 + percent}) + 1").select("h", F.col("component").alias("c"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("at_a"))
+    b = keys.select("h", F.col("component").alias("d"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("at_b"))
+    met = couples.join(a, ["h", "c"]).join(b, ["h", "d"]).filter(f"(n_a < n_b or n_a = n_b and a < b) and 100 * n_a >= {percent} * n_b")
+    met = met.filter(f"{100 + percent} * (1 + least(n_a - at_a, n_b - at_b)) >= {percent} * (n_a + n_b)")
+    return stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -179,17 +218,20 @@ def near_duplicates(
     buckets = member.select("bucket", "id", rank.alias("rank")).groupBy("bucket")
     centre = buckets.agg(F.min_by("id", "rank").alias("a"), F.count("*").alias("members")).filter("members > 1").select("bucket", "a")
     centre = stored(centre, "centres")  # most buckets have one member, so little is left
-    pairs = only_known(member.select("bucket", "id"), "bucket", centre).join(centre, "bucket").filter("id <> a")
+    members = stored(only_known(member.select("bucket", "id"), "bucket", centre).join(centre, "bucket").filter("id <> a"), "members")
     # which of two is the centre doesn't matter any more
-    pairs = stored(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs")
-
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    sets = only_known(texts, "id", ids).join(ids, "id").select("id", _shingles(width)("text").alias("set"))
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    sized = both.filter(F.least(F.size("set_a"), F.size("set_b")) * 100 >= F.greatest(F.size("set_a"), F.size("set_b")) * percent)
-    links = sized.filter(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    found = components(links)
+    pairs = stored(members.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs")
+    found = components(_confirmed(pairs, texts, width, percent))
+
+    # the members of one star that are in different components haven't been compared
+    placed = members.join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    several = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
+    rest = stored(placed.join(several, "bucket").select("id", "component").distinct(), "undecided")
+    if not rest.isEmpty():
+        sets = only_known(texts, "id", rest).join(rest, "id").select("id", "component", _shingles(width)("text").alias("set"))
+        sets = stored(sets.filter(F.size("set") > 0).distinct(), "sets")
+        more = _confirmed(_prefix_pairs(sets, percent), texts, width, percent)
+        found = components(found.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more))
 
     least = classes.select("digest", F.col("id").alias("least")).join(found, F.col("least") == F.col("node"), "left").select("digest", F.coalesce("component", "least").alias("component"))
     out = signed.select("id", "n", "digest").join(least, "digest", "left")

@@ -299,6 +299,19 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 9]
 
 
+def test_near_duplicates_within_a_hot_passage(spark):
+    """Two texts are linked though all their buckets are those of a passage that hundreds of others share."""
+    rows, want = [], {}
+    for p in range(3):
+        passage = " ".join(f"p{p}w{k}" for k in range(401))
+        own = [130] * 598 + [20, 20]  # own words are disjoint, so any two share the 400 shingles of the passage
+        rows += [(1000 * p + k, passage + "".join(f" p{p}d{k}w{j}" for j in range(n)), "en", "s", 1) for k, n in enumerate(own)]
+        near = [[100 * 400 >= 80 * (400 + m + n) for m in own] for n in own]
+        assert sum(near[k][j] for k in range(600) for j in range(k)) == 1 and near[598][599]
+        want |= {1000 * p + k: (400 + n, 1000 * p + min(k, 598)) for k, n in enumerate(own)}
+    assert {r.doc_id: (r.n_shingles, r.component) for r in near_dedup.near_duplicates(small(spark, rows), width=2).collect()} == want
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(1000, 1100)] + [(5, 5)]
     got = {r.node: r.component for r in near_dedup.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
