@@ -3,7 +3,8 @@
 Each text is a layer on a worklist. A layer is scanned, and whatever looks encoded
 in it is unwrapped to a new layer: percent and Unicode escapes of the whole layer,
 and each base64 run, whose bytes may be compressed (gzip, zlib, bzip2, xz) to any
-depth. Layers seen before are not entered again, so the work ends at a fixpoint.
+depth. Layers seen before are not entered again, so the work ends at a fixpoint; their
+findings count at every place that holds them.
 Every finding is mapped back to the span of the text that holds it: through escapes
 character by character, through base64 and compression to the whole run.
 
@@ -146,38 +147,58 @@ def unwrapped(run: str, limit: int) -> str | None:
 
 def scan_layers(text: str, max_layer_bytes: int) -> list[tuple[int, int, str, int]]:
     """(start, end, kind, depth) of the findings of all layers, in spans of ``text``; each span and kind once."""
-    found: dict[tuple[int, int, str], int] = {}
-    identity = lambda a, b: (a, b)
-    work, seen = [(text, identity, 0)], {xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))}
-
-    def push(layer: str, to_root, depth: int) -> None:
-        mark = xxhash.xxh3_128_digest(layer.encode("utf-8", "surrogatepass"))
-        if mark not in seen:
-            seen.add(mark)
-            work.append((layer, to_root, depth))
-
-    while work:
-        layer, to_root, depth = work.pop(0)
+    # each distinct layer is entered once; its findings go to every place that holds it, until nothing is new
+    mark = lambda x: xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass"))
+    root = mark(text)
+    found: dict[bytes, dict[tuple[int, int, str], int]] = {root: {}}
+    holders: dict[bytes, list] = {root: []}
+    work = [(root, text)]
+
+    def push(inner: str, holder: bytes, place) -> None:
+        key = mark(inner)
+        if key not in found:
+            found[key], holders[key] = {}, []
+            work.append((key, inner))
+        holders[key].append((holder, place))
+
+    for key, layer in work:
         for start, end, kind in find_secrets(layer):
-            found.setdefault((*to_root(start, end), kind), depth)
+            found[key][start, end, kind] = 0
         if undone := unescaped(layer):
             inner, here, there, width = undone
             sizes = [b - a for a, b in zip(here, [*here[1:], len(inner)])]
 
-            def back(a, b, here=here, there=there, width=width, sizes=sizes, outer=to_root):
+            def back(a, b, here=here, there=there, width=width, sizes=sizes):
                 first, last = bisect_right(here, a) - 1, bisect_right(here, b - 1) - 1
                 # plain stretches map one to one, an escape as a whole
                 start = there[first] + (a - here[first] if sizes[first] == width[first] else 0)
                 end = there[last] + (b - here[last] if sizes[last] == width[last] else width[last])
-                return outer(start, end)
+                return start, end
 
-            push(inner, back, depth + 1)
+            push(inner, key, back)
         if b"x" * 20 in layer.encode("utf-8", "surrogatepass").translate(_RUN_MAP):
             for m in _BASE64.finditer(layer):
                 if (inner := unwrapped(m.group(), max_layer_bytes)) is not None:
-                    root = to_root(m.start(), m.end())
-                    push(inner, lambda a, b, root=root: root, depth + 1)
-    return sorted(((a, b, k, d) for (a, b, k), d in found.items()), key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
+                    push(inner, key, m.span())
+
+    changed = {key for key in found if found[key]}
+    while changed:
+        # inner layers mostly come after those that hold them
+        for key in [k for k, _ in reversed(work) if k in changed]:
+            changed.discard(key)
+            kinds: dict[str, int] = {}
+            for (_, _, kind), depth in found[key].items():
+                kinds[kind] = min(depth, kinds.get(kind, depth))
+            for holder, place in holders[key]:
+                if callable(place):
+                    items = [((*place(a, b), kind), depth) for (a, b, kind), depth in found[key].items()]
+                else:
+                    items = [((*place, kind), depth) for kind, depth in kinds.items()]
+                for item, depth in items:
+                    if depth + 1 < found[holder].get(item, depth + 2):
+                        found[holder][item] = depth + 1
+                        changed.add(holder)
+    return sorted(((a, b, k, d) for (a, b, k), d in found[root].items()), key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", max_layer_bytes: int = 4 << 20, result_col: str = "secrets") -> DataFrame:
