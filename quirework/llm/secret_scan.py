@@ -2,14 +2,14 @@
 
 Each text is a layer on a worklist. A layer is scanned, and whatever looks encoded
 in it is unwrapped to a new layer: percent and Unicode escapes of the whole layer,
-and each base64 run, whose bytes may be compressed (gzip, zlib, bzip2, xz) to any
+and each base64 run, broken into lines or not, whose bytes may be compressed (gzip, zlib, bzip2, xz) to any
 depth. Layers seen before are not entered again, so the work ends at a fixpoint; their
 findings count at every place that holds them.
 Every finding is mapped back to the span of the text that holds it: through escapes
 character by character, through base64 and compression to the whole run.
 
 A decompressed layer may take ``max_layer_bytes``; what would grow beyond (an
-archive bomb) is left as it is. Spans are in code points, end exclusive. Null texts
+archive bomb) is not scanned, nor is xz that takes over 80 MB to decode. Spans are in code points, end exclusive. Null texts
 count as empty. Texts are scanned whole, each row by itself; other columns pass through.
 """
 
@@ -47,7 +47,9 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _HEX_MAP = bytes(120 if 48 <= b <= 57 or 97 <= b <= 102 else 32 for b in range(256))
 _RUN_MAP = bytes(120 if chr(b).isascii() and (chr(b).isalnum() or chr(b) in "+/_-") else 32 for b in range(256))
 _ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")  # the shortest assignment, token=abcdef, takes 16
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_SOLID = re.compile(r"\S+")
 
 
 def find_secrets(text: str) -> list[tuple[int, int, str]]:
@@ -107,29 +109,42 @@ def unescaped(text: str) -> tuple[str, list[int], list[int], list[int]] | None:
     return "".join(out), here, there, width
 
 
-def _inflate(data: bytes, limit: int) -> bytes | None:
+def _engine(data: bytes):
     if data[:2] == b"\x1f\x8b":
-        engine = zlib.decompressobj(31)
-    elif data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2]) % 31 == 0:
-        engine = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        engine = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        engine = lzma.LZMADecompressor(memlimit=64 << 20)
-    else:
-        return None
-    try:
-        out = engine.decompress(data, limit + 1)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=80 << 20)  # the highest preset takes 65 MB
+    return None
+
+
+def _inflate(data: bytes, limit: int) -> bytes | None:
+    """All members of compressed ``data`` and what follows them as it is; None if it isn't compressed or too long."""
+    if _engine(data) is None:
         return None
-    return out if len(out) <= limit else None
+    parts, left = [], limit
+    while data and (engine := _engine(data)):
+        try:
+            part = engine.decompress(data, left + 1)
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            if not parts:
+                return None
+            break
+        if len(part) > left:
+            return None
+        parts.append(part)
+        left -= len(part)
+        data = engine.unused_data
+    return b"".join([*parts, data]) if len(data) <= left else None
 
 
 def unwrapped(run: str, limit: int) -> str | None:
-    """The text in a base64 run, decompressed as often as it is compressed."""
+    """The text in a base64 run, decompressed as often as it is compressed; bytes that aren't UTF-8 are replaced."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
+    body = body[: len(body) - (len(body) % 4 == 1)]
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
@@ -138,11 +153,24 @@ def unwrapped(run: str, limit: int) -> str | None:
     while data not in seen and (inner := _inflate(data, limit)) is not None:
         seen.add(data)
         data = inner
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c.isspace() for c in text) else None
+    return data.decode("utf-8", "replace")
+
+
+def wrapped_runs(layer: str) -> Iterator[tuple[int, int]]:
+    """Spans of base64 that is broken into lines of one length; the first may follow other text, the last be shorter or not belong to it."""
+    for m in _WRAPPED.finditer(layer):
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in _SOLID.finditer(m.group())]
+        size, k = [b - a for a, b in lines], 0
+        while k < len(lines):
+            end = k + 1
+            while end < len(lines) and size[end] == size[k]:
+                end += 1
+            stop = end + (end < len(lines) and size[end] < size[k])
+            for first in {k, max(k - 1, 0)}:
+                for last in {end, stop}:
+                    if last - first > 1:
+                        yield lines[first][0], lines[last - 1][1]
+            k = end
 
 
 def scan_layers(text: str, max_layer_bytes: int) -> list[tuple[int, int, str, int]]:
@@ -176,10 +204,13 @@ def scan_layers(text: str, max_layer_bytes: int) -> list[tuple[int, int, str, in
                 return start, end
 
             push(inner, key, back)
-        if b"x" * 20 in layer.encode("utf-8", "surrogatepass").translate(_RUN_MAP):
+        if b"x" * 16 in layer.encode("utf-8", "surrogatepass").translate(_RUN_MAP):
             for m in _BASE64.finditer(layer):
                 if (inner := unwrapped(m.group(), max_layer_bytes)) is not None:
                     push(inner, key, m.span())
+            for start, end in wrapped_runs(layer):
+                if (inner := unwrapped("".join(layer[start:end].split()), max_layer_bytes)) is not None:
+                    push(inner, key, (start, end))
 
     changed = {key for key in found if found[key]}
     while changed:
