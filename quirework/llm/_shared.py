@@ -48,19 +48,27 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def only_known(rows: DataFrame, key: str, known: DataFrame, bits: int = 1 << 27) -> DataFrame:
-    """``rows`` without most of those whose ``key`` isn't in ``known``, before a join shuffles them.
+def maybe_known(rows: DataFrame, key: str, known: DataFrame, bits: int = 1 << 27) -> DataFrame:
+    """``rows`` with ``known_``: false only where ``key`` isn't in ``known``, true where it is and seldom elsewhere.
 
     The keys' hashes set bits of a bitmap of at most ``bits`` bits (16 MB), whatever
     the number of keys; that bound is what allows its broadcast. Keys that share a bit
-    with a known one stay, so the join must still decide.
+    with a known one are marked too, so a join must still decide.
     """
-    bit = F.pmod(F.xxhash64(key), F.lit(bits))
-    maps = known.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map_"))
-    at = F.bitmap_bit_position(bit)
+
+    def bit_of(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(bits))
+
+    maps = known.select(bit_of(key).alias("bit_")).groupBy(F.bitmap_bucket_number("bit_").alias("bucket_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit_")).alias("map_"))
+    at = F.bitmap_bit_position(bit_of(key))
     byte = F.conv(F.hex(F.substring("map_", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = rows.join(F.broadcast(maps), F.bitmap_bucket_number(bit) == F.col("bucket_"))
-    return found.filter(F.getbit(byte, (at % 8).cast("int")) == 1).drop("bucket_", "map_")
+    found = rows.join(F.broadcast(maps), F.bitmap_bucket_number(bit_of(key)) == F.col("bucket_"), "left")
+    return found.withColumn("known_", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("bucket_", "map_")
+
+
+def only_known(rows: DataFrame, key: str, known: DataFrame, bits: int = 1 << 27) -> DataFrame:
+    """``rows`` without most of those whose ``key`` isn't in ``known``, before a join shuffles them."""
+    return maybe_known(rows, key, known, bits).filter("known_").drop("known_")
 
 
 def small_batches(df: DataFrame) -> DataFrame:

@@ -73,8 +73,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.transform("r.removed", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
     return done.select(
         "doc_id",
-        F.col("r.n_units").alias("n_units"),
         F.size("r.removed").cast("long").alias("n_removed"),
+        F.aggregate("r.removed", F.lit(0).cast("long"), lambda n, x: n + x["words"]).alias("n_words_removed"),
         F.array_join(spans, ",").alias("removed"),
         F.sha2(F.coalesce("r.text", F.lit("")), 256).alias("clean_sha256"),
     )
@@ -170,3 +170,37 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
        CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
 FROM f
 """
+
+SQL["op6_line_dedup"] = r"""
+WITH p AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '(?s).*?(?:\n+|[.!?,;:]+["'')\]]*[\x20\t\r]+|[。！？]+|$)')) AS piece,
+         generate_subscripts(regexp_extract_all(text, '(?s).*?(?:\n+|[.!?,;:]+["'')\]]*[\x20\t\r]+|[。！？]+|$)'), 1) AS i
+  FROM documents),
+q AS (
+  SELECT doc_id, i, piece, regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w,
+         sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS stop
+  FROM p WHERE length(piece) > 0),
+u AS (
+  SELECT *, row_number() OVER d AS k, sum(n) OVER d AS upto FROM (
+    SELECT doc_id, i, stop - length(piece) AS start, stop, array_to_string(w, ' ') AS norm,
+           len(w) + len(regexp_extract_all(piece, '[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3041}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}]')) AS n
+    FROM q WHERE len(w) > 0)
+  WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+s AS (
+  SELECT a.doc_id, a.k, a.start, a.upto - a.n AS w0, min(b.k) AS e FROM u a JOIN u b ON b.doc_id = a.doc_id AND b.k BETWEEN a.k AND a.k + 9
+  WHERE b.upto >= a.upto - a.n + 10 GROUP BY ALL),
+keyed AS (
+  SELECT s.doc_id, s.k, s.start, s.w0, string_agg(c.norm, ' ' ORDER BY c.k) AS key, max(c.stop) AS stop, max(c.upto) AS w1
+  FROM s JOIN u c ON c.doc_id = s.doc_id AND c.k BETWEEN s.k AND s.e GROUP BY ALL),
+m AS (SELECT * FROM (SELECT *, min(doc_id) OVER (PARTITION BY key) AS first FROM keyed) WHERE first < doc_id),
+g AS (SELECT *, CASE WHEN w0 > coalesce(max(w1) OVER (PARTITION BY doc_id ORDER BY w0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS head FROM m),
+h AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY w0) AS run FROM g),
+r AS (SELECT doc_id, min(start) AS a, max(stop) AS b, max(w1) - min(w0) AS n FROM h GROUP BY doc_id, run HAVING max(w1) - min(w0) >= 40),
+spans AS (SELECT doc_id, count(*) AS n_removed, sum(n) AS n_words, string_agg(a || ':' || b, ',' ORDER BY a) AS removed FROM r GROUP BY ALL),
+clean AS (
+  SELECT doc_id, string_agg(piece, '' ORDER BY i) AS text FROM q
+  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = q.doc_id AND r.a <= q.stop - length(q.piece) AND q.stop <= r.b) GROUP BY ALL)
+SELECT d.doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words_removed, coalesce(removed, '') AS removed,
+       sha256(coalesce(clean.text, '')) AS clean_sha256
+FROM documents d LEFT JOIN spans USING (doc_id) LEFT JOIN clean USING (doc_id)
+"""

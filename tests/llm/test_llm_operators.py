@@ -225,28 +225,71 @@ def test_redaction_masks_spans_and_keeps_columns(spark):
 # 6 lines
 
 
+def naive_removed(rows, key_words=10, run_words=40):
+    """Spans by plain loops: documents in order, each unit with those after it looked up among all earlier documents' words."""
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows, key=lambda r: r[0]):
+        units, at = [], 0
+        for piece in re.split(r"(?<=\n)(?!\n)|(?<=[.!?,;:]\x20)(?!\x20)|(?<=[。！？])(?![。！？])", text or ""):
+            words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), piece))
+            if words:
+                units.append((at, at + len(piece), words, len(words) + len(re.findall("[\u3041-\u30ff\u3400-\u9fff]", piece))))
+            at += len(piece)
+        marked, mine = [False] * len(units), set()
+        for k in range(len(units)):
+            stop, n = k, 0
+            while stop < len(units) and n < key_words:
+                n, stop = n + units[stop][3], stop + 1
+            if n >= key_words:
+                key = " ".join(w for u in units[k:stop] for w in u[2])
+                mine.add(key)
+                if key in seen:
+                    marked[k:stop] = [True] * (stop - k)
+        seen |= mine
+        runs, k = [], 0
+        while k < len(units):
+            stop = k
+            while stop < len(units) and marked[stop]:
+                stop += 1
+            if sum(u[3] for u in units[k:stop]) >= run_words:
+                runs.append((units[k][0], units[stop - 1][1]))
+            k = max(stop, k + 1)
+        out[doc_id] = runs
+    return out
+
+
+PASSAGE = "It began with a long, slow rain; nobody knew why. " + ", ".join(f"then place number {k} was under water" for k in range(9)) + ".\n"
+VERSE = "".join(f"short line {k}\n" for k in range(20))
+HAN = "".join(chr(0x4E00 + 37 * k % 5000) + ("。" if k % 9 == 8 else "") for k in range(90)) + "\n"
+
+
 def test_line_dedup_equals_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in documents(spark, sf_dir).select("doc_id", "text").collect()]
-    seen, want = set(), {}
-    for doc_id, text in sorted(rows):
-        at, gone = 0, []
-        for line in (text or "").split("\n"):
-            end = min(at + len(line) + 1, len(text or ""))
-            key = " ".join(re.sub(r"[\W_]+", " ", line.casefold()).split())
-            if len(key.split()) >= 5:
-                if key in seen:
-                    gone.append((at, end))
-                seen.add(key)
-            at = end
-        want[doc_id] = gone
-    done = line_dedup.dedup_units(documents(spark, sf_dir), result_col="r").collect()
-    assert {r.doc_id: [tuple(x) for x in r.r.removed] for r in done} == want
+    rows += [(90_000 + k, f"text {k} alone.\n{part}end {k}") for part in (PASSAGE, VERSE, HAN) for k in (len(part), len(part) + 1)]
+    docs = small(spark, [(*r, None, None, None) for r in rows])
+    got = {r.doc_id: [(x.start, x.end) for x in r.r.removed] for r in line_dedup.dedup_units(docs, result_col="r").collect()}
+    assert got == naive_removed(rows)
+    assert all(got[90_000 + len(part) + 1] and not got[90_000 + len(part)] for part in (PASSAGE, VERSE, HAN))
+
+
+def test_line_dedup_of_a_hot_passage(spark, monkeypatch):
+    """Digests with many rows are joined apart, with the same result."""
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", 10)
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", 100)
+    rows = [(k, f"only {k} here\n{PASSAGE if k % 3 else VERSE}{k}") for k in range(300)]
+    got = {r.doc_id: [(x.start, x.end) for x in r.r.removed] for r in line_dedup.dedup_units(small(spark, [(*r, None, None, None) for r in rows]), result_col="r").collect()}
+    assert got == naive_removed(rows) and sum(map(bool, got.values())) == 298
 
 
 def test_line_dedup_of_odd_rows(spark):
-    docs = small(spark, [*ODD, (30, "One two, THREE four five!\nrest", "en", "a", 1), (31, "x\none two three four five", "en", "a", 1)])
-    got = {(r.doc_id, r.r.text) for r in line_dedup.dedup_units(docs, result_col="r").collect()}
-    assert {(1, None), (2, ""), (30, "One two, THREE four five!\nrest"), (31, "x\n"), (None, "")} <= got
+    docs = small(spark, [*ODD, (30, PASSAGE + "rest", "en", "a", 1), (31, "x\n" + PASSAGE.upper(), "en", "a", 1), (32, PASSAGE + "y\n" + PASSAGE, "en", "a", 1)])
+    got = {(r.doc_id, r.dedup.text) for r in line_dedup.dedup_units(docs).collect()}
+    # 5 stands twice and is one document; 6 and 7 are one long unit each, and not the same
+    assert {(1, None), (2, ""), (5, "one"), (30, PASSAGE + "rest"), (31, "x\n"), (32, "y\n"), (6, LONG)} <= got
+    twice = small(spark, [(1, PASSAGE + "y\n" + PASSAGE, "en", "a", 1)])
+    assert [r.r.text for r in line_dedup.dedup_units(twice, result_col="r").collect()] == [PASSAGE + "y\n" + PASSAGE]
+    assert [r.r.text for r in line_dedup.dedup_units(twice, result_col="r", within=True).collect()] == [PASSAGE + "y\n"]
+    assert line_dedup.dedup_units(docs.limit(0)).count() == 0
 
 
 # 7 quality
