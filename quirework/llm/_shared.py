@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 #: Rows and bytes of an Arrow batch, at most; one row at least, however long.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: A key with more rows than this, and more than one in HOT_SHARE of all rows, is joined by broadcast.
+HOT_ROWS, HOT_SHARE = 1000, 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,6 +73,19 @@ def only_known(rows: DataFrame, key: str, known: DataFrame, bits: int = 1 << 27)
     return maybe_known(rows, key, known, bits).filter("known_").drop("known_")
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``counted`` on ``key``, without a task that gets all rows of a frequent key.
+
+    ``counted`` has a row a key and how many of the ``total`` rows have it (``times``, which
+    is dropped). Keys with more than HOT_ROWS rows and more than one in HOT_SHARE of all are
+    HOT_SHARE at most, so they are broadcast; the others are joined by a shuffle.
+    """
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    hot, cold = counted.filter(F.col("times") > limit).drop("times"), counted.filter(F.col("times") <= limit).drop("times")
+    rare = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rare.join(cold, key).unionByName(rows.join(F.broadcast(hot), key))
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``; from now on its session sends texts to Python in batches of bounded size.
 

@@ -27,14 +27,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm._shared import chunks, free_name, maybe_known, small_batches, stored
+from quirework.llm._shared import chunks, free_name, join_counted, maybe_known, only_known, small_batches, stored
 
 _CUTS = {"line": re.compile(r"\n+|[.!?,;:]+[\"')\]]*[\x20\t\r]+|[。！？]+"), "paragraph": re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")}
 #: Words are runs of a-z, digits and anything beyond ASCII.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _UNSPACED = re.compile("[฀-໿က-႟ក-៿ぁ-ヿ㐀-鿿豈-﫿]")
-#: Digests of more rows than this, and than a hundred-thousandth of all, are joined apart.
-HOT_ROWS, HOT_SHARE = 1000, 100_000
 
 
 def units(text: str, unit: str) -> Iterator[tuple[int, int, bytes, int]]:
@@ -91,13 +89,8 @@ def _again(found: DataFrame, within: bool) -> DataFrame:
     rank = F.struct("doc", "w0") if within else F.struct("doc")
     first = found.select("digest", rank.alias("r")).groupBy("digest").agg(F.min("r").alias("first"), F.max("r").alias("last"), F.count("*").alias("times"))
     first = stored(first.filter("first <> last").select("digest", "first", "times"), "first")
-    # rows of one digest would meet in one task; those of which there are too many are few by number, so they can go out
-    limit = max(HOT_ROWS, found.count() // HOT_SHARE)
-    hot = first.filter(F.col("times") > limit).drop("times")  # HOT_SHARE rows at most
-    rows = found.withColumn("r", rank)
-    cold = maybe_known(rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti"), "digest", first).filter("known_").drop("known_")
-    both = rows.join(F.broadcast(hot), "digest").unionByName(cold.join(first.filter(F.col("times") <= limit).drop("times"), "digest"))
-    return both.filter("r <> first").drop("r", "first", "digest")
+    rows = only_known(found.withColumn("r", rank), "digest", first)
+    return join_counted(rows, first, "digest", found.count()).filter("r <> first").drop("r", "first", "digest")
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", key_words: int = 10, run_words: int = 40, within: bool = False) -> DataFrame:

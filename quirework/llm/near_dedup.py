@@ -17,6 +17,9 @@ other members undecided. Where those of a bucket lie in several components after
 the stars, all of them go through an exact join by prefix filter (rarest shingles
 first, so a passage that thousands share makes no keys), which decides every pair of
 theirs in different components. So each link of two texts that share a bucket counts.
+Keys that few sets have give candidate pairs; the sets of a frequent key meet in
+blocks of bounded size, where a matrix product counts what they share and only links
+that join two components come out.
 
 Rows without words have an empty set and are linked with nothing, as are rows with
 a null id. Rows that repeat an id are one node: the links of each of them count.
@@ -33,12 +36,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.llm._shared import as_bytes, chunks, free_name, mix64, only_known, small_batches, stored
+from quirework.llm._shared import as_bytes, chunks, free_name, join_counted, mix64, only_known, ranges, small_batches, stored
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: Orders from which the centres of buckets are taken.
 ORDERS = 8
+#: Sets of a key that are paired row by row; sets and shingles of a block beyond that.
+FEW, BLOCK_SETS, BLOCK_SHINGLES = 128, 1024, 1 << 20
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -142,15 +147,16 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
 
+    def minima(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("src").agg(F.min("dst").alias("m"), F.count("*").alias("times"))
+
     now = stored(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), name)
     before, after = None, mark(now)
     while before != after:
         both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
-        large = both.join(least, "src").filter("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
-        large = stored(large, name)
-        least = large.groupBy("src").agg(F.min("dst").alias("m"))
-        small = large.join(least, "src").select(
+        least = minima(both).withColumn("m", F.least("src", "m"))
+        large = stored(join_counted(both, least, "src", 2 * after[0]).filter("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct(), name)
+        small = join_counted(large, minima(large), "src", after[0]).select(
             F.explode(F.array(F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")), F.struct("src", F.col("m").alias("dst")))).alias("e")
         )
         now = stored(small.select("e.*").filter("src <> dst").distinct(), name)
@@ -168,31 +174,124 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return sized.filter(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``sets`` (id, component, set) that hold all links between different components.
+def _prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """Keys (h, id, component, row, n, place) of ``sets`` (id, component, row, set): two sets that are similar enough share one.
 
-    Shingles are ordered by how many sets have them, rarest first. Two sets that are
-    similar enough share one of the first n - ceil(t n) + 1 of the larger and of the
-    first n - ceil(2 t / (1 + t) n) + 1 of the smaller; what can follow after the
-    shared one bounds their intersection.
+    Shingles are ordered by how many sets have them, rarest first. Sets share one of
+    the first n - ceil(t n) + 1 of the larger and of the first n - ceil(2 t / (1 + t) n) + 1
+    of the smaller. Keys within one component are left out.
     """
-    each = sets.select("id", "component", F.xxhash64("set").alias("row"), F.size("set").cast("long").alias("n"), F.explode("set").alias("h"))
-    shared = each.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1")  # the others come first and meet nothing
+    each = stored(sets.select("id", "component", "row", F.size("set").cast("long").alias("n"), F.explode("set").alias("h")), "shingles")
+    shared = each.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1").withColumn("often", F.col("times"))  # the others come first and meet nothing
     text = Window.partitionBy("id", "row")
-    place = F.row_number().over(text.orderBy("times", "h")) + F.col("n") - F.count("*").over(text)
-    keys = each.join(shared, "h").withColumn("place", place).filter(f"place <= n - ceil({percent} * n / 100) + 1")
-    keys = stored(keys.select("h", "id", "component", "n", "place"), "keys")
-
-    # couples of components first, so that the many members of one component never meet each other
-    of_key = keys.select("h", "component").distinct()
-    mixed = of_key.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
-    of_key = stored(of_key.join(mixed, "h"), "mixed")
-    couples = of_key.withColumnRenamed("component", "c").join(of_key.withColumnRenamed("component", "d"), "h").filter("c <> d")
-    a = keys.filter(f"place <= n - ceil({2 * percent} * n / {100 + percent}) + 1").select("h", F.col("component").alias("c"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("at_a"))
-    b = keys.select("h", F.col("component").alias("d"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("at_b"))
-    met = couples.join(a, ["h", "c"]).join(b, ["h", "d"]).filter(f"(n_a < n_b or n_a = n_b and a < b) and 100 * n_a >= {percent} * n_b")
-    met = met.filter(f"{100 + percent} * (1 + least(n_a - at_a, n_b - at_b)) >= {percent} * (n_a + n_b)")
-    return stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
+    place = F.row_number().over(text.orderBy("often", "h")) + F.col("n") - F.count("*").over(text)
+    keys = join_counted(each, shared, "h", each.count()).withColumn("place", place).filter(f"place <= n - ceil({percent} * n / 100) + 1").drop("often")
+    keys = stored(keys, "keys")
+    mixed = keys.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("times"), F.sum("n").alias("shingles"))
+    mixed = stored(mixed.filter("low <> high").select("h", "times", F.col("times").alias("many"), "shingles"), "mixed")
+    return stored(join_counted(keys, mixed, "h", keys.count()), "mixed_keys")
+
+
+def _few_pairs(keys: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of the keys that FEW sets have at most; what can follow after the shared shingle bounds their intersection."""
+    found = keys.filter(f"many <= {FEW}").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("n", "id", "component", "place"))).alias("s"))
+
+    def may(x: Column, y: Column) -> Column:  # x isn't the larger
+        first = x["place"] <= x["n"] - F.ceil(2 * percent * x["n"] / (100 + percent)) + 1
+        rest = (100 + percent) * (1 + F.least(x["n"] - x["place"], y["n"] - y["place"])) >= percent * (x["n"] + y["n"])
+        return (x["component"] != y["component"]) & (100 * x["n"] >= percent * y["n"]) & first & rest
+
+    def partners(x: Column, k: Column) -> Column:
+        others = F.filter(F.slice("s", k + 2, F.size("s")), lambda y: may(x, y))
+        return F.transform(others, lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))
+
+    return found.select(F.explode(F.flatten(F.transform("s", partners))).alias("p")).select("p.*").distinct()
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of ``a`` shares with each of ``b``; sets have distinct elements."""
+    flat = np.concatenate([*a, *b])
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    _, number, times = np.unique(flat, return_inverse=True, return_counts=True)
+    out = np.zeros((len(a), len(b)), np.int64)
+    order = np.argsort(number, kind="stable")
+    row, start = row[order], np.concatenate(([0], np.cumsum(times)))
+    rare = np.flatnonzero((times > 1) & (times <= 16))
+    for n in range(2, 17):  # all pairs of the few rows that have an element
+        of = rare[times[rare] == n]
+        rows = row[start[of][:, None] + np.arange(n)]
+        for i in range(n):
+            for j in range(i + 1, n):
+                left, right = np.minimum(rows[:, i], rows[:, j]), np.maximum(rows[:, i], rows[:, j])
+                across = (left < len(a)) & (right >= len(a))
+                np.add.at(out, (left[across], right[across] - len(a)), 1)
+    often = np.flatnonzero(times > 16)
+    for k in range(0, len(often), 2048):
+        of = often[k : k + 2048]
+        dense = np.zeros((len(a) + len(b), len(of)), np.float32)
+        dense[row[ranges(start[of], times[of])], np.repeat(np.arange(len(of)), times[of])] = 1
+        out += (dense[: len(a)] @ dense[len(a) :].T).astype(np.int64)
+    return out
+
+
+def joining_links(links: np.ndarray, of_a: list, of_b: list) -> list[tuple[int, int]]:
+    """Of the ``links`` (row, column) as many as join components that weren't joined by those before."""
+    root: dict = {}
+
+    def find(x):
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for i, j in links.tolist():
+        x, y = find(of_a[i]), find(of_b[j])
+        if x != y:
+            root[x] = y
+            out.append((i, j))
+    return out
+
+
+def _block_links(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (src, dst) between components among the sets of each key that more than FEW have.
+
+    A key's sets are dealt to blocks by hash; each two blocks meet in one task.
+    """
+    id_type = sets.schema["id"].dataType.simpleString()
+    blocks = F.greatest(F.ceil(F.col("many") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    dealt = keys.filter(f"many > {FEW}").select("h", "id", "row", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("id", "row"), blocks).cast("int").alias("mine"))
+    # a set is on the left of the meetings with later blocks and on the right of those with earlier ones; with its own it is on both
+    other = F.sequence(F.lit(0), F.col("blocks") - 1)
+    sides = F.flatten(
+        F.transform(
+            other,
+            lambda k: F.when(k == F.col("mine"), F.array(F.struct(k.alias("i"), k.alias("j"), F.lit(0).alias("side")), F.struct(k.alias("i"), k.alias("j"), F.lit(1).alias("side"))))
+            .when(k > F.col("mine"), F.array(F.struct(F.col("mine").alias("i"), k.alias("j"), F.lit(0).alias("side"))))
+            .otherwise(F.array(F.struct(k.alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side")))),
+        )
+    )
+    meetings = dealt.select("h", "id", "row", "component", F.explode(sides).alias("m")).select("h", "m.i", "m.j", "m.side", "id", "row", "component")
+    full = meetings.join(sets.select("id", "row", "set"), ["id", "row"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        ids, components_, found = table.column("id").to_pylist(), table.column("component").to_pylist(), table.column("set").combine_chunks()
+        ends = found.offsets.to_numpy()
+        flat = found.values.to_numpy()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b = ([flat[ends[k] : ends[k + 1]] for k in at.tolist()] for at in (left, right))
+        links = np.zeros((0, 2), np.int64)
+        if a and b:
+            common = common_counts(a, b)
+            sizes = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :]
+            links = np.argwhere(100 * common >= percent * (sizes - common))
+        chosen = joining_links(links, [components_[k] for k in left.tolist()], [components_[k] for k in right.tolist()])
+        src, dst = ([ids[at[p[k]]] for p in chosen] for k, at in enumerate((left.tolist(), right.tolist())))
+        kind = table.schema.field("id").type
+        return pa.table({"src": pa.array(src, kind), "dst": pa.array(dst, kind)})
+
+    return full.groupBy("h", "i", "j").applyInArrow(meet, f"src {id_type}, dst {id_type}")
 
 
 def near_duplicates(
@@ -210,33 +309,37 @@ def near_duplicates(
     """
     texts = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = stored(texts.select("id", _signature(width, bands, rows)("text").alias("s")).select("id", "s.*"), "signatures")
-    classes = signed.filter("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = signed.filter("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("times"))
     classes = stored(classes, "classes")
 
     member = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
     rank: Column = F.xxhash64("id", F.col("band") % ORDERS)
     buckets = member.select("bucket", "id", rank.alias("rank")).groupBy("bucket")
-    centre = buckets.agg(F.min_by("id", "rank").alias("a"), F.count("*").alias("members")).filter("members > 1").select("bucket", "a")
+    centre = buckets.agg(F.min_by("id", "rank").alias("a"), F.count("*").alias("times")).filter("times > 1")
     centre = stored(centre, "centres")  # most buckets have one member, so little is left
-    members = stored(only_known(member.select("bucket", "id"), "bucket", centre).join(centre, "bucket").filter("id <> a"), "members")
+    total = centre.agg(F.sum("times")).first()[0] or 0
+    members = stored(join_counted(only_known(member.select("bucket", "id"), "bucket", centre), centre, "bucket", total).filter("id <> a"), "members")
     # which of two is the centre doesn't matter any more
     pairs = stored(members.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs")
     found = components(_confirmed(pairs, texts, width, percent))
 
     # the members of one star that are in different components haven't been compared
     placed = members.join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    several = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-    rest = stored(placed.join(several, "bucket").select("id", "component").distinct(), "undecided")
+    several = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("times")).filter("low <> high").select("bucket", "times")
+    rest = stored(join_counted(placed, several, "bucket", total).select("id", "component").distinct(), "undecided")
     if not rest.isEmpty():
         sets = only_known(texts, "id", rest).join(rest, "id").select("id", "component", _shingles(width)("text").alias("set"))
-        sets = stored(sets.filter(F.size("set") > 0).distinct(), "sets")
-        more = _confirmed(_prefix_pairs(sets, percent), texts, width, percent)
+        sets = stored(sets.filter(F.size("set") > 0).withColumn("row", F.xxhash64("set")).distinct(), "sets")
+        keys = _prefix_keys(sets, percent)
+        more = _confirmed(stored(_few_pairs(keys, percent), "few"), texts, width, percent).unionByName(_block_links(keys, sets, percent))
         found = components(found.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more))
 
-    least = classes.select("digest", F.col("id").alias("least")).join(found, F.col("least") == F.col("node"), "left").select("digest", F.coalesce("component", "least").alias("component"))
-    out = signed.select("id", "n", "digest").join(least, "digest", "left")
-    component = F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    least = classes.select("digest", "times", F.col("id").alias("least")).join(found, F.col("least") == F.col("node"), "left").select("digest", "times", F.coalesce("component", "least").alias("component"))
+    alone = F.col("digest").isNull() | F.col("id").isNull()
+    linked = join_counted(signed.filter(~alone).select("id", "n", "digest"), least, "digest", signed.count())
+    out = linked.select("id", "n", "component").unionByName(signed.filter(alone).select("id", "n", F.col("id").alias("component")))
+    kept = F.coalesce(F.col("component") == F.col("id"), F.lit(True))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component", kept.alias("kept"))
 
 
 def near_deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -14,7 +14,7 @@ import urllib.parse
 import numpy as np
 import pytest
 
-from quirework.llm import decontaminate, langid, line_dedup, mixing, near_dedup, quality_crf, quality_rules, secret_scan, toxicity, warc
+from quirework.llm import _shared, decontaminate, langid, line_dedup, mixing, near_dedup, quality_crf, quality_rules, secret_scan, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{k % 977}" for k in range(60_000))
@@ -274,8 +274,8 @@ def test_line_dedup_equals_brute_force(spark, sf_dir):
 
 def test_line_dedup_of_a_hot_passage(spark, monkeypatch):
     """Digests with many rows are joined apart, with the same result."""
-    monkeypatch.setattr(line_dedup, "HOT_ROWS", 10)
-    monkeypatch.setattr(line_dedup, "HOT_SHARE", 100)
+    monkeypatch.setattr(_shared, "HOT_ROWS", 10)
+    monkeypatch.setattr(_shared, "HOT_SHARE", 100)
     rows = [(k, f"only {k} here\n{PASSAGE if k % 3 else VERSE}{k}") for k in range(300)]
     got = {r.doc_id: [(x.start, x.end) for x in r.r.removed] for r in line_dedup.dedup_units(small(spark, [(*r, None, None, None) for r in rows]), result_col="r").collect()}
     assert got == naive_removed(rows) and sum(map(bool, got.values())) == 298
@@ -383,6 +383,29 @@ def test_near_duplicates_within_a_hot_passage(spark):
     assert {r.doc_id: (r.n_shingles, r.component) for r in near_dedup.near_duplicates(small(spark, rows), width=2).collect()} == want
 
 
+def test_common_counts_equal_brute_force():
+    rng = np.random.default_rng(2)
+    a, b = ([np.array(sorted(rng.choice(300, n, replace=False))) for n in (0, 1, 40, 200)] + [np.arange(k, k + 30) for k in range(m)] for m in (40, 25))
+    assert near_dedup.common_counts(a, b).tolist() == [[len({*x.tolist()} & {*y.tolist()}) for y in b] for x in a]
+
+
+@pytest.mark.parametrize(("few", "sets", "shingles"), [(128, 1024, 1 << 20), (4, 16, 1 << 20), (2, 1024, 900)])
+def test_near_duplicates_within_a_group_of_edited_copies(spark, monkeypatch, few, sets, shingles):
+    """Copies with as many edits that many pairs are just below or above the limit; keys in pairs, and in blocks of either bound."""
+    for name, value in (("FEW", few), ("BLOCK_SETS", sets), ("BLOCK_SHINGLES", shingles)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for k in range(90):
+        words = list(base)
+        for at in rng.choice(100, 2 + k % 4, replace=False):
+            words[at] = f"edit{k}x{at}"
+        rows.append((k, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component) for r in near_dedup.near_duplicates(small(spark, [(*r, None, None, None) for r in rows]), width=2).collect()}
+    assert got == naive_components(rows, 2) and 1 < len({c for _, c in got.values()}) < 90
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(1000, 1100)] + [(5, 5)]
     got = {r.node: r.component for r in near_dedup.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
