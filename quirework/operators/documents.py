@@ -6,10 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.functions.text import chunk_title, identity, stripped
+from quirework.operators.ordering import numbered
 
 _HEADING = re.compile(r"^(#{1,6})[ \t\n\f\r]+(.+?)[ \t\n\f\r]*#*[ \t\n\f\r]*$")
 _FENCES = ("```", "~~~")
@@ -163,16 +164,12 @@ def pack_episodes(chunks: DataFrame, by: str, order: list[str], text: str, limit
 def stride_sample(rows: DataFrame, order: list[str], most: int) -> DataFrame:
     """``most`` rows evenly spread over the sorted rows: positions ``floor(i * n / most)``.
 
-    Positions come from a range partitioning with an offset per partition, so no task numbers all rows.
+    Positions come from ranges with an offset each, so no task numbers all rows.
     """
     n = rows.count()
     if n <= most:
         return rows
-    ranged = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("part_", F.spark_partition_id())
-    within = ranged.withColumn("row_", F.row_number().over(Window.partitionBy("part_").orderBy(*order)) - 1)
-    sizes = within.groupBy("part_").agg(F.count("*").alias("size_"))
-    before = sizes.withColumn("before_", F.coalesce(F.sum("size_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    at = within.join(F.broadcast(before), "part_").withColumn("at_", F.col("row_") + F.col("before_"))  # a row a partition
+    at = numbered(rows, [F.col(c) for c in order], "at_")
     # position p is taken if some i has floor(i * n / most) = p
     i = F.ceil(F.col("at_") * most / n)
     return at.filter((F.floor(i * n / most) == F.col("at_")) & (i < most)).select(*rows.columns)

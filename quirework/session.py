@@ -1,8 +1,11 @@
-"""A session with the settings the engine expects."""
+"""A session with the settings the engine expects, and the folder that its executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **settings: str) -> SparkSession:
@@ -13,3 +16,30 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     for name, value in settings.items():
         builder = builder.config(name.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where the session has none, one is made and set if all run on this machine; on a
+    cluster that is an error, as executors would write to disks that others can't read.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="quirework-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_dir(spark)}/quirework-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
