@@ -490,6 +490,61 @@ def test_mix_meets_its_targets(spark, sf_dir):
     assert len(rates) == 1
 
 
+def test_mix_misses_by_a_small_document(spark):
+    """Against the median document of the source, though some are fifty times as large."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sizes, rows = collections.defaultdict(list), mixing.mix_sources(docs).collect()
+    for r in rows:
+        sizes[r.source].append(r)
+    within = [abs(sum(r.size * r.copies for r in of) - of[0].target) <= float(np.median([r.size for r in of])) for of in sizes.values()]
+    assert sum(within) >= 0.9 * len(within)
+
+
+def naive_targets(sizes, weights=mixing.WEIGHTS, share=1.5, most=2.0):
+    """Resharing the excess by hand, a round at a time."""
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    target, open_, left = dict.fromkeys(order, 0.0), set(order), share * sum(sizes.values())
+    while open_:
+        t = left / sum(weight[s] for s in open_)
+        above = {s for s in open_ if t * weight[s] > most * sizes[s]}
+        if not above:
+            return target | {s: t * weight[s] for s in open_}
+        for s in above:
+            target[s] = most * sizes[s]
+            left -= target[s]
+        open_ -= above
+    return target
+
+
+def test_targets_equal_resharing_by_hand(spark):
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 7, 60):
+        sizes = {f"s{k}": int(rng.integers(0, 10 ** int(rng.integers(1, 6)))) for k in range(n)} | {None: 40}
+        found = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()
+        assert {r.source: r.target for r in found} == pytest.approx(naive_targets(sizes))
+
+
+def test_settling_keeps_words_and_expectations(spark):
+    from pyspark.sql import functions as F
+
+    sizes, p = [900, 400, 300, 90, 80, 70, 60, 50, 40, 30], [0.3] * 5 + [0.6, 0.1, 0.9, 0.5, 0.3]
+    copies = 4000  # each source has its own coins
+    units = spark.range(copies).select(F.col("id").cast("string").alias("source"), F.posexplode(F.array(*[F.struct(F.lit(s).cast("long").alias("size"), F.lit(x).alias("p")) for s, x in zip(sizes, p)])).alias("k", "u"), "id")
+    units = units.select((F.col("id") * 10 + F.col("k")).alias("key"), "source", "u.size", "u.p")
+    for n in range(3):
+        units = mixing._settled(units, F.lit(n))
+    rows = units.collect()
+    words, mean = collections.Counter(), np.zeros(10)
+    for r in rows:
+        words[r.source] += r.p * r.size
+        mean[r.key % 10] += r.p / copies
+        assert 0 <= r.p <= 1
+    assert all(v == pytest.approx(sum(a * b for a, b in zip(sizes, p))) for v in words.values())
+    assert np.abs(mean - p).max() < 0.03
+    assert all(r.p in (0, 1) for r in rows if r.size == 900)
+
+
 def test_mix_of_odd_rows(spark):
     docs = small(spark, ODD)
     got = mixing.mix_sources(docs).collect()
