@@ -6,7 +6,7 @@ linked by transition weights. Forward-backward gives the marginal of each line,
 the score of a document is the mean of the marginals of good, weighted by length.
 
 The field is fitted on a bounded sample of labelled documents (``per_class`` of each
-label, at most), whose lines all carry the label of their document; documents count
+label and ``max_lines`` lines of each, at most), whose lines all carry the label of their document; documents count
 by how often their label occurs. Features are gathered by tasks, and only they come to the driver.
 
 Null and empty texts are one empty line and get a score like any other. Each row is
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,68 +72,81 @@ def features(measures: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return near + np.arange(3 * MEASURES) * (BINS + 1)
 
 
-def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of lines as (document, line), longest first, and the order of the documents."""
-    sizes = np.array([len(r) for r in rows])
-    order = np.argsort(-sizes, kind="stable")
-    return order, sizes[order]
+def _scan(m: np.ndarray, longest: int) -> np.ndarray:
+    """Products of the 2 x 2 matrices up to each place, each scaled by its largest entry, by doubling.
+
+    A matrix whose rows are equal forgets what came before it, so texts follow one another.
+    """
+    m = m / m.max(axis=(0, 1))
+    reach = 1
+    while reach < longest:
+        left, right = m[:, :, :-reach], m[:, :, reach:]
+        product = np.empty_like(right)
+        for a in (0, 1):
+            for b in (0, 1):
+                product[a, b] = left[a, 0] * right[0, b] + left[a, 1] * right[1, b]
+        product /= product.max(axis=(0, 1))
+        m = np.concatenate((m[:, :, :reach], product), axis=2)
+        reach *= 2
+    return m
+
+
+def forward_backward(score: np.ndarray, sizes: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For lines of texts of the ``sizes``, one after another: the probability of good, and those of each pair of labels.
+
+    ``score`` is that of good against bad. Pairs are (label, label of the next line, line); of a last line they have no meaning.
+    """
+    n = len(score)
+    if not n:
+        return np.zeros(0), np.zeros((2, 2, 0))
+    last = np.cumsum(sizes) - 1
+    emit = np.exp(np.stack((np.minimum(0, -score), np.minimum(0, score))).clip(-60))  # the larger of the two is 1
+    step = np.exp(transition - transition.max())[:, :, None] * emit[None]  # into each line
+    start = step.copy()
+    start[:, :, np.concatenate(([0], last[:-1] + 1))] = emit[None, :, np.concatenate(([0], last[:-1] + 1))]
+    longest = int(sizes.max())
+    forward = _scan(start, longest)[0]
+    onward = np.concatenate((step[:, :, 1:], np.ones((2, 2, 1))), axis=2)  # out of each line
+    onward[:, :, last] = 1
+    # the same from the end: products from each line on are those of the transposed matrices, in reverse
+    backward = _scan(onward.transpose(1, 0, 2)[:, :, ::-1], longest)[0, :, ::-1]
+    both = forward * backward
+    pairs = forward[:, None] * onward * np.concatenate((backward[:, 1:], backward[:, :1]), axis=1)[None]
+    return both[1] / both.sum(axis=0), pairs / pairs.sum(axis=(0, 1))
 
 
 def marginals(emission: list[np.ndarray], transition: np.ndarray) -> list[np.ndarray]:
     """The probability of good (label 1) for each line; emission is its score of good against bad."""
-    order, sizes = _padded(emission)
-    longest = int(sizes[0]) if len(sizes) else 0
-    score = np.zeros((len(sizes), longest))
-    for row, k in enumerate(order):
-        score[row, : sizes[row]] = emission[k]
-    live = np.searchsorted(-sizes, -np.arange(1, longest + 1), side="right")  # documents with a line at each place
-    shift = transition[None]
-    forward, backward = np.zeros((len(sizes), longest, 2)), np.zeros((len(sizes), longest, 2))
-
-    def emit(at: int, n: int) -> np.ndarray:
-        return np.stack((np.zeros(n), score[:n, at]), axis=1)
-
-    for at in range(longest):
-        n = live[at]
-        forward[:n, at] = emit(at, n) + (np.logaddexp.reduce(forward[:n, at - 1, :, None] + shift, axis=1) if at else 0)
-        forward[:n, at] -= forward[:n, at].max(axis=1, keepdims=True)
-    for at in range(longest - 2, -1, -1):
-        n = live[at + 1]
-        backward[:n, at] = np.logaddexp.reduce((emit(at + 1, n) + backward[:n, at + 1])[:, None, :] + shift, axis=2)
-        backward[:n, at] -= backward[:n, at].max(axis=1, keepdims=True)
-    both = forward + backward
-    good = 1 / (1 + np.exp(np.clip(both[:, :, 0] - both[:, :, 1], -60, 60)))
-    out: list[np.ndarray] = [np.zeros(0)] * len(emission)
-    for row, k in enumerate(order):
-        out[k] = good[row, : sizes[row]]
-    return out
+    if not emission:
+        return []
+    sizes = np.array([len(x) for x in emission])
+    return np.split(forward_backward(np.concatenate(emission), sizes, transition)[0], np.cumsum(sizes)[:-1])
 
 
-def fit(lines: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds: int = 120, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """(emission weights with the bias last, transition weights) by gradient ascent on the weighted likelihood.
-
-    The gradient is what is observed less what forward-backward expects. As the labels
-    of a document agree, what a transition expects is taken from the marginals of its two lines.
-    """
-    flat, sizes = np.concatenate(lines), np.array([len(x) for x in lines])
-    of_doc = np.repeat(np.arange(len(lines)), sizes)
+def gradient(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, weights: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the weighted mean log-likelihood a line, for the emission weights (the bias last) and the transition weights: observed less expected."""
+    of_doc = np.repeat(np.arange(len(sizes)), sizes)
     # a document counts once, however many lines it has
     pull = (weights / weights.sum() / sizes)[of_doc]
-    want = labels[of_doc].astype(np.float64)
+    want = labels[of_doc]
+    p, pairs = forward_backward(w[flat].sum(axis=1) + w[-1], sizes, t)
+    off = pull * (want - p)
+    g = np.bincount(flat.ravel(), np.repeat(off, flat.shape[1]), len(w))
+    g[-1] += off.sum()
     inner = np.flatnonzero(of_doc[1:] == of_doc[:-1])
-    cuts = np.cumsum(sizes)[:-1]
+    gt = -(pairs[:, :, inner] * pull[inner]).sum(axis=2)
+    for label in (0, 1):  # the labels of a document agree
+        gt[label, label] += pull[inner][want[inner] == label].sum()
+    return g, gt
+
+
+def fit(lines: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds: int = 120, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """(emission weights with the bias last, transition weights) by gradient ascent on the weighted likelihood."""
+    flat, sizes = np.concatenate(lines), np.array([len(x) for x in lines])
     w, t = np.zeros(FEATURES + 1), np.zeros((2, 2))
     m, v = np.zeros(FEATURES + 5), np.zeros(FEATURES + 5)
     for step in range(1, rounds + 1):
-        p = np.concatenate(marginals(np.split(w[flat].sum(axis=1) + w[-1], cuts), t))
-        off = pull * (want - p)
-        g = np.bincount(flat.ravel(), np.repeat(off, flat.shape[1]), FEATURES + 1)
-        g[-1] = off.sum()
-        gt = np.zeros((2, 2))
-        for a in (0, 1):
-            for b in (0, 1):
-                seen = (want[inner] == a) & (want[inner + 1] == b)
-                gt[a, b] = (pull[inner] * (seen - np.where(a, p[inner], 1 - p[inner]) * np.where(b, p[inner + 1], 1 - p[inner + 1]))).sum()
+        g, gt = gradient(flat, sizes, labels, weights, w, t)
         g = np.concatenate((g - decay * w / len(w), (gt - 0.05 * t).ravel()))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -140,14 +154,21 @@ def fit(lines: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds
     return w, t
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
-    """The fitted field, from a sample of ``per_class`` documents of each label at most; None without both labels."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, max_lines: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
+    """The fitted field, from a sample of ``per_class`` documents of each label at most; None without both labels.
+
+    Of a document with more than ``max_lines`` lines as many are learned from, from a place given by the hash of its text.
+    """
     sample, totals = labelled_sample(docs, labels, label, per_class, id_col, text_col)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [line_measures(t) for t in as_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_pydict({"m": [m.astype(np.float32).tobytes() for m, _ in rows], "label": batch.column(1)})
+            rows = []
+            for text in as_bytes(batch.column(0)):
+                found = line_measures(text)[0].astype(np.float32)
+                at = xxhash.xxh3_64_intdigest(text) % max(1, len(found) - max_lines + 1)
+                rows.append(found[at : at + max_lines].tobytes())
+            yield pa.RecordBatch.from_pydict({"m": rows, "label": batch.column(1)})
 
     rows = sample.mapInArrow(measure, "m binary, label int").collect()
     if {r.label for r in rows} != {0, 1}:
@@ -177,11 +198,7 @@ def score_quality(docs: DataFrame, model: dict | None, text_col: str = "text", r
                     continue
                 found = [line_measures(t) for t in as_bytes(part)]
                 emission = [model["weights"][features(m, model["edges"])].sum(axis=1) + model["weights"][-1] for m, _ in found]
-                longest = np.array([len(x) for x in emission])
-                out: list = [None] * len(found)
-                for group in np.array_split(np.argsort(longest, kind="stable"), max(1, len(found) // 64)):  # texts of like length together
-                    for k, p in zip(group, marginals([emission[k] for k in group], model["transition"])):
-                        out[k] = p
+                out = marginals(emission, model["transition"])
                 for (_, chars), p in zip(found, out):
                     by = chars + 1e-9
                     rows.append({"score": float((p * by).sum() / by.sum()), "lines": p.tolist() if lines else None})
