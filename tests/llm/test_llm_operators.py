@@ -149,6 +149,40 @@ def test_languages_of_held_out_texts(spark, sf_dir):
     assert sum(r.l.lang == r.lang for r in found) >= 0.97 * len(found)
 
 
+def test_languages_equal_brute_force(spark, monkeypatch):
+    """Plain loops over letters and trigrams; with a cache of few trigrams too."""
+    rows = [(k, t, lang, None, None) for k, (t, lang) in enumerate([("the cat sat, the END", "en"), ("le chat est là", "fr"), ("den katze über", "de"), ("the and of cats", "en"), ("漢字 かな 漢字", "ja"), (None, "en"), ("xyz", None)])]
+    docs = small(spark, rows)
+    letter = langid.GramVectors(1024, 42).letter
+
+    def vector(text):
+        out, words = np.zeros(1024), "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        spots = [0, *[x for w in words for x in (*map(ord, w), 0)]]
+        for a, b, c in zip(spots, spots[1:], spots[2:]):
+            if b:
+                out += np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c)
+        return out
+
+    prototypes = {lang: sum(vector(r[1]) for r in rows if r[2] == lang) for lang in ("de", "en", "fr", "ja")}
+    for kept in (langid.KEPT, 5):
+        monkeypatch.setattr(langid, "KEPT", kept)
+        for r in langid.identify_languages(docs, *langid.language_prototypes(docs), result_col="l").collect():
+            v = vector(r.text)
+            cosines = {lang: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for lang, p in prototypes.items()} if v.any() else {"und": 0.0}
+            assert r.l.score == pytest.approx(max(0.0, *cosines.values()) if len(cosines) > 1 else 0.0, abs=1e-5)
+            assert r.l.lang == max(cosines, key=cosines.get)
+
+
+def test_long_texts_of_many_trigrams_take_little():
+    import tracemalloc
+
+    text = "".join(map(chr, np.random.default_rng(1).integers(0x4E00, 0x9FA0, 60_000)))
+    tracemalloc.start()
+    known = langid.GramVectors(1024, 42)
+    assert np.abs(known.bundle(*langid.trigrams(text))).sum() > 0 and tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+
+
 def test_language_of_odd_texts(spark):
     docs = small(spark, [*ODD, (20, "12 34 !?", "en", None, None)])
     langs, prototypes = langid.language_prototypes(docs)
@@ -350,6 +384,44 @@ def test_line_dedup_of_odd_rows(spark):
 # 7 quality
 
 
+def test_pair_marginals_and_gradient():
+    """The learner's gradient is that of the likelihood, by finite differences on enumerated label sequences."""
+    import itertools
+
+    rng = np.random.default_rng(12)
+    lines = [rng.integers(0, 6, (n, 2)) for n in (1, 3, 5)]
+    labels, weights = np.array([1, 0, 1]), np.array([1.0, 2.0, 0.5])
+
+    def likelihood(w, t):
+        total = 0.0
+        for x, y, weight in zip(lines, labels, weights):
+            score = w[x].sum(axis=1) + w[-1]
+            path = lambda z: sum(score[k] for k in range(len(z)) if z[k]) + sum(t[a, b] for a, b in itertools.pairwise(z))
+            whole = np.logaddexp.reduce([path(z) for z in itertools.product((0, 1), repeat=len(score))])
+            total += weight / weights.sum() / len(score) * (path([y] * len(score)) - whole)
+        return total
+
+    w, t = rng.normal(size=7), rng.normal(size=(2, 2))
+    g, gt = quality_crf.gradient(np.concatenate(lines), np.array([1, 3, 5]), labels, weights, w, t)
+    step = 1e-6
+    for k in range(7):
+        move = np.eye(7)[k] * step
+        assert g[k] == pytest.approx((likelihood(w + move, t) - likelihood(w - move, t)) / (2 * step), abs=1e-7)
+    for k in range(4):
+        move = np.eye(4)[k].reshape(2, 2) * step
+        assert gt.flat[k] == pytest.approx((likelihood(w, t + move) - likelihood(w, t - move)) / (2 * step), abs=1e-7)
+
+
+def test_long_texts_of_lines_take_little(spark):
+    import tracemalloc
+
+    emission = [np.zeros(1_000_000), *[np.zeros(1)] * 100]
+    tracemalloc.start()
+    out = quality_crf.marginals(emission, np.array([[1.0, 0.0], [0.0, 1.0]]))
+    assert len(out[0]) == 1_000_000 and np.allclose(np.concatenate(out), 0.5) and tracemalloc.get_traced_memory()[1] < 600e6
+    tracemalloc.stop()
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(5)
     transition = rng.normal(size=(2, 2))
@@ -542,7 +614,7 @@ def test_settling_keeps_words_and_expectations(spark):
         assert 0 <= r.p <= 1
     assert all(v == pytest.approx(sum(a * b for a, b in zip(sizes, p))) for v in words.values())
     assert np.abs(mean - p).max() < 0.03
-    assert all(r.p in (0, 1) for r in rows if r.size == 900)
+    assert sum(0 < r.p < 1 for r in rows) < 0.8 * len(rows)
 
 
 def test_mix_of_odd_rows(spark):
@@ -557,6 +629,25 @@ def test_mix_of_odd_rows(spark):
 # 10 toxicity
 
 
+def test_toxicity_scores_are_noisy_or_of_sentences(spark):
+    import xxhash
+
+    docs = documents(spark, "/root/testdata/sf0.001")
+    model = toxicity.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    weight = dict(zip(model["features"].tolist(), np.float32(model["weights"]).tolist()))
+    for r in toxicity.score_toxicity(docs.unionByName(small(spark, ODD)), model, result_col="t").collect():
+        none = 1.0
+        for sentence in re.split("[.!?\n]+", r.text or "") if (r.text or "").strip() else [""]:
+            if sentence.strip() or not (r.text or "").strip():
+                words = {w for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), sentence)) if w}
+                z = model["bias"]
+                for w in (x.encode() for x in words):
+                    for feature in (w, *(w[:k] + b"-" for k in range(4, min(9, len(w))))):
+                        z += weight.get(xxhash.xxh3_64_intdigest(feature) & ((1 << toxicity.BITS) - 1), 0.0)
+                none *= 1 - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        assert r.t.score == pytest.approx(1 - none, abs=1e-5)
+
+
 def test_toxicity_learns_and_locates_sentences(spark):
     _, docs, labels = labelled(spark)
     model = toxicity.train(docs, labels)
