@@ -25,23 +25,22 @@ def search_terms(text: Column) -> Column:
     camel-case parts. Terms are lower case. Null has none.
     """
 
-    def of_word(word: Column) -> Column:
-        parts = F.filter(F.split(word, r"[._/\-]"), lambda p: p != "")
-        plain = (F.size(parts) == 1) & (F.size(F.split(word, _CAMEL)) == 1)
-        none = F.array().cast("array<string>")
-
-        def of_part(part: Column) -> Column:
-            camel = F.split(part, _CAMEL)
-            whole = F.when(F.size(parts) > 1, F.array(F.lower(part))).otherwise(none)
-            return F.concat(whole, F.when(F.size(camel) > 1, F.transform(camel, F.lower)).otherwise(none))
-
-        alone = F.when(F.lower(word).isin(STOPWORDS), none).otherwise(F.array(F.lower(word)))
-        return F.when(plain, alone).otherwise(F.concat(F.array(F.lower(word)), F.flatten(F.transform(parts, of_part))))
-
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([\p{L}\p{Nd}._/\-]+)"), F.lit(1))
-    words = F.filter(F.transform(found, lambda w: F.regexp_replace(w, r"^[._/\-]+|[._/\-]+$", "")), lambda w: w != "")
-    terms = F.flatten(F.transform(words, of_word))
-    return F.filter(terms, lambda t: F.octet_length(t).between(*TERM_BYTES))
+    none = F.array().cast("array<string>")
+
+    def of_part(part: Column, several: Column) -> Column:
+        camel = F.transform(F.split(part, _CAMEL), F.lower)
+        return F.concat(F.when(several, F.array(F.lower(part))).otherwise(none), F.when(F.size(camel) > 1, camel).otherwise(none))
+
+    def of_identifier(word: Column) -> Column:
+        parts = F.split(word, r"[._/\-]+")
+        return F.concat(F.array(F.lower(word)), F.flatten(F.transform(parts, lambda p: of_part(p, F.size(parts) > 1))))
+
+    def of_word(word: Column) -> Column:  # most words are plain and stop at the first test
+        lower = F.lower(word)
+        return F.when(word.rlike(r"[._/\-]|\p{Ll}\p{Lu}|\p{Lu}\p{Lu}\p{Ll}"), of_identifier(word)).when(lower.isin(STOPWORDS), none).otherwise(F.array(lower))
+
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{Nd}](?:[\p{L}\p{Nd}._/\-]*[\p{L}\p{Nd}])?"), F.lit(0))
+    return F.filter(F.flatten(F.transform(words, of_word)), lambda t: F.octet_length(t).between(*TERM_BYTES))
 
 
 def word_set(text: Column) -> Column:

@@ -7,13 +7,18 @@ of the scope alone. Ranks are by score, highest first, then by id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quirework.functions.text import search_terms
+from quirework.session import scratch_path
 
 K1, B = 1.2, 0.75
 #: Scores are compared at this many decimals, so that the order of summation doesn't decide.
@@ -42,79 +47,129 @@ def top_k(hits: DataFrame, by: list[str], k: int, order: list[str] | None = None
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25(tokens: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+class Index(NamedTuple):
+    """Postings (bucket, scope, term, id, length, tf), written once; each chunk has one more, of the empty term, with its length."""
+
+    postings: DataFrame
+    buckets: int
+
+
+def _bucket(scope: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(scope.cast("string")), F.lit(buckets)).cast("int")
+
+
+def index(chunks: DataFrame, scope: str, chunk_id: str, text: str, path: str | None = None, buckets: int = 16) -> Index:
+    """Tokenises ``chunks`` once and writes their postings, in folders by a hash of the scope.
+
+    A search in some scopes reads their folders alone, and of those the terms asked for
+    (files are sorted by term, so that a scan skips row groups). ``path`` is below the
+    shared folder unless given; :func:`opened` takes it up again.
+    """
+    terms = F.concat(F.array(F.lit("")), search_terms(F.col(text)))
+    rows = chunks.select(F.col(scope).alias("scope"), F.col(chunk_id).alias("id"), terms.alias("terms"))
+    each = rows.select("scope", "id", (F.size("terms") - 1).alias("length"), F.explode("terms").alias("term"))
+    counted = each.groupBy("scope", "id", "length", "term").agg(F.count("*").cast("int").alias("tf")).withColumn("bucket", _bucket(F.col("scope"), buckets))
+    path = path or scratch_path(chunks.sparkSession, "postings")
+    counted.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+    return opened(chunks.sparkSession, path, counted.schema, buckets)
+
+
+def opened(spark: SparkSession, path: str, schema: StructType, buckets: int = 16) -> Index:
+    return Index(spark.read.schema(schema).parquet(path), buckets)
+
+
+def bm25(found: Index, queries: DataFrame, k: int = 10, salts: int = 8) -> DataFrame:
     """(query_id, scope, id, score, rank) for each query (query_id, text) in every scope, or in its own if it has one.
 
-    Query terms are a set. Only terms that some query has are counted, so the shuffle
-    is of matching postings and not of the corpus.
+    Query terms are a set. Only the postings of terms that some query has are read on,
+    each weighed once, and dealt by term and a hash of the chunk, so that a term which
+    every query and chunk has is no single task's.
     """
     scoped = "scope" in queries.columns
+    postings = found.postings
     asked = queries.select("query_id", *([F.col("scope").alias("q_scope")] if scoped else []), F.explode(F.array_distinct(search_terms(F.col("text")))).alias("term"))
-    wanted = asked.select("term").distinct()
-    rows = tokens.select("scope", "id", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(wanted, "term")
-    postings = rows.groupBy("scope", "term", "id", "length").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("scope", "term").agg(F.count("*").alias("df"))
-    stats = scope_statistics(tokens).select("scope", "n_docs", "avg_length")
+    if scoped:
+        wanted = queries.select(_bucket(F.col("scope"), found.buckets).alias("b")).distinct().limit(found.buckets).collect()  # folders, at most ``buckets``
+        postings = postings.filter(F.col("bucket").isin([r.b for r in wanted]))
+    sizes = postings.filter("term = ''").groupBy("scope").agg(F.count("*").alias("n_docs"), F.sum("length").alias("total"))
+    stats = sizes.select("scope", "n_docs", F.when(F.col("total") == 0, 1.0).otherwise(F.col("total") / F.col("n_docs")).alias("avg_length"))
+    matching = postings.filter("term <> ''").join(asked.select("term").distinct(), "term", "left_semi").drop("bucket")
+    df = matching.groupBy("scope", "term").agg(F.count("*").alias("df"))
     weights = df.join(stats, "scope").withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     damp = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length"))
-    part = postings.join(weights, ["scope", "term"]).select("scope", "term", "id", (F.col("idf") * F.col("tf") * (K1 + 1) / damp).alias("part"))
-    hits = part.join(asked, "term")
+    part = matching.join(weights, ["scope", "term"]).select("scope", "term", "id", (F.col("idf") * F.col("tf") * (K1 + 1) / damp).alias("part"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
+    on = ["term", "salt"]
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     if scoped:
-        hits = hits.filter(F.col("q_scope").eqNullSafe(F.col("scope")))
-    scored = hits.groupBy("query_id", "scope", "id").agg(F.round(F.sum("part"), DECIMALS).alias("score"))
+        on, asked = ["scope", *on], asked.withColumnRenamed("q_scope", "scope")
+    scored = part.join(asked, on).groupBy("query_id", "scope", "id").agg(F.round(F.sum("part"), DECIMALS).alias("score"))
     return top_k(scored, ["query_id", "scope"], k)
 
 
-def _blocks(queries: DataFrame, block_bytes: int) -> list:
+def _blocks(queries: DataFrame, block_bytes: int) -> Iterator[Broadcast]:
     """The query vectors as broadcasts of about ``block_bytes`` each, by measured size."""
-    rows = queries.select("query_id", F.coalesce(F.col("scope").cast("string"), F.lit("")).alias("scope") if "scope" in queries.columns else F.lit("").alias("scope"), "vector")
+    scope = F.coalesce(F.col("scope").cast("string"), F.lit("")) if "scope" in queries.columns else F.lit("")
+    rows = queries.filter("vector is not null").select("query_id", scope.alias("scope"), "vector")
     total = rows.agg(F.sum(F.size("vector") * 8 + 64)).first()[0] or 0
     parts = max(1, -(-int(total) // block_bytes))
-    out = []
     for part in range(parts):
         mine = rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part) if parts > 1 else rows
         found = [(r.query_id, r.scope, r.vector) for r in mine.toLocalIterator()]
         if found:
-            out.append(queries.sparkSession.sparkContext.broadcast(found))
-    return out
+            yield queries.sparkSession.sparkContext.broadcast(found)
+
+
+def _units(m: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norm == 0, np.inf, norm)
 
 
 def cosine(points: DataFrame, queries: DataFrame, k: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
     """(query_id, id, score, rank): the exact k nearest points (id, vector) of each query (query_id, vector).
 
-    With a scope on both sides only points of the query's scope count. Queries go out
-    in blocks of bounded size; each task keeps its k best per query, so what is
-    shuffled is k rows a query and task. A zero vector scores 0. All vectors have
-    one length; another length is an error.
+    With a scope on both sides only points of the query's scope count. Queries go out in
+    blocks of bounded size, one a pass over the points, so a task holds one block; it keeps
+    its k best per query, so what is shuffled is k rows a query and task. A zero vector
+    scores 0, rows without a vector are left out. All vectors have one length; another is
+    an error.
     """
     scoped = "scope" in queries.columns
-    blocks = _blocks(queries, block_bytes)
     id_type, query_type = points.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    rows = points.select("id", F.coalesce(F.col("scope").cast("string"), F.lit("")).alias("scope") if scoped else F.lit("").alias("scope"), "vector")
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = [([q for q, _, _ in b.value], np.array([s for _, s, _ in b.value]), np.array([v for _, _, v in b.value], np.float64)) for b in blocks]
-        units = [m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, np.inf, n) for _, _, m in ready]
-        kept: dict[tuple[int, int], list] = {}
-        for batch in batches:
-            ids, scopes = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist())
-            m = np.array(batch.column(2).to_pylist(), np.float64)
-            norm = np.linalg.norm(m, axis=1, keepdims=True)
-            unit = m / np.where(norm == 0, np.inf, norm)
-            for at, (names, of, _) in enumerate(ready):
-                scores = np.round(units[at] @ unit.T, DECIMALS) + 0.0
-                for q in range(len(names)):
-                    mine = np.flatnonzero(scopes == of[q]) if scoped else np.arange(len(ids))
-                    if len(mine) > k:  # ties with the k-th stay in
-                        floor = np.partition(scores[q, mine], len(mine) - k)[len(mine) - k]
-                        mine = mine[scores[q, mine] >= floor]
-                    held = kept.get((at, q), []) + [(-scores[q, x], ids[x]) for x in mine.tolist()]
-                    kept[at, q] = sorted(held)[:k]
-        found = [(ready[at][0][q], i, -s) for (at, q), held in kept.items() for s, i in held]
-        if found:
-            yield pa.RecordBatch.from_pydict({"query_id": [f[0] for f in found], "id": [f[1] for f in found], "score": [float(f[2]) for f in found]})
-
-    return top_k(rows.mapInArrow(best, f"query_id {query_type}, id {id_type}, score double"), ["query_id"], k)
+    scope = F.coalesce(F.col("scope").cast("string"), F.lit("")) if scoped else F.lit("")
+    rows = points.filter("vector is not null").select("id", scope.alias("scope"), F.col("vector").cast("array<double>").alias("vector"))
+
+    def nearest(sent: Broadcast):
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, of = [q for q, _, _ in sent.value], np.array([s for _, s, _ in sent.value])
+            units = _units(np.array([v for _, _, v in sent.value], np.float64))
+            lines = np.arange(len(names))[:, None]
+            top, ids = np.full((len(names), 0), -np.inf), np.full((len(names), 0), None, object)
+            for batch in batches:
+                if not len(batch):
+                    continue
+                vectors = batch.column(2)
+                m = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+                scores = np.round(units @ _units(m).T, DECIMALS) + 0.0
+                if scoped:
+                    scores[of[:, None] != np.array(batch.column(1).to_pylist())[None, :]] = -np.inf
+                both = np.concatenate((ids, np.broadcast_to(np.array(batch.column(0).to_pylist(), object), scores.shape)), axis=1)
+                scores = np.concatenate((top, scores), axis=1)
+                if scores.shape[1] > 4 * k:  # ties with the k-th stay in
+                    floor = np.partition(scores, -k, axis=1)[:, -k]
+                    most = int((scores >= floor[:, None]).sum(axis=1).max())
+                    near = np.argpartition(scores, -most, axis=1)[:, -most:]
+                    scores, both = scores[lines, near], both[lines, near]
+                order = np.array([sorted(range(len(s)), key=lambda n, s=s, i=i: (-s[n], i[n] is None, i[n]))[:k] for s, i in zip(scores, both)]).reshape(len(names), -1)
+                top, ids = scores[lines, order], both[lines, order]
+            found = [(names[q], ids[q, n], float(top[q, n])) for q, n in np.argwhere(np.isfinite(top))]
+            if found:
+                yield pa.RecordBatch.from_pydict({"query_id": [f[0] for f in found], "id": [f[1] for f in found], "score": [f[2] for f in found]})
+
+        return best
+
+    kind = f"query_id {query_type}, id {id_type}, score double"
+    passes = [rows.mapInArrow(nearest(sent), kind) for sent in _blocks(queries, block_bytes)]
+    return top_k(reduce(DataFrame.unionByName, passes or [queries.sparkSession.createDataFrame([], kind)]), ["query_id"], k)
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, k: int = 10, smoothing: int = 60, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -125,10 +180,10 @@ def fuse(keyword: DataFrame, vector: DataFrame, k: int = 10, smoothing: int = 60
     return top_k(scored, list(by), k)
 
 
-def hybrid(tokens: DataFrame, points: DataFrame, texts: DataFrame, vectors: DataFrame, k: int = 10, candidates: int = 50) -> DataFrame:
+def hybrid(found: Index, points: DataFrame, texts: DataFrame, vectors: DataFrame, k: int = 10, candidates: int = 50) -> DataFrame:
     """BM25 and cosine fused, each with ``candidates`` hits at least."""
     wide = max(k, candidates)
-    return fuse(bm25(tokens, texts, wide), cosine(points, vectors, wide), k)
+    return fuse(bm25(found, texts, wide), cosine(points, vectors, wide), k)
 
 
 def attach(hits: DataFrame, chunks: DataFrame, on: list[str]) -> DataFrame:

@@ -53,13 +53,12 @@ SQL["bm25_topk_by_scope"] = f"WITH {bm25(_DOCS, _ITEMS, 10)} SELECT query_id, sc
 SQL["bm25_topk_global"] = f"WITH {bm25(_ALL, _ITEMS, 10)} SELECT query_id, id, score, rank FROM hits"
 SQL["cosine_topk"] = cosine("true", 10)
 SQL["cosine_topk_filtered"] = cosine("a.label = b.label", 10)
-_paired = "SELECT 'all' AS scope, doc_id AS id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)"
-SQL["rrf_hybrid_topk"] = f"""WITH {bm25(_paired, "SELECT doc_id AS query_id, substr(text, 1, 200) AS text FROM documents WHERE doc_id % 50 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)", 50)},
-v AS ({cosine('a.vec_id IN (SELECT doc_id FROM documents) AND b.vec_id IN (SELECT doc_id FROM documents)', 50)}),
+SQL["rrf_hybrid_topk"] = f"""WITH {bm25(_ALL, "SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 50 = 0", 50)},
+v AS ({cosine('true', 50)}),
 u AS (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) AS part FROM hits UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + rank) FROM v),
 s AS (SELECT query_id, id, round(sum(part), 8) AS score FROM u GROUP BY ALL)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s) WHERE rank <= 10"""
-_kept = "SELECT lang || '@' || source AS scope, doc_id AS id, text FROM documents WHERE (lang, source) IN (SELECT (lang, source) FROM documents GROUP BY lang, source HAVING sum(n_chars) % 2 = 0)"
+_kept = "SELECT lang || '@' || source AS scope, doc_id AS id, text FROM documents WHERE lang IS NOT NULL"
 SQL["all_retained_topk"] = f"WITH {bm25(_kept, _ITEMS, 3)} SELECT query_id, scope, id, score, rank FROM hits"
 _own = bm25(_DOCS, "SELECT item_id AS query_id, text, 'src' || (item_id % 20) AS scope FROM benchmark", 5, True)
 _latest = bm25(_DOCS, "SELECT item_id AS query_id, text, 'src19' AS scope FROM benchmark", 5, True)
@@ -71,7 +70,7 @@ def fnv(x: str) -> str:
 
 
 SQL["eval_hit_mrr"] = f"""WITH {bm25(_ALL, _ITEMS, 10)},
-r AS (SELECT item_id AS query_id, min(rank) AS rr FROM benchmark LEFT JOIN (SELECT h.query_id, h.rank FROM hits h JOIN documents x ON x.doc_id = h.id JOIN benchmark b ON b.item_id = h.query_id WHERE contains(x.text, substr(b.text, 1, 30))) z ON z.query_id = item_id GROUP BY item_id),
+r AS (SELECT item_id AS query_id, min(rank) AS rr FROM benchmark LEFT JOIN (SELECT h.query_id, h.rank FROM hits h JOIN documents x ON x.doc_id = h.id JOIN benchmark b ON b.item_id = h.query_id WHERE contains(x.text, b.text)) z ON z.query_id = item_id GROUP BY item_id),
 g AS (SELECT rr, unnest(['all', 'half: ' || CASE WHEN {fnv("('q-' || query_id)")} % 2 = 0 THEN 'tune' ELSE 'test' END]) AS "group" FROM r)
 SELECT "group", count(*) AS n, count(*) FILTER (rr <= 1) AS hit1, count(*) FILTER (rr <= 3) AS hit3, count(*) FILTER (rr <= 10) AS hit10, round(sum(CASE WHEN rr <= 10 THEN 1.0::DOUBLE / rr ELSE 0 END) / count(*), 6) AS mrr FROM g GROUP BY ALL"""
 SQL["tune_test_split"] = f"SELECT item_id, {fnv('name')} AS hash, CASE WHEN item_id % 7 = 0 OR {fnv('name')} % 2 = 0 THEN 'tune' ELSE 'test' END AS half FROM (SELECT item_id, CASE WHEN item_id % 7 = 0 THEN 'dev-' ELSE 'q' END || item_id AS name FROM benchmark)"
@@ -135,7 +134,7 @@ SELECT project, 'go' AS ecosystem, package, CAST(i - 1 AS INTEGER) AS ordinal, s
 FROM (SELECT project, package, unnest(acts) AS x, unnest(range(1, len(acts) + 1)) AS i FROM a)"""
 SQL["gc_grace_expired"] = f"WITH {_REFS} SELECT ecosystem, package, version, 'grace_expired' AS reason FROM refs GROUP BY ecosystem, package, version HAVING count(*) FILTER (reason IN ('project', 'latest', 'manual_pin')) = 0 AND TIMESTAMP '1998-08-01' > max(last_seen) FILTER (reason = 'grace_period') + INTERVAL 14 DAY"
 SQL["gc_orphans"] = f"WITH {_GENS} SELECT id, CASE WHEN state = 'FAILED' THEN 'failed' ELSE 'stale' END AS why FROM g WHERE (state = 'FAILED' OR state IN ('INDEXING', 'VALIDATING') AND TIMESTAMP '1996-01-01' > updated_at + INTERVAL 24 HOUR) AND id % 11 <> 0"
-SQL["gc_superseded_duplicates"] = f"WITH {_GENS} SELECT id, package, version FROM g WHERE id % 3 = 0 AND state = 'SUPERSEDED' AND (package, version) IN (SELECT (package, version) FROM g WHERE id % 3 = 0 AND state = 'ACTIVE')"
+SQL["gc_superseded_duplicates"] = f"WITH {_GENS} SELECT id, package, version FROM g WHERE state = 'SUPERSEDED' AND (package, version) IN (SELECT (package, version) FROM g WHERE state = 'ACTIVE')"
 SQL["reference_upsert"] = f"WITH {_REFS} SELECT project, package, version, reason, strftime(min(first_seen), '%Y-%m-%d') AS first_seen, strftime(max(last_seen), '%Y-%m-%d') AS last_seen FROM refs GROUP BY ALL"
 SQL["drop_reference_grace"] = f"""WITH {_REFS}, gone AS (SELECT DISTINCT project, package, version FROM refs WHERE package < 'p3'),
 l AS (SELECT * FROM refs WHERE (project, package, version) NOT IN (SELECT (project, package, version) FROM gone)),

@@ -39,6 +39,11 @@ def _tokens(spark: SparkSession, sf_dir: str, scope: str = "source") -> DataFram
     return R.tokenized(docs if scope != "" else docs.withColumn("", F.lit("all")), scope, "doc_id", "text")
 
 
+def _index(spark: SparkSession, sf_dir: str, scope: str = "source") -> R.Index:
+    docs = table(spark, sf_dir, "documents")
+    return R.index(docs if scope != "" else docs.withColumn("", F.lit("all")), scope, "doc_id", "text")
+
+
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -72,12 +77,12 @@ def bm25_corpus_stats(spark, sf_dir):
 
 @query
 def bm25_topk_by_scope(spark, sf_dir):
-    return R.bm25(_tokens(spark, sf_dir), _questions(spark, sf_dir), 10)
+    return R.bm25(_index(spark, sf_dir), _questions(spark, sf_dir), 10)
 
 
 @query
 def bm25_topk_global(spark, sf_dir):
-    return R.bm25(_tokens(spark, sf_dir, ""), _questions(spark, sf_dir), 10).drop("scope")
+    return R.bm25(_index(spark, sf_dir, ""), _questions(spark, sf_dir), 10).drop("scope")
 
 
 @query
@@ -94,40 +99,36 @@ def cosine_topk_filtered(spark, sf_dir):
 
 @query
 def rrf_hybrid_topk(spark, sf_dir):
-    """Documents and vectors of one id are one chunk; every fiftieth is a query by its first 200 characters and its vector."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    docs = table(spark, sf_dir, "documents").join(vectors.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").withColumn("all", F.lit("all"))
-    texts = docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 200).alias("text"))
-    points = vectors.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    return R.hybrid(R.tokenized(docs, "all", "doc_id", "text"), points, texts, points.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), 10)
+    """Documents and vectors of one id are one chunk; every fiftieth is a query by its whole text and its vector."""
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    texts = table(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return R.hybrid(_index(spark, sf_dir, ""), points, texts, points.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), 10)
 
 
 @query
 def all_retained_topk(spark, sf_dir):
-    """Each language is a package, each source a version: the three best of every version with an active pointer."""
+    """Each language is a package, each source a version: the three best of every version that is retained."""
     docs = table(spark, sf_dir, "documents").filter("lang is not null").withColumn("version", F.concat_ws("@", "lang", "source"))
-    active = docs.groupBy("version").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")).filter("chars % 2 = 0")
-    kept = docs.join(active.select("version"), "version", "left_semi")
-    return R.bm25(R.tokenized(kept, "version", "doc_id", "text"), _questions(spark, sf_dir), 3)
+    return R.bm25(R.index(docs, "version", "doc_id", "text"), _questions(spark, sf_dir), 3)
 
 
 @query
 def compare_modes_union(spark, sf_dir):
     """Results in the question's own version and in the latest one, one after the other and not ranked anew."""
-    tokens = _tokens(spark, sf_dir)
+    found = _index(spark, sf_dir)
     questions = _questions(spark, sf_dir)
     own = questions.withColumn("scope", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
-    parts = [R.bm25(tokens, q, 5).withColumn("mode", F.lit(m)) for m, q in (("project", own), ("latest", questions.withColumn("scope", F.lit("src19"))))]
+    parts = [R.bm25(found, q, 5).withColumn("mode", F.lit(m)) for m, q in (("project", own), ("latest", questions.withColumn("scope", F.lit("src19"))))]
     return parts[0].unionByName(parts[1])
 
 
 @query
 def eval_hit_mrr(spark, sf_dir):
-    """Questions are benchmark items, right answers the documents that hold their first 30 characters."""
+    """Questions are benchmark items, right answers the documents that hold their whole text."""
     questions = _questions(spark, sf_dir)
-    hits = R.bm25(_tokens(spark, sf_dir, ""), questions, 10).select("query_id", "id", "rank")
+    hits = R.bm25(_index(spark, sf_dir, ""), questions, 10).select("query_id", "id", "rank")
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    right = hits.join(texts, "id").join(questions.withColumnRenamed("text", "asked"), "query_id").filter(F.col("text").contains(F.substring("asked", 1, 30)))
+    right = hits.join(texts, "id").join(questions.withColumnRenamed("text", "asked"), "query_id").filter(F.col("text").contains(F.col("asked")))
     ranks = E.first_right_rank(hits, right, questions)
     return E.retrieval_metrics(ranks, E.question_groups(F.concat(F.lit("q-"), F.col("query_id").cast("string"))))
 
@@ -340,7 +341,7 @@ def gc_orphans(spark, sf_dir):
 
 @query
 def gc_superseded_duplicates(spark, sf_dir):
-    return P.superseded_duplicates(_generations(spark, sf_dir).filter("id % 3 = 0")).select("id", "package", "version")
+    return P.superseded_duplicates(_generations(spark, sf_dir)).select("id", "package", "version")
 
 
 @query
