@@ -126,10 +126,10 @@ w AS (SELECT des.*, ptr.generation IS NOT NULL AS built, package < 'p5' AS mappe
 b AS (SELECT coalesce(w.project, cur.project) AS project, coalesce(w.package, cur.package) AS package, version, old, NOT built AND (mapped OR NOT sourceless) AS build, CASE WHEN mapped THEN '' ELSE 'no knowledge source mapped' END AS why
       FROM w FULL JOIN cur ON w.project = cur.project AND w.package = cur.package),
 a AS (SELECT project, package, CASE
-  WHEN version IS NULL THEN [('DROP_REFERENCE', old, 'dependency removed'), ('GC_CANDIDATE', old, 'no longer referenced by this project')]
+  WHEN version IS NULL THEN [('DROP_REFERENCE', old, 'dependency removed'), ('GC_CANDIDATE', old, 'no longer referenced by this project (provisional — see RET-001)')]
   WHEN old IS NULL THEN list_concat([('ADD_REFERENCE', version, why)], CASE WHEN build THEN [('SYNC_VERSION', version, why)] ELSE [] END)
-  WHEN old <> version THEN list_concat([('DROP_REFERENCE', old, 'version changed'), ('GC_CANDIDATE', old, 'no longer referenced by this project'), ('ADD_REFERENCE', version, why)], CASE WHEN build THEN [('SYNC_VERSION', version, why)] ELSE [] END)
-  WHEN build THEN [('SYNC_VERSION', version, 'referenced but not built')] ELSE [('NOOP', version, '')] END AS acts FROM b)
+  WHEN old <> version THEN list_concat([('DROP_REFERENCE', old, 'version changed'), ('GC_CANDIDATE', old, 'no longer referenced by this project (provisional — see RET-001)'), ('ADD_REFERENCE', version, why)], CASE WHEN build THEN [('SYNC_VERSION', version, why)] ELSE [] END)
+  WHEN build THEN [('SYNC_VERSION', version, 'referenced but not built — retrying')] ELSE [('NOOP', version, '')] END AS acts FROM b)
 SELECT project, 'go' AS ecosystem, package, CAST(i - 1 AS INTEGER) AS ordinal, struct_extract(x, 1) AS kind, struct_extract(x, 2) AS version, struct_extract(x, 3) AS reason
 FROM (SELECT project, package, unnest(acts) AS x, unnest(range(1, len(acts) + 1)) AS i FROM a)"""
 SQL["gc_grace_expired"] = f"WITH {_REFS} SELECT ecosystem, package, version, 'grace_expired' AS reason FROM refs GROUP BY ecosystem, package, version HAVING count(*) FILTER (reason IN ('project', 'latest', 'manual_pin')) = 0 AND TIMESTAMP '1998-08-01' > max(last_seen) FILTER (reason = 'grace_period') + INTERVAL 14 DAY"

@@ -11,8 +11,9 @@ from quirework.functions.text import path_prefixes
 
 KEY = ["ecosystem", "package", "version"]
 BLOCKING = ("project", "latest", "manual_pin")
-UNMAPPED, CHANGED, REMOVED, RETRY = "no knowledge source mapped", "version changed", "dependency removed", "referenced but not built"
-UNREFERENCED = "no longer referenced by this project"
+# The reasons of actions.
+UNMAPPED, CHANGED, REMOVED, RETRY = "no knowledge source mapped", "version changed", "dependency removed", "referenced but not built — retrying"
+UNREFERENCED = "no longer referenced by this project (provisional — see RET-001)"
 
 
 def plan(desired: DataFrame, current: DataFrame, active: DataFrame, mapped: DataFrame, no_source: DataFrame) -> DataFrame:

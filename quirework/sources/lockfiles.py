@@ -22,7 +22,12 @@ try:
 except ImportError:  # YAML lockfiles then give an error row
     yaml = None
 
-# Marker files, their ecosystem and their priority within it, and folders that are never entered.
+# The files that make a folder a project and their ecosystem, lock files with their ecosystem and
+# priority within it, and folders that are never entered.
+PROJECTS = {
+    "go.mod": "go", "pyproject.toml": "python", "requirements.txt": "python", "package.json": "node", "Cargo.toml": "rust",
+    "pom.xml": "java", "build.gradle": "java", "build.gradle.kts": "java",
+}
 MARKERS = {
     "go.mod": ("go", 1), "go.work": ("go", 1), "uv.lock": ("python", 1), "poetry.lock": ("python", 2), "requirements.txt": ("python", 3),
     "bun.lock": ("node", 1), "pnpm-lock.yaml": ("node", 2), "yarn.lock": ("node", 3), "package-lock.json": ("node", 4),
@@ -35,16 +40,24 @@ Dependency = tuple[str, str, bool, str]
 
 
 def project_files(spark: SparkSession, root: str) -> DataFrame:
-    """The marker files below ``root`` as (root, path, content), read as binary files."""
+    """The marker and lock files below ``root`` as (root, path, content), read as binary files; only folders below ``root`` are skipped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.decode("content", "UTF-8").alias("content"))
+    return kept_files(files, root)
+
+
+def kept_files(files: DataFrame, root: str) -> DataFrame:
+    """Of listed files (path, content) the marker and lock files that are in no skipped folder below ``root``, with their folder as root."""
+    plain = re.sub("^file:/+", "/", root.rstrip("/"))
     name = F.element_at(F.split("path", "/"), -1)
-    return files.filter(name.isin(*MARKERS)).filter(~F.arrays_overlap(F.split("path", "/"), F.lit(list(SKIPPED_FOLDERS)))).withColumn("root", F.regexp_replace("path", "/[^/]*$", ""))
+    below = F.split(F.element_at(F.split("path", re.escape(plain) + "/", 2), -1), "/")
+    kept = files.filter(name.isin(*PROJECTS, *MARKERS)).filter(~F.arrays_overlap(below, F.lit(list(SKIPPED_FOLDERS))))
+    return kept.withColumn("root", F.regexp_replace("path", "/[^/]*$", ""))
 
 
 def detected_projects(files: DataFrame) -> DataFrame:
-    """(root, ecosystem) of each folder with a marker file."""
+    """(root, ecosystem) of each folder with a file that makes it a project."""
     name = F.element_at(F.split("path", "/"), -1)
-    kind = F.create_map(*[F.lit(x) for n, (e, _) in MARKERS.items() for x in (n, e)])[name]
+    kind = F.create_map(*[F.lit(x) for pair in PROJECTS.items() for x in pair])[name]
     return files.select("root", kind.alias("ecosystem")).filter("ecosystem is not null").distinct()
 
 
@@ -87,15 +100,24 @@ def requirements(files: DataFrame) -> DataFrame:
 
 
 def npm_lock(files: DataFrame) -> DataFrame:
-    """Dependencies of package-lock.json, version 3; older versions give none. Names follow the last ``node_modules/``."""
+    """Dependencies of package-lock.json, version 3. Names follow the last ``node_modules/``.
+
+    A file that doesn't parse, of another version or without a root entry gives one row with its error and no name.
+    """
     entry = "struct<version: string, resolved: string, link: boolean, dependencies: map<string,string>, devDependencies: map<string,string>>"
-    lock = files.select("root", "path", F.from_json("content", f"lockfileVersion int, packages map<string,{entry}>").alias("l")).filter("l.lockfileVersion = 3")
+    lock = files.select("root", "path", F.from_json("content", f"lockfileVersion int, packages map<string,{entry}>").alias("l"))
     main = F.col("l.packages")[F.lit("")]
+    version = F.col("l.lockfileVersion")
+    error = F.when(version.isNull() & F.col("l.packages").isNull(), "no lock file").when(~version.eqNullSafe(3), F.concat(F.lit("lock file version "), F.coalesce(version.cast("string"), F.lit("missing")))).when(main.isNull(), "no root entry")
+    lock = lock.withColumn("error", error)
     direct = F.array_union(*[F.coalesce(F.map_keys(main[c]), F.array().cast("array<string>")) for c in ("dependencies", "devDependencies")])
-    rows = lock.select("root", "path", direct.alias("own"), F.explode("l.packages").alias("key", "p")).filter(F.instr("key", "node_modules/") > 0)
+    rows = lock.filter("error is null").select("root", "path", direct.alias("own"), F.explode("l.packages").alias("key", "p")).filter(F.instr("key", "node_modules/") > 0)
     name = F.substring_index("key", "node_modules/", -1)
     by = F.when(F.coalesce("p.link", F.lit(False)), F.concat(F.lit("package-lock.json:local:"), F.coalesce("p.resolved", F.lit("")))).otherwise("package-lock.json")
-    return rows.select("root", "path", name.alias("name"), F.coalesce("p.version", F.lit("")).alias("version"), F.array_contains("own", name).alias("direct"), by.alias("resolved_by"))
+    none = F.lit(None).cast("string")
+    good = rows.select("root", "path", name.alias("name"), F.coalesce("p.version", F.lit("")).alias("version"), F.array_contains("own", name).alias("direct"), by.alias("resolved_by"), none.alias("error"))
+    bad = lock.filter("error is not null").select("root", "path", none.alias("name"), none.alias("version"), F.lit(None).cast("boolean").alias("direct"), none.alias("resolved_by"), "error")
+    return good.unionByName(bad)
 
 
 def at_last(specifier: Column) -> tuple[Column, Column]:
