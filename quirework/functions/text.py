@@ -162,3 +162,39 @@ def identity(*fields: Column) -> Column:
     """A digest of fields that no other split of the same bytes shares: each is led by its length."""
     texts = [F.coalesce(f.cast("string"), F.lit("")) for f in fields]
     return F.sha2(reduce(lambda a, b: F.concat(a, b), [F.concat(F.octet_length(t).cast("string"), F.lit(":"), t) for t in texts]), 256)
+
+
+def basename(path: Column) -> Column:
+    """What follows the last slash, slashes at the end apart; ``/`` and the empty path are themselves."""
+    bare = F.regexp_replace(path, "/+$", "")
+    return F.when(path == "", ".").when(bare == "", "/").otherwise(F.substring_index(bare, "/", -1))
+
+
+def byte_size(n: Column) -> Column:
+    """Bytes for reading: ``512 B``, ``1.5 KiB``, ``2.0 GiB``."""
+    exponent = F.floor((F.length(F.bin(n.cast("bigint"))) - 1) / 10)
+    unit = F.substring(F.lit("KMGTPE"), exponent.cast("int"), F.lit(1))
+    return F.when(n < 1024, F.format_string("%d B", n)).otherwise(F.format_string("%.1f %siB", n / F.pow(F.lit(1024.0), exponent), unit))
+
+
+def git_repository(url: Column) -> Column:
+    """(host, path) of a repository: of a URL, of ``user@host:path``, else ``local`` and the path.
+
+    The path is without ``.git`` and the slashes around it, so both spellings of a URL are equal.
+    """
+    standard, short = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]+)([^?#]*)", r"^[^@]*@([^:]*):(?s:(.*))$"
+
+    def path(p: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(p, r"\.git$", ""), "^/+|/+$", "")
+
+    def found(shape: str) -> Column:
+        return F.struct(F.regexp_extract(url, shape, 1).alias("host"), path(F.regexp_extract(url, shape, 2)).alias("path"))
+
+    return F.when(url.rlike(standard), found(standard)).when(url.rlike(short), found(short)).otherwise(F.struct(F.lit("local").alias("host"), path(url).alias("path")))
+
+
+def point_id(generation: Column, chunk: Column) -> Column:
+    """The id of a chunk in a generation, in the shape of a UUID by name: equal chunks of two generations differ."""
+    h = F.sha2(F.concat(generation, F.lit("\0"), chunk), 256)
+    variant = F.substring(F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1), F.lit(1))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))

@@ -2,52 +2,20 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirework.functions.markdown import sections
 from quirework.functions.text import chunk_title, identity, stripped
 from quirework.operators.ordering import numbered
 
-_HEADING = re.compile(r"^(#{1,6})[ \t\n\f\r]+(.+?)[ \t\n\f\r]*#*[ \t\n\f\r]*$")
-_FENCES = ("```", "~~~")
 _SECTION = pa.struct([("ordinal", pa.int32()), ("heading", pa.string()), ("path", pa.list_(pa.string())), ("body", pa.string())])
 SECTIONS = "array<struct<ordinal: int, heading: string, path: array<string>, body: string>>"
 
 
-def markdown_sections(text: str) -> Iterator[tuple[str, list[str] | None, str]]:
-    """(heading line, path, body) of each section: one per ``#`` heading outside fences, and what precedes the first.
-
-    A heading more than one level down counts as one level down. A closing fence begins
-    with the marker that opened it. Without a heading the path is null.
-    """
-    stack: list[str] = []
-    heading, lines, fence = "", [], ""
-    for line in text.split("\n"):
-        bare = line.strip()
-        marker = next((f for f in _FENCES if bare.startswith(f)), "")
-        found = None if marker or fence else _HEADING.match(line)
-        if marker:
-            fence = marker if not fence else "" if marker == fence else fence
-        if found:
-            body = "\n".join(lines).strip()
-            if body or heading:
-                yield heading, stack or None, body
-            level = min(len(found[1]), len(stack) + 1)
-            stack = [*stack[: level - 1], found[2]]
-            heading, lines = line, []
-        else:
-            lines.append(line)
-    body = "\n".join(lines).strip()
-    if body or heading:
-        yield heading, stack or None, body
-
-
 def _sections(texts: pa.Array) -> pa.Array:
-    rows = [[dict(zip(("ordinal", "heading", "path", "body"), (n, *s))) for n, s in enumerate(markdown_sections(t or ""))] for t in texts.to_pylist()]
+    rows = [[dict(zip(("ordinal", "heading", "path", "body"), (n, *s))) for n, s in enumerate(sections(t or ""))] for t in texts.to_pylist()]
     return pa.array(rows, pa.list_(_SECTION))
 
 
