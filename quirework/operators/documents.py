@@ -141,3 +141,14 @@ def stride_sample(rows: DataFrame, order: list[str], most: int) -> DataFrame:
     # position p is taken if some i has floor(i * n / most) = p
     i = F.ceil(F.col("at_") * most / n)
     return at.filter((F.floor(i * n / most) == F.col("at_")) & (i < most)).select(*rows.columns)
+
+
+def swept(objects: DataFrame, chunks: DataFrame, max_bytes: int = 2000, tolerance: int = 5) -> DataFrame:
+    """One row over a corpus: objects, chunks, empty and oversized ones, and ids that stand twice in an object.
+
+    ``objects``: object_id; ``chunks``: object_id, chunk_id, content.
+    """
+    size = F.coalesce(F.octet_length("content"), F.lit(0))
+    by = chunks.groupBy("object_id", "chunk_id").agg(F.count("*").alias("n"), F.count_if(size == 0).alias("empty"), F.count_if(size > max_bytes * tolerance).alias("oversized"))
+    counts = by.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in ((F.col("n"), "chunks"), (F.col("empty"), "empty_chunks"), (F.col("n") - 1, "duplicate_ids"), (F.col("oversized"), "oversized_chunks"))])
+    return objects.agg(F.count("*").alias("objects")).crossJoin(counts)  # one row each

@@ -231,3 +231,9 @@ def symbol_ranking(questions: DataFrame, symbols: DataFrame, k: int = 10) -> Dat
     offered = known.select("scope", "id", F.explode(ways).alias("w")).select("scope", "id", "w.name", "w.points")
     hits = named.join(offered, ["scope", "name"]).groupBy("query_id", "scope", "id").agg(F.max("points").cast("double").alias("score"))
     return top_k(hits, ["query_id", "scope"], k)
+
+
+def scan(points: DataFrame, by: list[str], order: list[str], k: int = 10) -> DataFrame:
+    """What a search without terms returns: the first k points of each group in key order, all with score 0; k of 0 or less is 10."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return points.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= (k if k > 0 else 10)).withColumn("score", F.lit(0.0))

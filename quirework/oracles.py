@@ -115,7 +115,7 @@ SQL["unix_line_ends"] = "SELECT doc_id, md5(text) AS text_md5 FROM documents"
 SQL["symbol_ranking"] = """WITH s AS (SELECT p_brand AS scope, p_partkey AS id, 'Part' || p_size || 'Of' || p_partkey AS symbol FROM part)
 SELECT a.p_partkey AS query_id, a.p_brand AS scope, s.id, CASE WHEN a.p_partkey % 3 = 0 THEN 3.0 ELSE 1.0 END::DOUBLE AS score, CAST(1 AS INTEGER) AS rank FROM part a JOIN s ON s.scope = a.p_brand AND s.symbol = 'Part' || a.p_size || 'Of' || a.p_partkey"""
 _REFS = """refs AS (SELECT CAST(o_custkey AS VARCHAR) AS project, 'go' AS ecosystem, 'p' || (o_custkey % 100) AS package, substr(o_orderpriority, 1, 1) AS version,
-  CASE WHEN o_orderstatus = 'F' THEN 'grace_period' WHEN o_orderkey % 97 = 0 THEN 'manual_pin' WHEN o_orderkey % 13 = 0 THEN 'project' ELSE 'grace_period' END AS reason, o_orderdate AS first_seen, o_orderdate AS last_seen FROM orders)"""
+  CASE WHEN o_orderstatus = 'F' OR o_custkey % 100 % 3 = 0 THEN 'grace_period' WHEN o_orderkey % 97 = 0 THEN 'manual_pin' WHEN o_orderkey % 13 = 0 THEN 'project' ELSE 'grace_period' END AS reason, o_orderdate AS first_seen, o_orderdate AS last_seen FROM orders)"""
 _GENS = """g AS (SELECT o_orderkey AS id, 'go' AS ecosystem, 'p' || (o_custkey % 100) AS package, substr(o_orderpriority, 1, 1) AS version,
   ['ACTIVE', 'SUPERSEDED', 'FAILED', 'INDEXING', 'VALIDATING'][o_orderkey % 5 + 1] AS state, o_orderdate AS updated_at FROM orders)"""
 _PTRS = "ptr AS (SELECT package, version, max(id) AS generation FROM g WHERE state = 'ACTIVE' GROUP BY ALL)"
@@ -180,3 +180,53 @@ b AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRE
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, count(*) AS events, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS paths FROM b GROUP BY user_id, b"""
 SQL["coalesced_requests"] = """SELECT CAST(user_id AS VARCHAR) AS project, event_type = 'purchase' AS rebuild, bool_and(event_id % 2 = 0) AS offline, bool_or(event_id % 3 = 0) AS force, bool_or(event_id % 5 = 0) AS resolve,
 CASE WHEN bool_or(event_id % 9 = 0) THEN '' ELSE string_agg(DISTINCT event_type, ',' ORDER BY event_type) END AS names, count(*) AS requests FROM events GROUP BY user_id, event_type = 'purchase'"""
+
+_NAME = "['CHANGELOG.md', 'a.md', 'b.MDX', 'c.txt', 'd.rst', 'LICENSE', 'e.go', 'history.TXT'][doc_id % 8 + 1]"
+_PATH = "'d' || doc_id % 10 || '/e' || doc_id % 7 || '/' || doc_id || '/' ||"
+_NORMALIZER = "CASE WHEN doc_id % 11 = 0 OR doc_id % 8 IN (0, 7) THEN 'release-notes' WHEN doc_id % 8 IN (1, 2) THEN 'markdown' WHEN doc_id % 8 IN (3, 4) OR doc_id % 8 = 5 AND doc_id % 3 = 0 THEN 'plaintext' END"
+SQL["file_dispatch"] = f"SELECT doc_id, {_NORMALIZER} AS normalizer, CASE WHEN {_NORMALIZER} IS NOT NULL THEN 'sections' END AS chunker FROM documents"
+SQL["normalized_objects"] = f"""WITH f AS (SELECT doc_id, {_NORMALIZER} AS normalizer, doc_id % 11 = 0 OR doc_id % 8 IN (0, 1, 2) AS md, CASE WHEN doc_id % 5 = 0 THEN '' ELSE '# v1.' || doc_id % 7 || '.0 notes' || chr(10) END || coalesce(text, '') AS content FROM documents)
+SELECT doc_id, normalizer, CASE WHEN md THEN 'markdown' ELSE 'text' END AS content_type, md5(CASE WHEN md THEN content ELSE regexp_replace(content, '^\\s+|\\s+$', '', 'g') END) AS content_md5,
+  CASE WHEN md AND normalizer = 'release-notes' AND doc_id % 5 <> 0 THEN 'v1.' || doc_id % 7 || '.0' ELSE '' END AS release_version FROM f WHERE normalizer IS NOT NULL"""
+SQL["promoted_metadata"] = "SELECT doc_id, '||' || '|' || coalesce(lang, '') || '|' || coalesce(source, '') AS metadata FROM documents"
+SQL["files_within_borders"] = f"""WITH f AS (SELECT source AS repository, {_PATH} {_NAME} AS path FROM documents WHERE source IS NOT NULL)
+SELECT * FROM f WHERE NOT starts_with(path, 'd3/e2/') AND NOT starts_with(path, 'd5/e1/')"""
+SQL["python_package_folders"] = """WITH f AS (SELECT p_brand AS repository, p_partkey % 700 AS k, 'src' || p_partkey % 3 || '/pkg_' || p_partkey % 700 AS folder FROM part)
+SELECT repository, 'Pkg-' || k AS package, CASE WHEN count(*) = 1 THEN min(folder) ELSE '' END AS folder, count(*) = 1 AS verified FROM f GROUP BY repository, k"""
+SQL["git_repositories"] = r"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'host.example' WHEN 1 THEN split_part(split_part(split_part(split_part(url, '://', 2), '/', 1), '?', 1), '#', 1) ELSE 'local' END AS host,
+CASE page_id % 3 WHEN 0 THEN 'org/' || page_id WHEN 1 THEN trim(regexp_replace(regexp_replace(regexp_replace(split_part(url || '.git', '://', 2), '[?#].*$', ''), '^[^/]*', ''), '\.git$', ''), '/') ELSE 'srv/' || page_id END AS path FROM pages WHERE url IS NOT NULL"""
+SQL["hits_with_content"] = f"SELECT query_id, h.id, h.rank, md5(text) AS content_md5 FROM ({cosine('true', 10)}) h JOIN documents d ON d.doc_id = h.id WHERE h.id % 3 <> 0"
+SQL["point_provenance"] = """WITH l AS (SELECT source, lang, len(string_split(text, chr(10))) AS n FROM documents WHERE doc_id % 4 <> 0 AND text IS NOT NULL)
+SELECT CASE WHEN source LIKE '%3' THEN 'registry' ELSE lang END AS source_type, CASE WHEN source LIKE '%3' THEN 'high' ELSE 'low' END AS authority, CAST(sum(n) AS BIGINT) AS n FROM l GROUP BY ALL"""
+SQL["symbol_dependencies"] = """WITH d AS (SELECT o_custkey AS project, o_orderkey AS version, CASE WHEN o_orderstatus = 'O' THEN 'go' ELSE 'node' END AS dependency_ecosystem, substr(o_orderpriority, 1, 1) AS module FROM orders),
+s AS (SELECT c_custkey AS project, CAST(c_custkey % 5 + 1 AS VARCHAR) AS module, CASE WHEN c_custkey % 2 = 0 THEN 'go' ELSE '' END AS ecosystem FROM customer)
+SELECT s.project, s.module, arg_min(dependency_ecosystem, version) AS dependency_ecosystem, min(version) AS version FROM s LEFT JOIN d ON d.project = s.project AND d.module = s.module AND (s.ecosystem = '' OR s.ecosystem = d.dependency_ecosystem) GROUP BY s.project, s.module"""
+SQL["release_notes_between"] = f"""WITH {_GENS}, {_PTRS}, q AS (SELECT c_custkey AS query_id, 'p' || c_custkey % 130 AS package, CAST(c_custkey % 3 + 1 AS VARCHAR) AS a, CAST(c_custkey % 3 + 2 AS VARCHAR) AS b FROM customer),
+k AS (SELECT q.*, package IN (SELECT package FROM g) AS known, coalesce((SELECT generation FROM ptr WHERE ptr.package = q.package AND version = b), (SELECT generation FROM ptr WHERE ptr.package = q.package AND version = a)) AS generation FROM q)
+SELECT query_id, 'go' AS ecosystem, CAST(l_linenumber AS VARCHAR) AS version, l_orderkey || '-' || l_linenumber AS excerpt, NULL AS error FROM k JOIN lineitem ON l_orderkey = generation WHERE l_returnflag = 'R' AND CAST(l_linenumber AS VARCHAR) IN (a, b)
+UNION ALL SELECT query_id, NULL, NULL, NULL, 'dependency not found' FROM k WHERE NOT known"""
+SQL["search_scopes"] = f"""WITH {_REFS}, {_GENS.replace('FROM orders)', 'FROM orders WHERE o_orderkey % 7 = 0)')}, {_PTRS},
+q AS (SELECT c_custkey AS query_id, ['project', 'latest', 'compare', 'all-retained'][c_custkey % 4 + 1] AS mode, CAST(c_custkey + c_custkey % 3 * 7 AS VARCHAR) AS project, 'p' || c_custkey % 110 AS package FROM customer),
+o AS (SELECT query_id, mode, 'project' AS found_by, (SELECT generation FROM ptr WHERE ptr.package = q.package AND ptr.version = v) AS generation, CASE WHEN project NOT IN (SELECT project FROM refs) THEN 'project not found' WHEN v IS NULL THEN 'dependency not found' END AS e
+  FROM (SELECT q.*, (SELECT arg_min(version, (last_seen, version)) FROM refs WHERE refs.project = q.project AND refs.package = q.package) AS v FROM q) q WHERE mode IN ('project', 'compare')),
+n AS (SELECT query_id, mode, 'latest' AS found_by, (SELECT generation FROM ptr WHERE ptr.package = q.package AND ptr.version = v) AS generation, CASE WHEN v IS NULL THEN 'dependency not found' END AS e
+  FROM (SELECT q.*, (SELECT arg_max(version, (last_seen, version)) FROM refs WHERE refs.package = q.package) AS v FROM q) q WHERE mode IN ('latest', 'compare')),
+u AS (SELECT * FROM o UNION ALL SELECT * FROM n)
+SELECT query_id, generation, CASE WHEN generation IS NULL THEN coalesce(e, 'no active generation for this version') END AS error, found_by FROM u WHERE mode <> 'compare' OR generation IS NOT NULL OR query_id NOT IN (SELECT query_id FROM u WHERE generation IS NOT NULL)
+UNION ALL SELECT query_id, generation, NULL, 'all-retained' FROM q JOIN ptr USING (package) JOIN (SELECT DISTINCT package, version FROM refs) USING (package, version) WHERE mode = 'all-retained'
+UNION ALL SELECT query_id, NULL, 'dependency not found', 'all-retained' FROM q WHERE mode = 'all-retained' AND package NOT IN (SELECT package FROM refs)"""
+SQL["described_packages"] = f"""WITH {_REFS}, {_GENS}, {_PTRS}, {_HEALTH}, a AS (SELECT ptr.package, arg_max(ptr.version, (updated_at, -generation)) AS active_version, arg_max(generation, (updated_at, -generation)) AS generation, list(ptr.version ORDER BY ptr.version) AS vs FROM ptr JOIN g ON g.id = generation GROUP BY 1)
+SELECT r.package, CASE WHEN r.package < 'p5' AND r.package IN (SELECT package FROM g) THEN upper(r.package) END AS alias, active_version, a.generation, array_to_string(list_filter(vs, lambda v: v <> active_version), ',') AS other_versions, object_count, chunk_count,
+  CASE WHEN a.generation IS NULL THEN NULL WHEN m.generation IS NULL THEN 'unknown' ELSE 'READY' END AS status, point_count FROM (SELECT DISTINCT package FROM refs) r LEFT JOIN a USING (package) LEFT JOIN m ON m.generation = a.generation"""
+SQL["hybrid_counts"] = "SELECT count(DISTINCT id) AS points FROM (SELECT doc_id AS id FROM documents UNION SELECT vec_id FROM embeddings)"
+SQL["unranked_scan"] = "SELECT * FROM (SELECT source AS scope, doc_id AS id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS rank, 0.0::DOUBLE AS score FROM documents WHERE source IS NOT NULL) WHERE rank <= 7"
+SQL["lowest_chunk_sample"] = "SELECT generation, chunk_id FROM (SELECT l_suppkey AS generation, l_orderkey || '-' || l_linenumber AS chunk_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey || '-' || l_linenumber) AS n FROM lineitem) WHERE n <= 5"
+SQL["corpus_sweep"] = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), b AS (SELECT doc_id, line, count(*) AS n FROM l GROUP BY ALL)
+SELECT (SELECT count(*) FROM documents) AS objects, CAST(sum(n) AS BIGINT) AS chunks, CAST(sum(CASE WHEN line = '' THEN n ELSE 0 END) AS BIGINT) AS empty_chunks, CAST(sum(n - 1) AS BIGINT) AS duplicate_ids, CAST(sum(CASE WHEN strlen(line) > 500 THEN n ELSE 0 END) AS BIGINT) AS oversized_chunks FROM b"""
+SQL["last_promotion"] = f"WITH {_GENS}, {_PTRS} SELECT strftime(max(updated_at), '%Y-%m-%d') AS last_promotion FROM ptr JOIN g ON g.id = ptr.generation"
+SQL["embedding_prompts"] = "SELECT doc_id, md5('title: ' || CASE WHEN doc_id % 3 = 0 OR coalesce(source, '') = '' THEN 'none' ELSE source END || ' | text: ' || text) AS prompt_md5, doc_id % 2 = 0 AS plain FROM documents"
+SQL["embedding_cache_misses"] = """WITH t AS (SELECT coalesce(text, '') AS text FROM documents), c AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents WHERE doc_id % 3 = 0)
+SELECT 'hit' AS kind, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM t WHERE text IN (SELECT text FROM c) UNION ALL SELECT 'miss', count(*), CAST(sum(length(text)) AS BIGINT) FROM (SELECT DISTINCT text FROM t WHERE text NOT IN (SELECT text FROM c))"""
+SQL["vector_states"] = f"WITH {_GENS}, {_PTRS} SELECT generation, CASE WHEN generation % 9 = 0 THEN 'no replica' WHEN generation % 4 = 0 THEN 'none' WHEN generation % 3 = 0 THEN 'stale' ELSE 'current' END AS vectors FROM ptr"
+SQL["embedding_faults"] = """SELECT label AS generation, 'dimensions' AS fault, count(*) AS points FROM embeddings WHERE vec_id % 97 = 0 GROUP BY label
+UNION ALL SELECT label, 'two kinds of metadata', count(*) FROM embeddings WHERE label < 2 GROUP BY label HAVING count(DISTINCT vec_id % 2) = 2"""

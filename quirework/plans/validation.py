@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -103,3 +103,32 @@ def job_counts(jobs: DataFrame) -> DataFrame:
 def consistent_metadata(points: DataFrame, by: str, fields: list[str]) -> DataFrame:
     """Groups whose rows don't all have the same metadata."""
     return points.groupBy(by).agg(F.countDistinct(F.struct(*fields)).alias("kinds")).filter("kinds > 1")
+
+
+def lowest_chunks(chunks: DataFrame, most: int = 5) -> DataFrame:
+    """The sample of each generation that a check searches for: its ``most`` lowest chunk ids."""
+    w = Window.partitionBy("generation").orderBy("chunk_id")
+    return chunks.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).drop("n")
+
+
+def invalid_objects(objects: DataFrame) -> DataFrame:
+    """Objects that lack a source or a trust class, and what is missing."""
+
+    def blank(c: str) -> Column:
+        return F.coalesce(F.col(c), F.lit("")) == ""
+
+    return objects.withColumn("failures", _failures((blank("source_uri"), "no source"), (blank("trust_class"), "no trust class"))).filter(F.size("failures") > 0)
+
+
+def last_promotion(pointers: DataFrame, generations: DataFrame) -> DataFrame:
+    """One row: when an active generation was last promoted; null if none is active."""
+    return pointers.join(generations.select(F.col("id").alias("generation"), "updated_at"), "generation").agg(F.max("updated_at").alias("last_promotion"))
+
+
+def named(dependencies: DataFrame, names: DataFrame | None) -> DataFrame:
+    """The dependencies of these names (package); no set of names, or an empty one, is all."""
+    if names is None:
+        return dependencies
+    size = names.agg(F.count("*").alias("names"))
+    asked = dependencies.join(names.select("package", F.lit(True).alias("asked")).distinct(), "package", "left").crossJoin(size)  # one row
+    return asked.filter(F.col("asked") | (F.col("names") == 0)).select(*dependencies.columns)

@@ -10,15 +10,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.functions import text as T
 from quirework.operators import documents as D
+from quirework.operators import embedding as M
 from quirework.operators import evaluation as E
+from quirework.operators import normalizing as N
+from quirework.operators import provenance as O
 from quirework.operators import retrieval as R
 from quirework.plans import reconcile as P
 from quirework.plans import validation as V
+from quirework.sources import discovery as S
 from quirework.streaming import changes as C
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -292,7 +296,7 @@ def symbol_ranking(spark, sf_dir):
 
 def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    reason = F.when(F.col("o_orderstatus") == "F", "grace_period").when(F.col("o_orderkey") % 97 == 0, "manual_pin").when(F.col("o_orderkey") % 13 == 0, "project").otherwise("grace_period")
+    reason = F.when((F.col("o_orderstatus") == "F") | (F.col("o_custkey") % 100 % 3 == 0), "grace_period").when(F.col("o_orderkey") % 97 == 0, "manual_pin").when(F.col("o_orderkey") % 13 == 0, "project").otherwise("grace_period")
     return o.select(
         F.col("o_custkey").cast("string").alias("project"), F.lit("go").alias("ecosystem"), F.concat(F.lit("p"), (F.col("o_custkey") % 100).cast("string")).alias("package"),
         F.substring("o_orderpriority", 1, 1).alias("version"), reason.alias("reason"), F.col("o_orderdate").cast("timestamp").alias("first_seen"), F.col("o_orderdate").cast("timestamp").alias("last_seen"),
@@ -448,18 +452,18 @@ def import_longest_prefix(spark, sf_dir):
 
 @query
 def registry_match(spark, sf_dir):
-    from quirework.sources import registry as S
+    from quirework.sources import registry
 
     n = table(spark, sf_dir, "nation")
     manifests = n.select(F.concat(F.lit("m"), (F.col("n_nationkey") % 9).cast("string")).alias("name"), F.col("n_nationkey").alias("layer"), F.array(F.lit("go"), F.lit("node")).alias("ecosystems"), F.array("n_name", F.lit("shared")).alias("packages"))
-    layered = S.layered(manifests)
+    layered = registry.layered(manifests)
     deps = n.select(F.lit("go").alias("ecosystem"), F.col("n_name").alias("package"))
-    return S.match(deps, S.match_index(layered))
+    return registry.match(deps, registry.match_index(layered))
 
 
 @query
 def ref_resolution(spark, sf_dir):
-    from quirework.sources import registry as S
+    from quirework.sources import registry
 
     o = table(spark, sf_dir, "part")
     version = F.concat(F.lit("v1."), F.col("p_size").cast("string"), F.lit(".0"), F.when(F.col("p_partkey") % 5 == 0, "+incompatible").otherwise(""))
@@ -469,7 +473,7 @@ def ref_resolution(spark, sf_dir):
     refs = sizes.select(F.concat(F.lit("1."), F.col("p_size").cast("string"), F.lit(".0")).alias("ref"), F.col("p_size").alias("commit")).unionByName(
         sizes.filter("p_size % 3 = 0").select(F.concat(F.lit("rel-1."), F.col("p_size").cast("string"), F.lit(".0")).alias("ref"), F.col("p_size").alias("commit"))
     )
-    return S.first_ref(candidates, refs)
+    return registry.first_ref(candidates, refs)
 
 
 @query
@@ -504,3 +508,192 @@ def coalesced_requests(spark, sf_dir):
         F.when(F.col("event_id") % 9 == 0, F.array().cast("array<string>")).otherwise(F.array("event_type")).alias("names"),
     )
     return C.merge_requests(requests).withColumn("names", F.array_join("names", ","))
+
+
+# Files and objects
+
+
+def _paths() -> dict[str, Column]:
+    """Documents as files of a repository, their source, by their id."""
+    n = F.col("doc_id")
+    name = F.element_at(F.array(*map(F.lit, ("CHANGELOG.md", "a.md", "b.MDX", "c.txt", "d.rst", "LICENSE", "e.go", "history.TXT"))), (n % 8 + 1).cast("int"))
+    return {"path": F.concat_ws("/", F.concat(F.lit("d"), n % 10), F.concat(F.lit("e"), n % 7), n.cast("string"), name), "source_type": F.when(n % 11 == 0, "github-releases").otherwise("git"), "include_license": n % 3 == 0}
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit("# v1."), F.col("doc_id") % 7, F.lit(".0 notes\r\n"))), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in _paths().items()], text.alias("content"))
+
+
+@query
+def file_dispatch(spark, sf_dir):
+    p = _paths()
+    chosen = N.normalizer(p["path"], p["source_type"], p["include_license"])
+    kind = F.when(chosen == "plaintext", "text").when(chosen.isNotNull(), "markdown")
+    return table(spark, sf_dir, "documents").select("doc_id", chosen.alias("normalizer"), N.chunker(kind).alias("chunker"))
+
+
+@query
+def normalized_objects(spark, sf_dir):
+    made = N.normalized(_files(spark, sf_dir))
+    return made.select("doc_id", "normalizer", "content_type", F.md5("content").alias("content_md5"), F.coalesce(F.try_element_at("metadata", F.lit("release_version")), F.lit("")).alias("release_version"))
+
+
+@query
+def promoted_metadata(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    made = N.promoted(F.create_map(F.lit("version"), F.col("lang"), F.lit("source_type"), F.col("source")), N.SECTION_METADATA)
+    return docs.select("doc_id", F.array_join(F.map_values(made), "|").alias("metadata"))
+
+
+@query
+def files_within_borders(spark, sf_dir):
+    """Sources are repositories; folders d3/e2 and d5/e1 hold another module."""
+    docs = table(spark, sf_dir, "documents").filter("source is not null")
+    packages = docs.select(F.col("source").alias("repository"), F.lit("go").alias("ecosystem"), F.col("source").alias("package")).distinct()
+    borders = packages.select("repository", F.explode(F.array(F.lit("d3/e2/go.mod"), F.lit("d5/e1/go.mod"))).alias("path"))
+    files = docs.select(F.col("source").alias("repository"), _paths()["path"].alias("path")).unionByName(borders)
+    manifests = packages.select("repository", F.lit("d1/package.json").alias("path"), F.lit("other").alias("name"))
+    return S.files_of_packages(packages, files, manifests).select("repository", "path")
+
+
+@query
+def python_package_folders(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    files = p.select(F.col("p_brand").alias("repository"), F.concat(F.lit("src"), key % 3, F.lit("/pkg_"), key % 700, F.lit("/__init__.py")).alias("path"))
+    packages = p.select(F.col("p_brand").alias("repository"), F.concat(F.lit("Pkg-"), key % 700).alias("package")).distinct()
+    return S.python_folders(packages, files)
+
+
+@query
+def git_repositories(spark, sf_dir):
+    r = T.git_repository(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("git@host.example:org/"), "page_id", F.lit(".git"))).when(F.col("page_id") % 3 == 1, F.concat(F.col("url"), F.lit(".git"))).otherwise(F.concat(F.lit("/srv/"), "page_id", F.lit(".git"))))
+    return table(spark, sf_dir, "pages").filter("url is not null").select("page_id", r["host"].alias("host"), r["path"].alias("path"))
+
+
+# Provenance
+
+
+@query
+def hits_with_content(spark, sf_dir):
+    """Every third chunk is gone, so hits on it are dropped after ranking."""
+    chunks = table(spark, sf_dir, "documents").filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.md5("text").alias("content_md5"))
+    return R.attach(cosine_topk(spark, sf_dir), chunks, ["id"]).select("query_id", "id", "rank", "content_md5")
+
+
+@query
+def point_provenance(spark, sf_dir):
+    """Lines are chunks of their document; one source in three is known to the registry by now."""
+    docs = table(spark, sf_dir, "documents")
+    objects = docs.select(F.col("doc_id").alias("object_id"), F.col("source").alias("source_id"), F.col("lang").alias("source_type"), F.lit("low").alias("authority"))
+    chunks = docs.filter("doc_id % 4 <> 0").select(F.lit("g").alias("generation"), F.posexplode(F.split("text", "\n")).alias("n", "line"), F.col("doc_id").alias("object_id")).withColumn("chunk_id", F.concat_ws("-", "object_id", "n"))
+    sources = docs.filter("source like '%3'").select(F.col("source").alias("source_id")).distinct().select("source_id", F.lit("registry").alias("source_type"), F.lit("high").alias("authority"))
+    found = O.current_sources(chunks, objects, sources)
+    return found.groupBy("source_type", "authority").agg(F.count("*").alias("n"))
+
+
+@query
+def symbol_dependencies(spark, sf_dir):
+    """Orders are a customer's dependencies, in order."""
+    refs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("ordinal"), F.when(F.col("o_orderstatus") == "O", "go").otherwise("node").alias("ecosystem"), F.substring("o_orderpriority", 1, 1).alias("package"), F.col("o_orderkey").alias("version"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project"), (F.col("c_custkey") % 5 + 1).cast("string").alias("module"), F.when(F.col("c_custkey") % 2 == 0, "go").otherwise("").alias("ecosystem"))
+    return O.dependencies_of_symbols(c, refs).select("project", "module", "dependency_ecosystem", "version")
+
+
+@query
+def release_notes_between(spark, sf_dir):
+    """Lines of an order are its chunks, returned ones release notes of the version of their number."""
+    g = _generations(spark, sf_dir)
+    line = F.col("l_linenumber").cast("string")
+    chunks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("generation"), F.when(F.col("l_returnflag") == "R", "release_note").otherwise("markdown").alias("content_type"), line.alias("release_version"), F.concat_ws("-", "l_orderkey", line).alias("content"))
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("p"), F.col("c_custkey") % 130).alias("package"), (F.col("c_custkey") % 3 + 1).cast("string").alias("from_version"), (F.col("c_custkey") % 3 + 2).cast("string").alias("to_version"))
+    return O.release_changes(asked, g, _pointers(g), chunks)
+
+
+@query
+def search_scopes(spark, sf_dir):
+    refs = _references(spark, sf_dir)
+    g = _generations(spark, sf_dir).filter("id % 7 = 0")
+    dependencies = refs.select("project", F.unix_seconds("last_seen").alias("ordinal"), *P.KEY)
+    n = F.col("c_custkey")
+    mode = F.element_at(F.array(*map(F.lit, ("project", "latest", "compare", "all-retained"))), (n % 4 + 1).cast("int"))
+    asked = table(spark, sf_dir, "customer").select(n.alias("query_id"), mode.alias("mode"), (n + n % 3 * 7).cast("string").alias("project"), F.concat(F.lit("p"), n % 110).alias("package"))
+    projects = refs.select("project").distinct()
+    return O.search_scopes(asked, projects, dependencies, refs, _pointers(g))
+
+
+@query
+def described_packages(spark, sf_dir):
+    g, manifests, replicas, _ = _health_inputs(spark, sf_dir)
+    matches = g.select("ecosystem", "package").distinct().filter("package < 'p5'").withColumn("alias", F.upper("package"))
+    made = O.described(_references(spark, sf_dir), matches, _pointers(g), g, manifests.withColumn("reused_count", F.lit(0)), replicas.withColumn("status", F.lit("READY")))
+    return made.select("package", "alias", "active_version", "generation", F.array_join("other_versions", ",").alias("other_versions"), "object_count", "chunk_count", "status", "point_count")
+
+
+@query
+def hybrid_counts(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("keyword"))
+    vectors = table(spark, sf_dir, "embeddings").groupBy(F.col("vec_id").alias("id")).agg(F.count("*").alias("vector"))
+    return words.join(vectors, "id", "full").agg(F.sum(O.hybrid_count(F.col("keyword"), F.col("vector"))).alias("points"))
+
+
+@query
+def unranked_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter("source is not null").select(F.col("source").alias("scope"), F.col("doc_id").alias("id"))
+    return R.scan(docs, ["scope"], ["id"], 7)
+
+
+@query
+def lowest_chunk_sample(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("generation"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("chunk_id"))
+    return V.lowest_chunks(lines)
+
+
+@query
+def corpus_sweep(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    chunks = docs.select(F.col("doc_id").alias("object_id"), F.explode(F.split("text", "\n")).alias("content")).withColumn("chunk_id", F.md5("content"))
+    return D.swept(docs.select(F.col("doc_id").alias("object_id")), chunks, 100)
+
+
+@query
+def last_promotion(spark, sf_dir):
+    g = _generations(spark, sf_dir)
+    return V.last_promotion(_pointers(g), g).select(F.date_format("last_promotion", "yyyy-MM-dd").alias("last_promotion"))
+
+
+# Embedding
+
+
+@query
+def embedding_prompts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    made = M.document_prompt(F.lit("title: {title} | text: {text}"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")), F.col("text"))
+    who = M.model_identity(F.lit("model"), (F.col("doc_id") % 2 * 256).cast("int"), F.when(F.col("doc_id") % 2 == 0, "").otherwise("q: {q}"), F.lit(""))
+    return docs.select("doc_id", F.md5(made).alias("prompt_md5"), (who == "model").alias("plain"))
+
+
+@query
+def embedding_cache_misses(spark, sf_dir):
+    """The texts of every third document are cached."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cache = docs.filter("doc_id % 3 = 0").select(M.cache_key(F.col("text"), "p", "m").alias("key"), F.array(F.lit(1.0)).alias("vector")).dropDuplicates(["key"])
+    have, missing = M.cached(docs, cache, "p", "m")
+    return have.select(F.lit("hit").alias("kind"), "text").unionByName(missing.select(F.lit("miss").alias("kind"), "text")).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query
+def vector_states(spark, sf_dir):
+    g = _generations(spark, sf_dir)
+    replicas = g.filter("id % 9 <> 0").select(F.col("id").alias("generation"), F.when(F.col("id") % 4 == 0, "").when(F.col("id") % 3 == 0, "old").otherwise("m").alias("embedding_model"))
+    return M.vector_state(_pointers(g), replicas, "m")
+
+
+@query
+def embedding_faults(spark, sf_dir):
+    """Vectors of one label are a generation; labels of one dataset share their version but for two."""
+    e = table(spark, sf_dir, "embeddings")
+    size = F.when(F.col("vec_id") % 97 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))
+    points = e.select(F.col("label").alias("generation"), size.alias("vector"), F.when((F.col("label") < 2) & (F.col("vec_id") % 2 == 0), "v2").otherwise("v1").alias("version"))
+    return M.point_faults(points, 64, ["version"])
