@@ -132,7 +132,7 @@ a AS (SELECT project, package, CASE
   WHEN build THEN [('SYNC_VERSION', version, 'referenced but not built — retrying')] ELSE [('NOOP', version, '')] END AS acts FROM b)
 SELECT project, 'go' AS ecosystem, package, CAST(i - 1 AS INTEGER) AS ordinal, struct_extract(x, 1) AS kind, struct_extract(x, 2) AS version, struct_extract(x, 3) AS reason
 FROM (SELECT project, package, unnest(acts) AS x, unnest(range(1, len(acts) + 1)) AS i FROM a)"""
-SQL["gc_grace_expired"] = f"WITH {_REFS} SELECT ecosystem, package, version, 'grace_expired' AS reason FROM refs GROUP BY ecosystem, package, version HAVING count(*) FILTER (reason IN ('project', 'latest', 'manual_pin')) = 0 AND TIMESTAMP '1998-08-01' > max(last_seen) FILTER (reason = 'grace_period') + INTERVAL 14 DAY"
+SQL["gc_grace_expired"] = f"WITH {_REFS} SELECT ecosystem, package, version, 'grace_expired' AS reason FROM refs GROUP BY ecosystem, package, version HAVING count(*) FILTER (reason IN ('project', 'latest', 'manual_pin')) = 0 AND TIMESTAMP '2001-08-12' > max(last_seen) FILTER (reason = 'grace_period') + INTERVAL 14 DAY"
 SQL["gc_orphans"] = f"WITH {_GENS} SELECT id, CASE WHEN state = 'FAILED' THEN 'failed' ELSE 'stale' END AS why FROM g WHERE (state = 'FAILED' OR state IN ('INDEXING', 'VALIDATING') AND TIMESTAMP '1996-01-01' > updated_at + INTERVAL 24 HOUR) AND id % 11 <> 0"
 SQL["gc_superseded_duplicates"] = f"WITH {_GENS} SELECT id, package, version FROM g WHERE state = 'SUPERSEDED' AND (package, version) IN (SELECT (package, version) FROM g WHERE state = 'ACTIVE')"
 SQL["reference_upsert"] = f"WITH {_REFS} SELECT project, package, version, reason, strftime(min(first_seen), '%Y-%m-%d') AS first_seen, strftime(max(last_seen), '%Y-%m-%d') AS last_seen FROM refs GROUP BY ALL"
