@@ -28,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm._shared import scratch_path, small_batches, stored
+from quirework.llm._shared import join_counted, scratch_path, small_batches, stored
 
 MAGIC = b"\x1f\x8b\x08"
 _BLOCK = 1 << 16
@@ -73,9 +73,13 @@ def write_warc(
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = small_batches(pages).select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
-    first = rows.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    joined = rows.join(first, "digest", "left")
-    again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id"))
+    narrow = stored(rows.filter(F.col("size") >= min_bytes).select("id", "digest"), "digests")
+    first = narrow.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("times")).filter("times > 1 AND first IS NOT NULL")
+    later = join_counted(narrow, first, "digest", narrow.count()).filter(~F.col("first").eqNullSafe(F.col("id"))).distinct()
+    later = later.select(F.col("digest").alias("of"), F.col("id").alias("by"), "first")
+    # payloads move by digest and id, so a page that stands often isn't one task's
+    joined = rows.join(later, (F.col("digest") == F.col("of")) & F.col("id").eqNullSafe(F.col("by")), "left")
+    again = F.col("first").isNotNull()
     out = joined.select(
         F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "url", F.when(~again, F.col("payload")).alias("payload"), "size", "digest", F.when(again, F.col("first").cast("string")).alias("refers_to")
     )
