@@ -10,7 +10,8 @@ label and ``max_lines`` lines of each, at most), whose lines all carry the label
 by how often their label occurs. Features are gathered by tasks, and only they come to the driver.
 
 Null and empty texts are one empty line and get a score like any other. Each row is
-scored by itself, from its whole text; other columns pass through.
+scored by itself, from its whole text; other columns pass through, except one of the
+result's name, which is replaced.
 """
 
 from __future__ import annotations

@@ -2,14 +2,15 @@
 
 Two histograms of each text, of character classes and of common words, are compared
 with the references of every language by Jensen-Shannon distance (base 2, so 0 to
-1). References are the summed histograms of the documents of a language, gathered
-from the whole corpus. A text is rejected if no language has both distances
+1). References are the summed histograms of the documents of a language, of any that
+the corpus has enough of, gathered from all of it. A text is rejected if no language has both distances
 within the limits. Texts shorter than a rule's minimum can't be told from chance,
 and that rule keeps them. The base rules on length and repetition come first.
 
 Words are runs of anything but ASCII white space. Null texts count as empty: no
 words, so the base rules reject them. Rows count one by one, repeated or not; every
-text is read whole; other columns pass through whatever their names.
+text is read whole; of references that fit equally well the first by name is nearest. Other
+columns pass through, except one of the result's name, which is replaced.
 """
 
 from __future__ import annotations
@@ -46,8 +47,10 @@ _WORDS = {w.encode(): k for k, w in enumerate(sorted({w for ws in COMMON_WORDS.v
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 or 48 <= b <= 57 else 32 for b in range(256))
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\r\x0b\x0c"
-#: The references that all languages without common words of their own make up.
+#: The reference that documents without a language, and languages of few documents, make up.
 POOLED = "*"
+#: A language without common words here has a reference of its own from this many documents, and this share of all.
+OWN_DOCS, OWN_SHARE = 100, 1e-3
 
 
 def class_histogram(text: bytes) -> np.ndarray:
@@ -108,17 +111,22 @@ def nearest(letters: np.ndarray, words: np.ndarray, refs: list, limits: tuple[fl
 def language_references(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", limits: tuple[float, float] = (0.14, 0.46), minima: tuple[int, int] = (200, 100)
 ) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Class and word histograms of the documents, by language, in two passes over all of them.
-
-    The second pass leaves out the texts that are beyond the limits from every
-    reference of the first, so that junk doesn't shape what it is measured by.
-    Languages without common words of their own, and rows without a language, are
-    pooled, so there are never more than five references.
+    """Class and word histograms of the documents, by language, in three passes over all of them.
+
+    The second pass leaves out the texts that are beyond twice the limits from every
+    reference of the first, the third those beyond the limits from those of the second, so
+    that junk doesn't shape what it is measured by.
+    Languages of fewer than OWN_DOCS documents or less than OWN_SHARE of all, if they have no
+    common words of their own, and rows without a language are pooled, so there are never
+    more than 1 / OWN_SHARE + 5 references.
     """
     known = F.col(lang_col).cast("string")
-    rows = small_batches(docs).select(F.when(known.isin(*COMMON_WORDS), known).otherwise(POOLED).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    least = max(OWN_DOCS, OWN_SHARE * docs.count())
+    own = [r.lang for r in docs.groupBy(known.alias("lang")).agg(F.count("*").alias("n")).filter((F.col("n") >= least) & F.col("lang").isNotNull()).collect()]
+    own = sorted({*own, *COMMON_WORDS})
+    rows = small_batches(docs).select(F.when(known.isin(*own), known).otherwise(POOLED).alias("lang"), F.col(text_col).cast("string").alias("text"))
 
-    def gather(first: list) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    def gather(first: list, most: tuple[float, float]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[str, np.ndarray] = {}
             for batch in batches:
@@ -127,7 +135,7 @@ def language_references(
                     texts = as_bytes(part)
                     letters, words = np.array([class_histogram(x) for x in texts]), np.array([word_histogram(x) for x in texts])
                     _, by_class, by_word = nearest(letters, words, first, limits, minima)
-                    fits = (by_class <= limits[0]) & (by_word <= limits[1])
+                    fits = (by_class <= most[0]) & (by_word <= most[1])
                     for k, found in enumerate(np.concatenate((letters, words), axis=1)):
                         if fits[k]:
                             total[langs[at + k]] = total.get(langs[at + k], 0) + found
@@ -137,12 +145,14 @@ def language_references(
 
         parts = rows.mapInArrow(sums, "lang string, at int, n bigint").groupBy("lang", "at").agg(F.sum("n").alias("n"))
         out: dict[str, np.ndarray] = {}
-        for r in parts.collect():  # five languages of fewer than 120 numbers
+        for r in parts.collect():  # a bounded number of languages, each of fewer than 120 numbers
             out.setdefault(r.lang, np.zeros(N_CLASSES + len(_WORDS) + 1, np.int64))[r.at] = r.n
         return {k: (v[:N_CLASSES], v[N_CLASSES:]) for k, v in out.items()}
 
-    first = gather([])
-    return first | gather(sorted(first.items()))
+    found = gather([], limits)
+    for wider in (2, 1):
+        found |= gather(sorted(found.items()), (wider * limits[0], wider * limits[1]))
+    return found
 
 
 def quality_rules(

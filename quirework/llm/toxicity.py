@@ -10,7 +10,8 @@ label at most, weighed by how often the label occurs), with the words that occur
 ``min_docs`` of them. Tasks make the features; the driver gets numbers only.
 
 Null and empty texts have no sentence and score what the bias alone gives. Each row
-is scored by itself, from its whole text; other columns pass through.
+is scored by itself, from its whole text; other columns pass through, except one of the
+result's name, which is replaced.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ import gzip
 import hashlib
 import lzma
 import math
+import random
 import re
 import urllib.parse
 import zlib
@@ -103,6 +104,22 @@ def test_base_counts_equal_brute_force(spark, sf_dir):
         assert not (q.kept and q.base_failed)
 
 
+def test_every_language_of_the_corpus_has_its_reference(spark, sf_dir):
+    """Clean texts of two more scripts stay, and junk under their names goes."""
+    rng = random.Random(8)
+
+    def texts(letters, n):
+        vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+        return [". ".join(" ".join(rng.choice(vocabulary) for _ in range(9)) for _ in range(15)) for _ in range(n)]
+
+    made = [(10**6 + k, t, lang) for lang, letters in (("ru", "абвгдежзиклмнопрстуфхцчшыьэюя"), ("it", "aaeeiioobcdfglmnprstuv")) for k, t in enumerate(texts(letters, 150), 1000 * (lang == "it"))]
+    junk = [(10**6 + 5000 + k, " ".join("#$%|<>&*"[rng.randrange(8)] * 3 + str(rng.randrange(99)) for _ in range(150)), "ru") for k in range(10)]
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang").unionByName(spark.createDataFrame(made + junk, "doc_id long, text string, lang string"))
+    kept = {r.doc_id for r in quality_rules.quality_rules(docs, result_col="q").filter("q.kept").collect()}
+    assert not {i for i, _, _ in made} - kept
+    assert not {i for i, _, _ in junk} & kept
+
+
 def test_divergence_keeps_clean_and_rejects_junk(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = quality_rules.quality_rules(documents(spark, sf_dir), result_col="q").join(labels, "doc_id").filter("not q.base_failed").collect()
