@@ -11,8 +11,9 @@ block has ends every match, so stretches between such words that are shorter
 than the shortest window get no entries in the array.
 
 Null or empty texts have no words. Benchmark rows without words or with a null
-item_id are no items; repeated item_ids are one item. Any other columns,
-whatever their names, pass through.
+item_id are no items; repeated item_ids are one item. Each row is searched by itself,
+repeated or not, its text whole. Other columns pass through, except one of the result's
+name, which is replaced.
 """
 
 from __future__ import annotations
@@ -198,25 +199,30 @@ def find_contamination(
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ready = TestBlock(blocks[0].value, window) if len(blocks) == 1 else None
         for batch in batches:
-            rows = []
-            for part in chunks(batch):
-                texts = [words(x) for x in as_bytes(part)]
-                hits: list = [np.zeros(len(x), bool) for x in texts]
-                matches: list[list[tuple]] = [[] for _ in texts]
-                for sent in blocks:
-                    block = ready or TestBlock(sent.value, window)
-                    for k, (hit, found) in enumerate(search_shard(texts, block)):
-                        hits[k] |= hit
-                        matches[k] += found
-                for hit, found in zip(hits, matches):
-                    rows.append(
-                        {
-                            "n_words": len(hit),
-                            "n_hit": int(hit.sum()),
-                            "item_ids": sorted({m[0] for m in found}),
-                            "matches": [dict(zip(("item_id", "item_word", "doc_word", "n_words"), m)) for m in sorted(found)],
-                        }
-                    )
+            parts, hits, matches = list(chunks(batch)), [], []
+            for sent in blocks:  # outermost, so that a block is made ready once a batch
+                block, at = ready or TestBlock(sent.value, window), 0
+                for part in parts:
+                    for hit, found in search_shard([words(x) for x in as_bytes(part)], block):
+                        if at == len(hits):
+                            hits.append(hit)
+                            matches.append(found)
+                        else:
+                            hits[at] |= hit
+                            matches[at] += found
+                        at += 1
+            if not blocks:
+                hits = [np.zeros(len(words(x)), bool) for x in as_bytes(batch)]
+                matches = [[] for _ in hits]
+            rows = [
+                {
+                    "n_words": len(hit),
+                    "n_hit": int(hit.sum()),
+                    "item_ids": sorted({m[0] for m in found}),
+                    "matches": [dict(zip(("item_id", "item_word", "doc_word", "n_words"), m)) for m in sorted(found)],
+                }
+                for hit, found in zip(hits, matches)
+            ]
             yield pa.array(rows, kind)
 
     return small_batches(docs).withColumn(result_col, search(F.col(text_col).cast("string")))
