@@ -9,7 +9,7 @@ import corpus_pipeline
 from quirework.llm import mixing, near_dedup, queries, quality_rules, secret_scan
 from quirework.llm._shared import only_known
 
-TABLES = ("documents", "benchmark", "pages", "labels")
+TABLES = ("documents", "benchmark", "pages", "labels", "embeddings", "conversations")
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
