@@ -109,26 +109,6 @@ def manifests(chunks: DataFrame, objects: DataFrame) -> DataFrame:
     return by_object.join(by_chunk, "generation", "left").na.fill(0, ["chunk_count"])
 
 
-def pack_episodes(chunks: DataFrame, by: str, order: list[str], text: str, limit: int = 12_000) -> DataFrame:
-    """Chunks of each group packed in order into episodes of about ``limit`` bytes; an episode ends with the chunk that passes it.
-
-    A group is one dependency version, folded as a sorted array of its sizes.
-    """
-    sizes = F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in order], F.octet_length(text).alias("bytes_"))))
-    start = F.struct(F.lit(0).alias("episode"), F.lit(0).alias("held"), F.array().cast("array<struct<episode: int, bytes: int>>").alias("out"))
-
-    def add(state: Column, one: Column) -> Column:
-        grown = state["held"] + one["bytes_"]
-        full = (state["held"] > 0) & (grown > limit)
-        episode = F.when(full, state["episode"] + 1).otherwise(state["episode"])
-        row = F.struct(episode.alias("episode"), one["bytes_"].alias("bytes"))
-        return F.struct(episode.alias("episode"), F.when(full, one["bytes_"]).otherwise(grown).alias("held"), F.concat(state["out"], F.array(row)).alias("out"))
-
-    folded = chunks.groupBy(by).agg(F.aggregate(sizes, start, add, lambda s: s["out"]).alias("rows"))
-    rows = folded.select(by, F.explode("rows").alias("r"))
-    return rows.groupBy(by, F.col("r.episode").alias("episode")).agg(F.count("*").alias("chunks"), F.sum("r.bytes").alias("bytes"))
-
-
 def stride_sample(rows: DataFrame, order: list[str], most: int) -> DataFrame:
     """``most`` rows evenly spread over the sorted rows: positions ``floor(i * n / most)``.
 

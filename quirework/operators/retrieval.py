@@ -8,19 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from quirework.functions.text import search_terms
-from quirework.session import scratch_path
+from quirework.operators.index import BUCKETS, Index, bucket, live
+from quirework.session import stored
 
 K1, B = 1.2, 0.75
+#: Documents of a slice and questions that are scored together.
+SLICE_DOCS, QUESTIONS = 4096, 512
 #: Scores are compared at this many decimals, so that the order of summation doesn't decide.
 DECIMALS = 6
 
@@ -47,63 +49,105 @@ def top_k(hits: DataFrame, by: list[str], k: int, order: list[str] | None = None
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-class Index(NamedTuple):
-    """Postings (bucket, scope, term, id, length, tf), written once; each chunk has one more, of the empty term, with its length."""
-
-    postings: DataFrame
-    buckets: int
-
-
-def _bucket(scope: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(scope.cast("string")), F.lit(buckets)).cast("int")
-
-
-def index(chunks: DataFrame, scope: str, chunk_id: str, text: str, path: str | None = None, buckets: int = 16) -> Index:
-    """Tokenises ``chunks`` once and writes their postings, in folders by a hash of the scope.
-
-    A search in some scopes reads their folders alone, and of those the terms asked for
-    (files are sorted by term, so that a scan skips row groups). ``path`` is below the
-    shared folder unless given; :func:`opened` takes it up again.
-    """
-    terms = F.concat(F.array(F.lit("")), search_terms(F.col(text)))
-    rows = chunks.select(F.col(scope).alias("scope"), F.col(chunk_id).alias("id"), terms.alias("terms"))
-    each = rows.select("scope", "id", (F.size("terms") - 1).alias("length"), F.explode("terms").alias("term"))
-    counted = each.groupBy("scope", "id", "length", "term").agg(F.count("*").cast("int").alias("tf")).withColumn("bucket", _bucket(F.col("scope"), buckets))
-    path = path or scratch_path(chunks.sparkSession, "postings")
-    counted.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
-    return opened(chunks.sparkSession, path, counted.schema, buckets)
-
-
-def opened(spark: SparkSession, path: str, schema: StructType, buckets: int = 16) -> Index:
-    return Index(spark.read.schema(schema).parquet(path), buckets)
-
-
-def bm25(found: Index, queries: DataFrame, k: int = 10, salts: int = 8) -> DataFrame:
+def bm25(found: Index, queries: DataFrame, k: int = 10, pooled: bool = False, block_bytes: int = 4 << 20) -> DataFrame:
     """(query_id, scope, id, score, rank) for each query (query_id, text) in every scope, or in its own if it has one.
 
-    Query terms are a set. Only the postings of terms that some query has are read on,
-    each weighed once, and dealt by term and a hash of the chunk, so that a term which
-    every query and chunk has is no single task's.
+    ``pooled`` takes all scopes as one (ids must tell the points of all of them apart), and
+    its rows have no scope. Query terms are a set. Only postings of terms that some query
+    has are read on, each weighed once, and dealt by scope and a hash of the chunk into
+    slices of bounded size; each slice meets the queries in blocks of bounded bytes, one
+    block a pass, and keeps its k best a query.
     """
-    scoped = "scope" in queries.columns
+    scoped = "scope" in queries.columns and not pooled
+    query_type, id_type = queries.schema["query_id"].dataType.simpleString(), found.points.schema["id"].dataType.simpleString()
     postings = found.postings
-    asked = queries.select("query_id", *([F.col("scope").alias("q_scope")] if scoped else []), F.explode(F.array_distinct(search_terms(F.col("text")))).alias("term"))
+    scope = F.col("scope").cast("string").alias("scope") if scoped else F.lit("").alias("scope")
+    asked = stored(queries.select("query_id", scope, F.array_distinct(search_terms(F.col("text"))).alias("terms")), "asked")
     if scoped:
-        wanted = queries.select(_bucket(F.col("scope"), found.buckets).alias("b")).distinct().limit(found.buckets).collect()  # folders, at most ``buckets``
+        wanted = queries.select(bucket(F.col("scope")).alias("b")).distinct().limit(BUCKETS).collect()  # folders, at most BUCKETS
         postings = postings.filter(F.col("bucket").isin([r.b for r in wanted]))
-    sizes = postings.filter("term = ''").groupBy("scope").agg(F.count("*").alias("n_docs"), F.sum("length").alias("total"))
-    stats = sizes.select("scope", "n_docs", F.when(F.col("total") == 0, 1.0).otherwise(F.col("total") / F.col("n_docs")).alias("avg_length"))
-    matching = postings.filter("term <> ''").join(asked.select("term").distinct(), "term", "left_semi").drop("bucket")
-    df = matching.groupBy("scope", "term").agg(F.count("*").alias("df"))
-    weights = df.join(stats, "scope").withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    terms = asked.select(F.explode("terms").alias("term")).distinct()
+    matching = live(postings.join(terms, "term", "left_semi"), found.gone)
+    by = [] if pooled else ["scope"]
+    sizes = found.sizes.groupBy().agg(F.sum("n_docs").alias("n_docs"), F.sum("total").alias("total")) if pooled else found.sizes
+    stats = sizes.select(*by, "n_docs", F.when(F.col("total") == 0, 1.0).otherwise(F.col("total") / F.col("n_docs")).alias("avg_length"))
+    df = matching.groupBy(*by, "term").agg(F.count("*").alias("df"))
+    weights = (df.crossJoin(F.broadcast(stats)) if pooled else df.join(stats, "scope")).withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # pooled: one row
     damp = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length"))
-    part = matching.join(weights, ["scope", "term"]).select("scope", "term", "id", (F.col("idf") * F.col("tf") * (K1 + 1) / damp).alias("part"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
-    on = ["term", "salt"]
-    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    slice_ = F.pmod(F.xxhash64("id"), F.ceil(F.col("n_docs") / SLICE_DOCS)).alias("slice")
+    part = (F.col("idf") * F.col("tf") * (K1 + 1) / damp).alias("part")
+    weighed = matching.join(weights, [*by, "term"]).select(*by, slice_, "id", "term", part)
     if scoped:
-        on, asked = ["scope", *on], asked.withColumnRenamed("q_scope", "scope")
-    scored = part.join(asked, on).groupBy("query_id", "scope", "id").agg(F.round(F.sum("part"), DECIMALS).alias("score"))
-    return top_k(scored, ["query_id", "scope"], k)
+        weighed = weighed.withColumn("own", F.col("scope").cast("string"))
+    keys = [*by, "slice", *(["own"] if scoped else [])]
+    kind = f"query_id {query_type}, {'' if pooled else 'scope ' + found.points.schema['scope'].dataType.simpleString() + ', '}id {id_type}, score double"
+    blocks = _question_blocks(asked, block_bytes)
+    if len(blocks) > 1:
+        weighed = stored(weighed, "weighed")
+    passes = [weighed.groupBy(*keys).applyInArrow(_slice_scores(sent, k, pooled, scoped), kind) for sent in blocks]
+    none = queries.sparkSession.createDataFrame([], kind)
+    return top_k(reduce(DataFrame.unionByName, passes or [none]), ["query_id", *by], k)
+
+
+def _question_blocks(asked: DataFrame, block_bytes: int) -> list[Broadcast]:
+    """The questions' ids, scopes and terms (each term with the questions that have it) as broadcasts of about ``block_bytes``."""
+    size = F.aggregate("terms", F.lit(64), lambda n, t: n + F.octet_length(t) + 16)
+    total = asked.agg(F.sum(size)).first()[0] or 0
+    parts, out = max(1, -(-int(total) // block_bytes)), []
+    for part in range(parts):
+        mine = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part) if parts > 1 else asked
+        rows = mine.toArrow()
+        if rows.num_rows:
+            named: dict[str, list[int]] = {}
+            for q, terms in enumerate(rows.column("terms").to_pylist()):
+                for t in terms:
+                    named.setdefault(t, []).append(q)
+            block = rows.column("query_id").combine_chunks(), rows.column("scope").to_pylist(), {t: np.array(q) for t, q in named.items()}
+            out.append(asked.sparkSession.sparkContext.broadcast(block))
+    return out
+
+
+def _slice_scores(sent: Broadcast, k: int, pooled: bool, scoped: bool):
+    """Scores a slice's postings for the questions sent, ``QUESTIONS`` at a time in one dense table."""
+
+    def scored(key: tuple, table: pa.Table) -> pa.Table:
+        names, scopes, named = sent.value
+        ids, terms = (table.column(c).combine_chunks().dictionary_encode() for c in ("id", "term"))
+        order = pc.sort_indices(ids.dictionary).to_numpy()  # documents in order of id, so that places break ties
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        docs, parts = place[ids.indices.to_numpy()], table.column("part").to_numpy()
+        codes = terms.indices.to_numpy()
+        by = np.argsort(codes, kind="stable")
+        docs, parts, cuts = docs[by], parts[by], np.searchsorted(codes[by], np.arange(len(terms.dictionary) + 1))
+        own = np.array([s == key[-1].as_py() for s in scopes]) if scoped else None
+        found_q, found_d, found_s = [], [], []
+        for first in range(0, len(names), QUESTIONS):
+            last = min(first + QUESTIONS, len(names))
+            scores = np.zeros((last - first, len(order)))
+            for t, term in enumerate(terms.dictionary.to_pylist()):
+                q = named.get(term)
+                if q is None:
+                    continue
+                q = q[np.searchsorted(q, first) : np.searchsorted(q, last)]
+                q = q[own[q]] if scoped else q
+                if len(q):
+                    scores[np.ix_(q - first, docs[cuts[t] : cuts[t + 1]])] += parts[cuts[t] : cuts[t + 1]]
+            scores = np.round(scores, DECIMALS)
+            least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.zeros(len(scores))
+            q, d = np.nonzero((scores >= least[:, None]) & (scores > 0))
+            s = scores[q, d]
+            best = np.lexsort((d, -s, q))
+            q, d, s = q[best], d[best], s[best]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+            found_q.append(q[keep] + first)
+            found_d.append(order[d[keep]])
+            found_s.append(s[keep])
+        q, d, s = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_q, found_d, found_s))
+        columns = {"query_id": names.take(pa.array(q))} | ({} if pooled else {"scope": pa.array([key[0].as_py()] * len(q), key[0].type)}) | {"id": ids.dictionary.take(pa.array(d)), "score": pa.array(s, pa.float64())}
+        return pa.table(columns)
+
+    return scored
 
 
 def _blocks(queries: DataFrame, block_bytes: int) -> Iterator[Broadcast]:
@@ -181,9 +225,9 @@ def fuse(keyword: DataFrame, vector: DataFrame, k: int = 10, smoothing: int = 60
 
 
 def hybrid(found: Index, points: DataFrame, texts: DataFrame, vectors: DataFrame, k: int = 10, candidates: int = 50) -> DataFrame:
-    """BM25 and cosine fused, each with ``candidates`` hits at least."""
+    """BM25 over all scopes and cosine fused, each with ``candidates`` hits at least."""
     wide = max(k, candidates)
-    return fuse(bm25(found, texts, wide), cosine(points, vectors, wide), k)
+    return fuse(bm25(found, texts, wide, pooled=True), cosine(points, vectors, wide), k)
 
 
 def attach(hits: DataFrame, chunks: DataFrame, on: list[str]) -> DataFrame:

@@ -83,6 +83,13 @@ SELECT DISTINCT a.conv_id AS query_id, a.turn AS id FROM w a JOIN w b ON a.conv_
 WHERE a.turn = 0 OR len(list_intersect(a.s, b.s)) >= 0.3 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) AND len(a.s) + len(b.s) > 0"""
 SQL["metadata_filtered_points"] = "SELECT doc_id, source, lang FROM documents WHERE source = 'src3' AND lang = 'en'"
 SQL["delete_ids_or_filter"] = "SELECT source, count(*) AS n FROM documents WHERE NOT (doc_id IN (1, 2, 3) OR source = 'src5') GROUP BY source"
+_CHANGED = """SELECT source AS scope, doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN text || ' zebra unicorn' ELSE text END AS text FROM documents
+  WHERE (doc_id % 3 <> 0 OR doc_id % 5 = 0) AND doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND source IS DISTINCT FROM 'src5'
+  UNION ALL SELECT source, doc_id, text FROM documents WHERE doc_id % 77 = 0"""
+_SIZED = f"WITH d AS ({_CHANGED}), l AS (SELECT scope, id, len({terms('text')}) AS n FROM d)"
+SQL["index_search_after_changes"] = f"""WITH {bm25(_CHANGED, "SELECT item_id AS query_id, text || ' unicorn' AS text FROM benchmark", 5)} SELECT query_id, scope, id, score, rank FROM hits"""
+SQL["index_sizes_after_changes"] = f"{_SIZED} SELECT scope, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS total, count(*) AS points, CAST(sum(n) AS BIGINT) AS length FROM l GROUP BY scope"
+SQL["index_scope_filter"] = f"{_SIZED} SELECT scope, id, CAST(n AS INTEGER) AS length FROM l WHERE scope = 'src3'"
 SQL["content_hash_reuse"] = "SELECT doc_id, sha256(coalesce(text, '')) AS content_hash, min(doc_id) OVER (PARTITION BY text) AS object_id, min(doc_id) OVER (PARTITION BY text) <> doc_id AS reused FROM documents"
 SQL["reuse_counters"] = "SELECT source, count(*) FILTER (n > 1) AS reused, count(*) FILTER (n = 1) AS created FROM (SELECT source, row_number() OVER (PARTITION BY text ORDER BY source, doc_id) AS n FROM documents) GROUP BY source"
 SQL["object_identity"] = "SELECT doc_id, sha256(strlen(source) || ':' || source || strlen(lang) || ':' || lang || strlen(text) || ':' || text) AS object_id FROM documents"
@@ -107,6 +114,10 @@ SQL["episode_packing"] = r"""WITH RECURSIVE r AS (SELECT conv_id, row_number() O
 f AS (SELECT conv_id, i, 0 AS episode, b, b AS held FROM r WHERE i = 1
   UNION ALL SELECT r.conv_id, r.i, CASE WHEN held > 0 AND held + r.b > 500 THEN episode + 1 ELSE episode END, r.b, CASE WHEN held > 0 AND held + r.b > 500 THEN r.b ELSE held + r.b END FROM f JOIN r ON r.conv_id = f.conv_id AND r.i = f.i + 1)
 SELECT conv_id, CAST(episode AS INTEGER) AS episode, count(*) AS chunks, CAST(sum(b) AS BIGINT) AS bytes FROM f GROUP BY conv_id, episode"""
+SQL["episode_packing_of_corpus"] = r"""WITH RECURSIVE r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i, coalesce(strlen(text), 0) AS b FROM documents),
+f AS (SELECT lang, i, 0 AS episode, b, b AS held FROM r WHERE i = 1
+  UNION ALL SELECT r.lang, r.i, CASE WHEN held > 0 AND held + r.b > 12000 THEN episode + 1 ELSE episode END, r.b, CASE WHEN held > 0 AND held + r.b > 12000 THEN r.b ELSE held + r.b END FROM f JOIN r ON r.lang IS NOT DISTINCT FROM f.lang AND r.i = f.i + 1)
+SELECT lang, CAST(episode AS INTEGER) AS episode, count(*) AS chunks, CAST(sum(b) AS BIGINT) AS bytes FROM f GROUP BY lang, episode"""
 SQL["stride_sampling"] = "WITH r AS (SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) - 1 AS p, count(*) OVER () AS n FROM events) SELECT event_id, user_id FROM r WHERE n <= 100 OR p IN (SELECT i * n // 100 FROM range(100) t(i), (SELECT any_value(n) AS n FROM r))"
 SQL["breadcrumb_render"] = "SELECT doc_id, source || '@' || lang || CASE WHEN doc_id % 3 = 0 THEN ' > ' || lang || ' > ' || source WHEN doc_id % 2 = 0 THEN ' > docs/' || doc_id || ' > Symbol' ELSE '' END AS breadcrumb FROM documents"
 SQL["keyword_texts"] = "SELECT doc_id, md5(CASE WHEN t = '' THEN text ELSE t || chr(10) || text END) AS text_md5, CASE WHEN t = '' THEN 'path' ELSE t END AS title FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 <> 0 THEN '' WHEN doc_id % 2 = 0 THEN lang || '.' || source ELSE source END AS t FROM documents)"
@@ -144,6 +155,32 @@ SQL["promote_generations"] = f"""WITH {_GENS}, {_PTRS}, nw AS (SELECT package, v
 s AS (SELECT id, CASE WHEN id = new_id THEN 'ACTIVE' WHEN new_id IS NOT NULL AND state = 'ACTIVE' THEN 'SUPERSEDED' ELSE state END AS state FROM g LEFT JOIN nw USING (package, version)),
 p AS (SELECT coalesce(new_id, generation) AS x FROM ptr FULL JOIN nw USING (package, version))
 SELECT state, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM s GROUP BY state UNION ALL SELECT 'pointers', count(*), CAST(sum(x) AS BIGINT) FROM p"""
+SQL["promote_committed"] = f"""WITH {_GENS}, {_PTRS},
+r AS (SELECT id, ecosystem, package, version, CASE WHEN state = 'VALIDATING' THEN 'READY' ELSE state END AS state FROM g),
+fit AS (SELECT *, CASE WHEN id % 3 = 0 OR id % 4 = 1 THEN 'validation failed' WHEN state <> 'READY' THEN 'not ready' END AS why FROM r WHERE state IN ('READY', 'INDEXING')),
+newest AS (SELECT package, version, max(id) AS nid FROM fit WHERE why IS NULL GROUP BY ALL),
+o AS (SELECT 'outcome' AS part, coalesce(why, CASE WHEN id = nid THEN 'promoted' ELSE 'superseded' END) AS name, id FROM fit LEFT JOIN newest USING (package, version)
+  UNION ALL SELECT 'outcome', 'unknown', -id FROM fit WHERE id % 50 = 3
+  UNION ALL SELECT 'generations', CASE WHEN id = nid THEN 'ACTIVE' WHEN nid IS NOT NULL AND state = 'ACTIVE' THEN 'SUPERSEDED' ELSE state END, id FROM r LEFT JOIN newest USING (package, version)
+  UNION ALL SELECT 'pointers', version, coalesce(nid, generation) FROM ptr FULL JOIN newest USING (package, version)
+  UNION ALL SELECT 'no source', version, 0 FROM (SELECT DISTINCT package, version FROM r) WHERE (package, version) NOT IN (SELECT (package, version) FROM newest))
+SELECT part, name, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM o GROUP BY part, name"""
+SQL["rebuild_cleared"] = f"""WITH {_REFS}, {_GENS}, {_PTRS},
+mine AS (SELECT DISTINCT project, package, version FROM refs WHERE reason <> 'manual_pin' AND package LIKE 'p1%'),
+o AS (
+  SELECT 'references' AS part, reason AS name, CAST(project AS BIGINT) AS id FROM refs WHERE (project, package, version) NOT IN (SELECT (project, package, version) FROM mine)
+  UNION ALL SELECT 'pointers', version, generation FROM ptr WHERE (package, version) NOT IN (SELECT (package, version) FROM mine)
+  UNION ALL SELECT 'generations', CASE WHEN id IN (SELECT generation FROM ptr WHERE (package, version) IN (SELECT (package, version) FROM mine)) THEN 'SUPERSEDED' ELSE state END, id FROM g)
+SELECT part, name, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM o GROUP BY part, name"""
+SQL["gc_cascade"] = f"""WITH {_REFS}, {_GENS}, {_PTRS},
+gone AS (SELECT package, version FROM refs GROUP BY package, version HAVING count(*) FILTER (reason IN ('project', 'latest', 'manual_pin')) = 0 AND TIMESTAMP '2001-08-12' > max(last_seen) FILTER (reason = 'grace_period') + INTERVAL 14 DAY),
+o AS (
+  SELECT 'references' AS part, CAST(project AS BIGINT) AS id FROM refs WHERE (package, version) NOT IN (SELECT (package, version) FROM gone)
+  UNION ALL SELECT 'pointers', generation FROM ptr WHERE (package, version) NOT IN (SELECT (package, version) FROM gone)
+  UNION ALL SELECT 'generations', id FROM g WHERE (package, version) NOT IN (SELECT (package, version) FROM gone)
+  UNION ALL SELECT 'chunks', l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM g WHERE (package, version) IN (SELECT (package, version) FROM gone))
+  UNION ALL SELECT 'jobs SUCCEEDED', 0 FROM gone)
+SELECT part, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM o GROUP BY part"""
 SQL["active_pointer_join"] = f"WITH {_REFS}, {_GENS}, {_PTRS} SELECT DISTINCT project, package, version, generation IS NOT NULL AS has_active_generation FROM refs LEFT JOIN ptr USING (package, version)"
 SQL["latest_active_argmax"] = f"WITH {_GENS}, {_PTRS} SELECT package, version, generation FROM (SELECT ptr.*, row_number() OVER (PARTITION BY ptr.package ORDER BY updated_at DESC, generation) AS n FROM ptr JOIN g ON g.id = generation) WHERE n = 1"
 SQL["fleet_status"] = f"""WITH {_REFS}, {_GENS}, ptr AS (SELECT DISTINCT package, version FROM g WHERE state = 'ACTIVE' AND id % 2 = 0), d AS (SELECT DISTINCT project, package, version FROM refs)

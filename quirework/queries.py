@@ -8,6 +8,7 @@ Every query reads its whole tables.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +17,17 @@ from pyspark.sql import functions as F
 from quirework.functions import text as T
 from quirework.operators import documents as D
 from quirework.operators import embedding as M
+from quirework.operators import episodes as EP
 from quirework.operators import evaluation as E
+from quirework.operators import index as X
 from quirework.operators import normalizing as N
 from quirework.operators import provenance as O
 from quirework.operators import retrieval as R
+from quirework.plans import lifecycle as L
 from quirework.plans import reconcile as P
+from quirework.plans import snapshots as Z
 from quirework.plans import validation as V
+from quirework.session import scratch_path, shared_dir
 from quirework.sources import discovery as S
 from quirework.streaming import changes as C
 
@@ -43,9 +49,23 @@ def _tokens(spark: SparkSession, sf_dir: str, scope: str = "source") -> DataFram
     return R.tokenized(docs if scope != "" else docs.withColumn("", F.lit("all")), scope, "doc_id", "text")
 
 
-def _index(spark: SparkSession, sf_dir: str, scope: str = "source") -> R.Index:
+def _written(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], object]) -> X.Index:
+    """The index of the documents as they are now; one that was written before is opened again.
+
+    Its folder is named by the files that it was made from, their sizes and times.
+    """
     docs = table(spark, sf_dir, "documents")
-    return R.index(docs if scope != "" else docs.withColumn("", F.lit("all")), scope, "doc_id", "text")
+    files = sorted(map(str, docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()))  # a row a file
+    root = f"{shared_dir(spark)}/quirework-index-{name}-{hashlib.sha256(repr(files).encode()).hexdigest()[:32]}"
+    if not Z.view(spark, f"{root}/done"):
+        make(root)
+        Z.commit(spark, f"{root}/done", lambda _: {"done": spark.range(1)})
+    return X.opened(spark, root)
+
+
+def _index(spark: SparkSession, sf_dir: str, scope: Column | None = None, name: str = "source") -> X.Index:
+    points = table(spark, sf_dir, "documents").select((F.col("source") if scope is None else scope).alias("scope"), F.col("doc_id").alias("id"), "text")
+    return _written(spark, sf_dir, name, lambda root: X.upsert(spark, root, points))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +106,7 @@ def bm25_topk_by_scope(spark, sf_dir):
 
 @query
 def bm25_topk_global(spark, sf_dir):
-    return R.bm25(_index(spark, sf_dir, ""), _questions(spark, sf_dir), 10).drop("scope")
+    return R.bm25(_index(spark, sf_dir), _questions(spark, sf_dir), 10, pooled=True)
 
 
 @query
@@ -106,14 +126,14 @@ def rrf_hybrid_topk(spark, sf_dir):
     """Documents and vectors of one id are one chunk; every fiftieth is a query by its whole text and its vector."""
     points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     texts = table(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
-    return R.hybrid(_index(spark, sf_dir, ""), points, texts, points.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), 10)
+    return R.hybrid(_index(spark, sf_dir), points, texts, points.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), 10)
 
 
 @query
 def all_retained_topk(spark, sf_dir):
     """Each language is a package, each source a version: the three best of every version that is retained."""
-    docs = table(spark, sf_dir, "documents").filter("lang is not null").withColumn("version", F.concat_ws("@", "lang", "source"))
-    return R.bm25(R.index(docs, "version", "doc_id", "text"), _questions(spark, sf_dir), 3)
+    found = _index(spark, sf_dir, F.concat("lang", F.lit("@"), "source"), "version")
+    return R.bm25(found, _questions(spark, sf_dir), 3)
 
 
 @query
@@ -130,7 +150,7 @@ def compare_modes_union(spark, sf_dir):
 def eval_hit_mrr(spark, sf_dir):
     """Questions are benchmark items, right answers the documents that hold their whole text."""
     questions = _questions(spark, sf_dir)
-    hits = R.bm25(_index(spark, sf_dir, ""), questions, 10).select("query_id", "id", "rank")
+    hits = R.bm25(_index(spark, sf_dir), questions, 10, pooled=True).select("query_id", "id", "rank")
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     right = hits.join(texts, "id").join(questions.withColumnRenamed("text", "asked"), "query_id").filter(F.col("text").contains(F.col("asked")))
     ranks = E.first_right_rank(hits, right, questions)
@@ -177,6 +197,42 @@ def delete_ids_or_filter(spark, sf_dir):
     return left.groupBy("source").agg(F.count("*").alias("n"))
 
 
+def _changed_index(spark: SparkSession, sf_dir: str) -> X.Index:
+    """Two thirds of the documents, a fifth of all upserted with more words, some ids and one source deleted, then merged segments and new ones."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("scope"), F.col("doc_id").alias("id"), "text", F.lit("go").alias("ecosystem"), F.col("source").alias("package"), F.lit("v1").alias("version"))
+
+    def changed(root: str) -> None:
+        X.upsert(spark, root, docs.filter("id % 3 <> 0"))
+        X.upsert(spark, root, docs.filter("id % 5 = 0").withColumn("text", F.concat("text", F.lit(" zebra unicorn"))))
+        X.delete(spark, root, ids=docs.filter("id % 7 = 0").select("id"))
+        X.merge(spark, root)
+        X.delete(spark, root, ids=docs.filter("id % 11 = 0").select("id"), package="src5")
+        X.upsert(spark, root, docs.filter("id % 77 = 0"))
+
+    return _written(spark, sf_dir, "changed", changed)
+
+
+@query
+def index_search_after_changes(spark, sf_dir):
+    asked = _questions(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" unicorn")))
+    return R.bm25(_changed_index(spark, sf_dir), asked, 5)
+
+
+@query
+def index_sizes_after_changes(spark, sf_dir):
+    """What the index says of its scopes, and what its live points add up to."""
+    found = _changed_index(spark, sf_dir)
+    points = X.live(found.points, found.gone).groupBy("scope").agg(F.count("*").alias("points"), F.sum("length").alias("length"))
+    return found.sizes.join(points, "scope", "full").select("scope", "n_docs", "total", "points", "length")
+
+
+@query
+def index_scope_filter(spark, sf_dir):
+    found = _changed_index(spark, sf_dir)
+    chosen = X.selected(found, ecosystem="go", version="v1").join(X.selected(found, package="src3"), "scope", "left_semi")
+    return X.live(found.points, found.gone).join(chosen, "scope", "left_semi").select("scope", "id", "length")
+
+
 # Documents
 
 
@@ -243,7 +299,14 @@ def first_chunk_wins(spark, sf_dir):
 @query
 def episode_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "conversations")
-    return D.pack_episodes(docs, "conv_id", ["turn"], "text", 500)
+    return EP.pack_episodes(docs, "conv_id", ["turn"], "text", 500)
+
+
+@query
+def episode_packing_of_corpus(spark, sf_dir):
+    """Each language's documents, in order of id, in episodes of 12,000 bytes."""
+    docs = table(spark, sf_dir, "documents")
+    return EP.pack_episodes(docs, "lang", ["doc_id"], "text")
 
 
 @query
@@ -369,6 +432,69 @@ def promote_generations(spark, sf_dir):
     return after.groupBy("state").agg(F.count("*").alias("n"), F.sum("id").alias("ids")).unionByName(pointers.agg(F.lit("pointers").alias("state"), F.count("*").alias("n"), F.sum("generation").alias("ids")))
 
 
+def _ready(g: DataFrame) -> DataFrame:
+    return g.withColumn("state", F.when(F.col("state") == "VALIDATING", "READY").otherwise(F.col("state")))
+
+
+@query
+def promote_committed(spark, sf_dir):
+    """Outcomes of a promotion in one commit, and the tables after it."""
+    g = _ready(_generations(spark, sf_dir))
+    root = scratch_path(spark, "lifecycle")
+    no_source = g.select(*P.KEY).distinct()
+    L.create(spark, root, generations=g, pointers=_pointers(g), no_source=no_source)
+    bad = lambda c: F.when(c, F.array(F.lit("bad"))).otherwise(F.array().cast("array<string>"))
+    n = F.col("id")
+    reports = g.filter("state in ('READY', 'INDEXING')").select(n.alias("generation"), bad(n % 3 == 0).alias("structural"), bad(n % 4 == 1).alias("sanity"), bad(n < 0).alias("version_correctness"))
+    reports = reports.unionByName(reports.filter("generation % 50 = 3").withColumn("generation", -F.col("generation")))
+    outcome = L.promote_validated(spark, root, reports, F.expr(NOW))
+    after = Z.view(spark, root)
+    parts = [
+        outcome.select(F.lit("outcome").alias("part"), F.col("outcome").alias("name"), F.col("generation").alias("id")),
+        after.table("generations").select(F.lit("generations").alias("part"), F.col("state").alias("name"), "id"),
+        after.table("pointers").select(F.lit("pointers").alias("part"), F.col("version").alias("name"), F.col("generation").alias("id")),
+        after.table("no_source").select(F.lit("no source").alias("part"), F.col("version").alias("name"), F.lit(0).alias("id")),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy("part", "name").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query
+def rebuild_cleared(spark, sf_dir):
+    """Packages p1 and p10 to p19 made unbuilt: what is left of references and pointers, and the states."""
+    g, refs = _generations(spark, sf_dir), _references(spark, sf_dir)
+    root = scratch_path(spark, "lifecycle")
+    L.create(spark, root, generations=g, pointers=_pointers(g), references=refs)
+    resolved = refs.filter("reason <> 'manual_pin'").select("project", *P.KEY)
+    L.clear_for_rebuild(spark, root, resolved, refs.filter("package like 'p1%'").select("package"), F.expr(NOW))
+    after = Z.view(spark, root)
+    rows = after.table("generations").select(F.lit("generations").alias("part"), F.col("state").alias("name"), "id")
+    rows = rows.unionByName(after.table("pointers").select(F.lit("pointers").alias("part"), F.col("version").alias("name"), F.col("generation").alias("id")))
+    rows = rows.unionByName(after.table("references").select(F.lit("references").alias("part"), F.col("reason").alias("name"), F.col("project").cast("long").alias("id")))
+    return rows.groupBy("part", "name").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query
+def gc_cascade(spark, sf_dir):
+    """Expired versions deleted in order, with one version's index failing and done by a second run; what is left of each table."""
+    g, refs = _generations(spark, sf_dir), _references(spark, sf_dir)
+    chunks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("generation"), "l_partkey")
+    root = scratch_path(spark, "lifecycle")
+    L.create(spark, root, generations=g, pointers=_pointers(g), references=refs, chunks=chunks)
+    expired = P.expired_references(refs, F.expr("TIMESTAMP '2001-08-12 00:00:00'"), 14)
+    L.collect_versions(spark, root, expired, F.expr(NOW), erase=lambda left: left.filter("package = 'p3'").select("job", F.lit("index away").alias("error")))
+    L.collect_versions(spark, root, expired, F.expr(NOW))
+    after = Z.view(spark, root)
+    rows = after.table("generations").select(F.lit("generations").alias("part"), "id")
+    rows = rows.unionByName(after.table("pointers").select(F.lit("pointers").alias("part"), F.col("generation").alias("id")))
+    rows = rows.unionByName(after.table("references").select(F.lit("references").alias("part"), F.col("project").cast("long").alias("id")))
+    rows = rows.unionByName(after.table("chunks").select(F.lit("chunks").alias("part"), F.col("l_partkey").alias("id")))
+    rows = rows.unionByName(after.table("jobs").select(F.concat(F.lit("jobs "), "state").alias("part"), F.lit(0).alias("id")))
+    return rows.groupBy("part").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
 @query
 def active_pointer_join(spark, sf_dir):
     g = _generations(spark, sf_dir)
