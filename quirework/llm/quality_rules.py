@@ -2,10 +2,13 @@
 
 Two histograms of each text, of character classes and of common words, are compared
 with the references of every language by Jensen-Shannon distance (base 2, so 0 to
-1). References are the summed histograms of the documents of a language, of any that
-the corpus has enough of, gathered from all of it. A text is rejected if no language has both distances
+1). References are the summed histograms of all documents of one language, each language
+that the corpus names having its own. A text is rejected if no language has both distances
 within the limits. Texts shorter than a rule's minimum can't be told from chance,
-and that rule keeps them. The base rules on length and repetition come first.
+and that rule keeps them; so can't those of a language whose reference has fewer than
+MIN_REFERENCE characters, or of none: of these the share of symbols and control
+characters alone is compared, with that of all references together. So clean texts of a
+language stay however few they are. The base rules on length and repetition come first.
 
 Words are runs of anything but ASCII white space. Null texts count as empty: no
 words, so the base rules reject them. Rows count one by one, repeated or not; every
@@ -47,10 +50,8 @@ _WORDS = {w.encode(): k for k, w in enumerate(sorted({w for ws in COMMON_WORDS.v
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 or 48 <= b <= 57 else 32 for b in range(256))
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\r\x0b\x0c"
-#: The reference that documents without a language, and languages of few documents, make up.
-POOLED = "*"
-#: A language without common words here has a reference of its own from this many documents, and this share of all.
-OWN_DOCS, OWN_SHARE = 100, 1e-3
+#: Characters that a reference needs to stand for its language.
+MIN_REFERENCE = 50_000
 
 
 def class_histogram(text: bytes) -> np.ndarray:
@@ -96,6 +97,11 @@ def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.maximum(parts.sum(axis=1), 0) / 2), 0)
 
 
+def signs(letters: np.ndarray) -> np.ndarray:
+    """Of class histograms: letters and marks of any script, symbols, control characters."""
+    return np.stack([letters[..., 1] + letters[..., 2] + letters[..., 3] + letters[..., 6], letters[..., 4], letters[..., 5]], axis=-1)
+
+
 def nearest(letters: np.ndarray, words: np.ndarray, refs: list, limits: tuple[float, float], minima: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each text the reference that fits best, and its two distances; 0 where a text is too short for a rule."""
     chars, n = letters[:, 1:].sum(axis=1), words.sum(axis=1)
@@ -116,15 +122,10 @@ def language_references(
     The second pass leaves out the texts that are beyond twice the limits from every
     reference of the first, the third those beyond the limits from those of the second, so
     that junk doesn't shape what it is measured by.
-    Languages of fewer than OWN_DOCS documents or less than OWN_SHARE of all, if they have no
-    common words of their own, and rows without a language are pooled, so there are never
-    more than 1 / OWN_SHARE + 5 references.
+    A reference is a kilobyte, on the driver and in each task, and there are as many as the
+    corpus names languages. Rows without a language shape none.
     """
-    known = F.col(lang_col).cast("string")
-    least = max(OWN_DOCS, OWN_SHARE * docs.count())
-    own = [r.lang for r in docs.groupBy(known.alias("lang")).agg(F.count("*").alias("n")).filter((F.col("n") >= least) & F.col("lang").isNotNull()).collect()]
-    own = sorted({*own, *COMMON_WORDS})
-    rows = small_batches(docs).select(F.when(known.isin(*own), known).otherwise(POOLED).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null")
 
     def gather(first: list, most: tuple[float, float]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +146,7 @@ def language_references(
 
         parts = rows.mapInArrow(sums, "lang string, at int, n bigint").groupBy("lang", "at").agg(F.sum("n").alias("n"))
         out: dict[str, np.ndarray] = {}
-        for r in parts.collect():  # a bounded number of languages, each of fewer than 120 numbers
+        for r in parts.collect():  # fewer than 120 numbers a language
             out.setdefault(r.lang, np.zeros(N_CLASSES + len(_WORDS) + 1, np.int64))[r.at] = r.n
         return {k: (v[:N_CLASSES], v[N_CLASSES:]) for k, v in out.items()}
 
@@ -166,31 +167,39 @@ def quality_rules(
     min_words: int = 100,
     result_col: str = "quality",
 ) -> DataFrame:
-    """``docs`` with a struct: the base counts, base_failed, the distances and language, and kept."""
+    """``docs`` with a struct: the base counts, base_failed, the distances, the language that fits best, whether the text's own has a reference to rely on, and kept."""
     limits, minima = (class_limit, word_limit), (min_chars, min_words)
-    refs = sorted((references or language_references(docs, text_col, lang_col, limits, minima)).items())
+    found = language_references(docs, text_col, lang_col, limits, minima) if references is None else references
+    refs = sorted(found.items())
+    settled = {lang for lang, (letters, _) in refs if letters.sum() >= MIN_REFERENCE}
+    plain = signs(np.sum([letters for _, (letters, _) in refs], axis=0)) if refs else np.zeros(3)
     whole = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    kind = pa.struct([(c, pa.int64()) for c in whole] + [("class_distance", pa.float64()), ("word_distance", pa.float64()), ("nearest", pa.string())])
+    distances = ("class_distance", "word_distance", "sign_distance")
+    kind = pa.struct([(c, pa.int64()) for c in whole] + [(c, pa.float64()) for c in distances] + [("nearest", pa.string()), ("settled", pa.bool_())])
 
-    @F.arrow_udf(f"struct<{', '.join(f'{c}: bigint' for c in whole)}, class_distance: double, word_distance: double, nearest: string>")
-    def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            done = []
+    @F.arrow_udf(f"struct<{', '.join(f'{c}: bigint' for c in whole)}, {', '.join(f'{c}: double' for c in distances)}, nearest: string, settled: boolean>")
+    def measure(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch, langs in batches:
+            known, at, done = [x in settled for x in langs.to_pylist()], 0, []
             for part in chunks(batch):
                 texts = as_bytes(part)
                 counts = np.array([base_counts(x) for x in texts], np.int64)
                 letters, words = np.array([class_histogram(x) for x in texts]), np.array([word_histogram(x) for x in texts])
                 best, by_class, by_word = nearest(letters, words, refs, limits, minima)
-                columns = [pa.array(counts[:, k]) for k in range(5)] + [pa.array(by_class), pa.array(by_word)]
-                done.append(pa.StructArray.from_arrays([*columns, pa.array([refs[k][0] if k >= 0 else None for k in best.tolist()], pa.string())], fields=list(kind)))
+                by_sign = np.where(letters[:, 1:].sum(axis=1) >= min_chars, js_distance(signs(letters), plain), 0)
+                columns = [pa.array(counts[:, k]) for k in range(5)] + [pa.array(by_class), pa.array(by_word), pa.array(by_sign)]
+                columns += [pa.array([refs[k][0] if k >= 0 else None for k in best.tolist()], pa.string()), pa.array(known[at : at + len(texts)], pa.bool_())]
+                done.append(pa.StructArray.from_arrays(columns, fields=list(kind)))
+                at += len(texts)
             yield pa.concat_arrays(done) if done else pa.array([], kind)
 
     name = free_name(docs, "measured")
-    at: dict[str, Column] = {c: F.col(name)[c] for c in (*whole, "class_distance", "word_distance", "nearest")}
+    at: dict[str, Column] = {c: F.col(name)[c] for c in (*whole, *distances, "nearest", "settled")}
     failed = (at["n_words"] < 50) | (100 * at["n_repeat_words"] > 50 * at["n_words"])
     near = (at["class_distance"] <= class_limit) & (at["word_distance"] <= word_limit)
-    result = F.struct(*[c.alias(k) for k, c in at.items()], failed.alias("base_failed"), (~failed & near).alias("kept"))
-    return small_batches(docs).withColumn(name, measure(F.col(text_col).cast("string"))).withColumn(result_col, result).drop(name)
+    unknown = ~at["settled"] & (at["sign_distance"] <= class_limit)
+    result = F.struct(*[c.alias(k) for k, c in at.items()], failed.alias("base_failed"), (~failed & (near | unknown)).alias("kept"))
+    return small_batches(docs).withColumn(name, measure(F.col(text_col).cast("string"), F.col(lang_col).cast("string"))).withColumn(result_col, result).drop(name)
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:

@@ -104,22 +104,67 @@ def test_base_counts_equal_brute_force(spark, sf_dir):
         assert not (q.kept and q.base_failed)
 
 
-def test_every_language_of_the_corpus_has_its_reference(spark, sf_dir):
-    """Clean texts of two more scripts stay, and junk under their names goes."""
+SCRIPTS = {"ru": "абвгдежзиклмнопрстуфхцчшыьэюя", "it": "aaeeiioobcdfglmnprstuv", "ja": "あいうえおかきくけこさしすせそたちつてとなにぬねの", None: "αβγδεζηθικλμνξοπρστυφχψω"}
+
+
+@pytest.mark.parametrize("n", [5, 90, 150])
+def test_clean_texts_stay_however_few_their_language_has(spark, sf_dir, n):
+    """Languages of three more scripts and rows without one; junk under their names goes."""
     rng = random.Random(8)
 
-    def texts(letters, n):
+    def texts(letters):
         vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(400)]
         return [". ".join(" ".join(rng.choice(vocabulary) for _ in range(9)) for _ in range(15)) for _ in range(n)]
 
-    made = [(10**6 + k, t, lang) for lang, letters in (("ru", "абвгдежзиклмнопрстуфхцчшыьэюя"), ("it", "aaeeiioobcdfglmnprstuv")) for k, t in enumerate(texts(letters, 150), 1000 * (lang == "it"))]
-    junk = [(10**6 + 5000 + k, " ".join("#$%|<>&*"[rng.randrange(8)] * 3 + str(rng.randrange(99)) for _ in range(150)), "ru") for k in range(10)]
+    made = [(10**6 + 1000 * c + k, t, lang) for c, (lang, letters) in enumerate(SCRIPTS.items()) for k, t in enumerate(texts(letters))]
+    junk = [(2 * 10**6 + 10 * c + k, " ".join("#$%|<>&*"[rng.randrange(8)] * 3 + str(rng.randrange(99)) for _ in range(150)), lang) for c, lang in enumerate(SCRIPTS) for k in range(3)]
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang").unionByName(spark.createDataFrame(made + junk, "doc_id long, text string, lang string"))
     kept = {r.doc_id for r in quality_rules.quality_rules(docs, result_col="q").filter("q.kept").collect()}
     assert not {i for i, _, _ in made} - kept
     assert not {i for i, _, _ in junk} & kept
 
 
+def test_verdicts_equal_brute_force(spark, sf_dir):
+    """Distances, nearest language and verdict, text by text in plain Python, from the references."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang").unionByName(small(spark, [(i, t, "xx") for i, t, *_ in ODD if i], "doc_id long, text string, lang string"))
+    refs = quality_rules.language_references(docs)
+    assert set(refs) == {r.lang for r in docs.select("lang").distinct().collect()}
+
+    def distance(p, q):
+        total, whole = sum(p), sum(q)
+        if not total:
+            return 0.0
+        p, q = [x / total for x in p], [x / whole for x in q]
+        m = [(x + y) / 2 for x, y in zip(p, q)]
+        return math.sqrt(max(0.0, sum(x * math.log2(x / z) for u in (p, q) for x, z in zip(u, m) if x) / 2))
+
+    def classes(text):
+        out = [0] * 7
+        for c in text or "":
+            out[0 if c in " \t\n\r\v\f" else 1 if c.isascii() and (c.islower() or c.isdigit()) else 2 if c.isascii() and c.isupper() else 3 if c in ".,;:!?'\"()-" else 6 if ord(c) > 127 else 5 if ord(c) < 32 or ord(c) == 127 else 4] += 1
+        return out
+
+    def common(text):
+        names = sorted({w for ws in quality_rules.COMMON_WORDS.values() for w in ws})
+        words = "".join(c.lower() if c.isascii() and c.isupper() else c if ord(c) > 127 or c.isascii() and c.isalnum() else " " for c in text or "").split(" ")
+        words = [w for w in words if w]
+        return [words.count(w) for w in names] + [sum(w not in names for w in words)]
+
+    def fold(h):
+        return [h[1] + h[2] + h[3] + h[6], h[4], h[5]]
+
+    plain = [sum(x) for x in zip(*(fold(list(r[0])) for r in refs.values()))]
+    settled = {k for k, r in refs.items() if r[0].sum() >= quality_rules.MIN_REFERENCE}
+    for r in quality_rules.quality_rules(docs, references=refs, result_col="q").collect():
+        h, w = classes(r.text), common(r.text)
+        pairs = [(distance(h, list(c)) if sum(h[1:]) >= 200 else 0.0, distance(w, list(d)) if sum(w) >= 100 else 0.0) for _, (c, d) in sorted(refs.items())]
+        best = min(pairs, key=lambda x: max(x[0] / 0.14, x[1] / 0.46))
+        assert (r.q.class_distance, r.q.word_distance) == pytest.approx(best, abs=1e-9)
+        sign = distance(fold(h), plain) if sum(h[1:]) >= 200 else 0.0
+        assert r.q.sign_distance == pytest.approx(sign, abs=1e-9)
+        assert r.q.kept == (not r.q.base_failed and (max(best[0] / 0.14, best[1] / 0.46) <= 1 or r.lang not in settled and sign <= 0.14))
+
+
 def test_divergence_keeps_clean_and_rejects_junk(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = quality_rules.quality_rules(documents(spark, sf_dir), result_col="q").join(labels, "doc_id").filter("not q.base_failed").collect()
