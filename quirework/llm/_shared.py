@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from quirework.session import scratch_path, shared_dir, stored  # noqa: F401
@@ -103,6 +104,34 @@ def as_bytes(texts: pa.Array) -> list[bytes]:
     return [x or b"" for x in texts.cast(kind).to_pylist()]
 
 
+def each_value(sent: list[Broadcast]) -> Iterator:
+    """The values of broadcasts one after another; a worker drops each before it reads the next."""
+    for one in sent:
+        yield one.value
+        if len(sent) > 1 and one._path is not None:
+            one.__dict__.pop("_value", None)  # what Broadcast.value keeps; it is read again from the worker's disk
+
+
+def collected_within(rows: DataFrame, content: str, most: int) -> list[Row]:
+    """The rows (``content``, label, size) of a sample, as many as hold ``most`` units of size.
+
+    Either label gets half of that, in order of a hash of the content, and one row at
+    least. Sizes come to the driver first, contents only of the rows taken.
+    """
+    kept = stored(rows.withColumn("key", F.xxhash64(content)), "measured")
+    taken = F.lit(False)
+    for label in (0, 1):
+        total, last = 0, None
+        for r in kept.filter(F.col("label") == label).select("key", "size").orderBy("key").collect():  # narrow rows of a bounded sample
+            total += r.size
+            if last is not None and total > most // 2:
+                break
+            last = r.key
+        if last is not None:
+            taken = taken | ((F.col("label") == label) & (F.col("key") <= last))
+    return sorted(kept.filter(taken).drop("key", "size").collect(), key=lambda r: (r.label, bytes(r[content])))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A fixed bijective mixing of unsigned 64-bit values."""
     x = x ^ (x >> np.uint64(32))

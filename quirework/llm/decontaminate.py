@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm._shared import as_bytes, chunks, free_name, ranges, small_batches
+from quirework.llm._shared import as_bytes, chunks, each_value, free_name, ranges, small_batches
 
 #: Words are runs of digits, letters a-z (A-Z lower-cased) and anything beyond ASCII.
 _FOLD = bytes(
@@ -200,8 +200,8 @@ def find_contamination(
         ready = TestBlock(blocks[0].value, window) if len(blocks) == 1 else None
         for batch in batches:
             parts, hits, matches = list(chunks(batch)), [], []
-            for sent in blocks:  # outermost, so that a block is made ready once a batch
-                block, at = ready or TestBlock(sent.value, window), 0
+            for items in [None] if ready else each_value(blocks):  # outermost, so that a block is made ready once a batch
+                block, at = ready or TestBlock(items, window), 0
                 for part in parts:
                     for hit, found in search_shard([words(x) for x in as_bytes(part)], block):
                         if at == len(hits):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm._shared import chunks, free_name, small_batches
+from quirework.llm._shared import chunks, each_value, free_name, small_batches
 
 #: Known trigrams (and letters) that a task keeps the vectors of, and trigrams that are summed at a time.
 KEPT, SLICE = 24_000, 2048
@@ -159,8 +159,8 @@ def identify_languages(docs: DataFrame, langs: list[str], prototypes: np.ndarray
                         vector = known.bundle(grams, counts)
                         vectors[k] = vector / max(np.linalg.norm(vector), 1e-12)
                 best, score = np.full(len(found), -1), np.full(len(found), -np.inf)
-                for n, sent in enumerate(blocks):
-                    cosine = vectors @ sent.value.T
+                for n, block in enumerate(each_value(blocks)):
+                    cosine = vectors @ block.T
                     at = cosine.argmax(axis=1)
                     top = cosine[np.arange(len(found)), at]
                     better = top > score

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm._shared import as_bytes, chunks, free_name, labelled_sample, small_batches
+from quirework.llm._shared import as_bytes, chunks, collected_within, free_name, labelled_sample, small_batches
 
 _KINDS = 8
 #: white space, a-z, A-Z, digit, sentence mark, bang, other symbol, beyond ASCII; 8 is none (within a character).
@@ -70,7 +70,7 @@ def features(measures: np.ndarray, edges: np.ndarray) -> np.ndarray:
     bins = np.stack([np.searchsorted(edges[k], measures[:, k], side="right") for k in range(MEASURES)], axis=1)
     outside = np.full((1, MEASURES), BINS)
     near = np.concatenate((bins, np.concatenate((outside, bins[:-1])), np.concatenate((bins[1:], outside))), axis=1)
-    return near + np.arange(3 * MEASURES) * (BINS + 1)
+    return (near + np.arange(3 * MEASURES) * (BINS + 1)).astype(np.int32)
 
 
 def _scan(m: np.ndarray, longest: int) -> np.ndarray:
@@ -155,10 +155,11 @@ def fit(lines: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds
     return w, t
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, max_lines: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, max_lines: int = 2000, all_lines: int = 600_000, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
     """The fitted field, from a sample of ``per_class`` documents of each label at most; None without both labels.
 
-    Of a document with more than ``max_lines`` lines as many are learned from, from a place given by the hash of its text.
+    Of a document with more than ``max_lines`` lines as many are learned from, from a place given by the hash of its text; all
+    documents together have ``all_lines``.
     """
     sample, totals = labelled_sample(docs, labels, label, per_class, id_col, text_col)
 
@@ -169,12 +170,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
                 found = line_measures(text)[0].astype(np.float32)
                 at = xxhash.xxh3_64_intdigest(text) % max(1, len(found) - max_lines + 1)
                 rows.append(found[at : at + max_lines].tobytes())
-            yield pa.RecordBatch.from_pydict({"m": rows, "label": batch.column(1)})
+            sizes = [len(r) // (4 * MEASURES) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1), pa.array(sizes, pa.int64())], ["m", "label", "size"])
 
-    rows = sample.mapInArrow(measure, "m binary, label int").collect()
+    rows = collected_within(sample.mapInArrow(measure, "m binary, label int, size long"), "m", all_lines)
     if {r.label for r in rows} != {0, 1}:
         return None
-    rows = sorted(rows, key=lambda r: (r.label, bytes(r.m)))
     measures = [np.frombuffer(r.m, np.float32).reshape(-1, MEASURES) for r in rows]
     y = np.array([r.label for r in rows])
     flat = np.concatenate(measures)

@@ -7,7 +7,10 @@ ones can be located afterwards.
 
 The model is fitted on a bounded sample of labelled documents (``per_class`` of each
 label at most, weighed by how often the label occurs), with the words that occur in
-``min_docs`` of them. Tasks make the features; the driver gets numbers only.
+``min_docs`` of them. Of a longer document ``max_bytes`` are learned from, from a place given
+by its hash, and none if it is toxic, as the offending sentence may lie elsewhere; all
+documents together have ``max_features`` features. Tasks make these; the driver gets
+numbers only.
 
 Null and empty texts have no sentence and score what the bias alone gives. Each row
 is scored by itself, from its whole text; other columns pass through, except one of the
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm._shared import as_bytes, chunks, free_name, labelled_sample, small_batches
+from quirework.llm._shared import as_bytes, chunks, collected_within, free_name, labelled_sample, small_batches
 
 _SENTENCE = re.compile(rb"[.!?\n]+")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 or 48 <= b <= 57 else 46 if b in b".!?\n" else 32 for b in range(256))
@@ -77,12 +80,12 @@ def fit(docs: list[list[np.ndarray]], labels: np.ndarray, weights: np.ndarray, m
     kept = numbers[counts >= min_docs]
     flat, of_sentence, of_doc, k = [], [], [], 0
     for d, sents in enumerate(docs):
-        for s in sents or [np.zeros(0, np.int64)]:
+        for s in sents or [np.zeros(0, np.int32)]:
             at = np.searchsorted(kept, s)
             ok = at < len(kept)
             ok[ok] = kept[at[ok]] == s[ok]
-            flat.append(at[ok])
-            of_sentence.append(np.full(int(ok.sum()), k))
+            flat.append(at[ok].astype(np.int32))
+            of_sentence.append(np.full(int(ok.sum()), k, np.int32))
             of_doc.append(d)
             k += 1
     flat, of_sentence, of_doc = np.concatenate(flat), np.concatenate(of_sentence), np.array(of_doc)
@@ -107,28 +110,36 @@ def fit(docs: list[list[np.ndarray]], labels: np.ndarray, weights: np.ndarray, m
     return kept[used], w[used], bias
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
+def train(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2000, max_bytes: int = 64_000, max_features: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text"
+) -> dict | None:
     """The fitted model, from a sample of ``per_class`` documents of each label at most; None without both labels."""
     sample, totals = labelled_sample(docs, labels, label, per_class, id_col, text_col)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Remembered(word_features)
         for batch in batches:
-            rows = []
-            for text in as_bytes(batch.column(0)):
+            rows, marks = [], []
+            for text, mark in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
+                if len(text) > max_bytes:
+                    if mark:
+                        continue
+                    at = xxhash.xxh3_64_intdigest(text) % (len(text) - max_bytes + 1)
+                    text = text[at : at + max_bytes]
+                marks.append(mark)
                 found = [[n for w in sorted(s) for n in known[w]] for s in sentence_words(text, sentences(text))]
                 parts = np.concatenate([np.concatenate(([len(f)], f)) for f in found]) if found else np.zeros(0)
                 rows.append(parts.astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_pydict({"f": rows, "label": batch.column(1)})
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(marks, pa.int32()), pa.array([len(r) // 4 for r in rows], pa.int64())], ["f", "label", "size"])
 
-    rows = sorted(sample.mapInArrow(features, "f binary, label int").collect(), key=lambda r: (r.label, bytes(r.f)))
+    rows = collected_within(sample.mapInArrow(features, "f binary, label int, size long"), "f", max_features)
     if {r.label for r in rows} != {0, 1}:
         return None
     read = []
     for r in rows:
         flat, at, doc = np.frombuffer(r.f, np.int32), 0, []
         while at < len(flat):
-            doc.append(flat[at + 1 : at + 1 + flat[at]].astype(np.int64))
+            doc.append(flat[at + 1 : at + 1 + flat[at]])
             at += 1 + flat[at]
         read.append(doc)
     y = np.array([r.label for r in rows])
