@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quirework.functions.markdown import sections
 from quirework.functions.text import chunk_title, identity, stripped
 from quirework.operators.ordering import numbered
+from quirework.operators.skew import join_back
 
 _SECTION = pa.struct([("ordinal", pa.int32()), ("heading", pa.string()), ("path", pa.list_(pa.string())), ("body", pa.string())])
 SECTIONS = "array<struct<ordinal: int, heading: string, path: array<string>, body: string>>"
@@ -74,17 +75,17 @@ def reuse_content(docs: DataFrame, doc_id: str, content: str, order: list[Column
     """``docs`` with content_hash, object_id and reused: equal contents share the first object's id.
 
     First is by ``order``; a content in ``known`` (content_hash, object_id) is reused from
-    there. The minimum per hash is combined before the shuffle, so a content that a
-    third of the rows share is no large group.
+    there. The minimum per hash is combined before the shuffle, and contents that many rows
+    share are joined back by broadcast, so one that a third of the rows have is no task's alone.
     """
     hashed = docs.withColumn("content_hash", F.sha2(F.coalesce(F.col(content), F.lit("")), 256))
     rank = F.struct(*[c.alias(f"o{n}") for n, c in enumerate(order)], F.col(doc_id).alias("id"))
-    first = hashed.groupBy("content_hash").agg(F.min(rank)["id"].alias("first_id"))
-    found = hashed.join(first, "content_hash")
+    first = hashed.groupBy("content_hash").agg(F.min(rank)["id"].alias("first_id"), F.count("*").alias("times_"))
     if known is not None:
-        found = found.join(known.select("content_hash", F.col("object_id").alias("known_id")), "content_hash", "left")
+        first = first.join(known.groupBy("content_hash").agg(F.min("object_id").alias("known_id")), "content_hash", "left")
     else:
-        found = found.withColumn("known_id", F.lit(None).cast(docs.schema[doc_id].dataType))
+        first = first.withColumn("known_id", F.lit(None).cast(docs.schema[doc_id].dataType))
+    found = join_back(hashed, first, "content_hash")
     object_id = F.coalesce("known_id", "first_id")
     return found.withColumn("object_id", object_id).withColumn("reused", F.col("known_id").isNotNull() | (F.col("first_id") != F.col(doc_id))).drop("first_id", "known_id")
 

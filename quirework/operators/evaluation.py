@@ -45,6 +45,58 @@ def index_quantiles(rows: DataFrame, by: str, value: str, percents: dict[str, in
     return upto.groupBy(by).agg(F.first("n").alias("n"), *columns)
 
 
+def tallied(ranks: DataFrame, groups: DataFrame) -> DataFrame:
+    """A row a method and group: n, hit1, hit3, hit10, lenient3, mrr and lenient_mrr.
+
+    ``ranks``: method, query_id, right_rank and lenient_rank (of the first that is as good as
+    right), null for none; ``groups``: query_id, group. Ranks beyond 10 count as misses.
+    """
+
+    def within(rank: str, k: int) -> Column:
+        return F.sum(F.when(F.col(rank) <= k, 1).otherwise(0))
+
+    def mean(rank: str) -> Column:
+        return F.round(F.sum(F.when(F.col(rank) <= 10, 1 / F.col(rank)).otherwise(0.0)) / F.count("*"), 6)
+
+    return (
+        ranks.join(groups.select("query_id", "group").distinct(), "query_id")
+        .groupBy("method", "group")
+        .agg(F.count("*").alias("n"), *[within("right_rank", k).alias(f"hit{k}") for k in (1, 3, 10)], within("lenient_rank", 3).alias("lenient3"), mean("right_rank").alias("mrr"), mean("lenient_rank").alias("lenient_mrr"))
+    )
+
+
+def all_groups(questions: DataFrame) -> DataFrame:
+    """(query_id, group) of questions (query_id, name, source, kind, answer): all, their half, source, kind and kind of answer."""
+    half = F.when(tune_or_test(F.col("name")) == "test", "held-out test half").otherwise("tune half")
+    named = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("source", "kind", "answer")]
+    return questions.select("query_id", F.explode(F.array(F.lit("all questions"), half, *named)).alias("group"))
+
+
+def paired_bootstrap(ranks: DataFrame, method: str, against: str, replicates: int = 1000, percents: tuple[int, int] = (25, 975), seed: str = "0") -> DataFrame:
+    """One row (difference, low, high): the mean difference of two methods' reciprocal ranks over the questions, and its interval.
+
+    A replicate weighs each question by a Poisson number (mean 1) that a hash of the
+    question and the replicate gives, so that both methods have the same weights, any
+    partitioning gives the same figures and no sample is drawn on the driver. ``percents`` are
+    thousandths of the sorted differences.
+    """
+    gain = F.when(F.col("right_rank") <= 10, 1 / F.col("right_rank")).otherwise(0.0)
+    each = ranks.groupBy("query_id").agg((F.sum(F.when(F.col("method") == method, gain)) - F.sum(F.when(F.col("method") == against, gain))).alias("d")).filter("d is not null")
+    rows = each.select("query_id", "d", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    named = F.concat_ws(":", F.lit(seed), F.col("query_id").cast("string"), F.col("replicate").cast("string"))
+    u = F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("long") / 4294967296.0
+    weight, upto, term = F.lit(0), 0.0, 0.36787944117144233  # e to the -1, over k factorial
+    for k in range(12):
+        upto += term
+        weight = weight + F.when(u >= upto, 1).otherwise(0)
+        term /= k + 1
+    drawn = rows.withColumn("w", weight).groupBy("replicate").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("mean")).filter("mean is not null")
+    place = F.row_number().over(Window.orderBy("mean")) - 1  # ``replicates`` rows
+    placed = drawn.withColumns({"place": place, "n": F.count("*").over(Window.partitionBy())})
+    ends = [F.round(F.min(F.when(F.col("place") == F.floor(F.col("n") * p / 1000), F.col("mean"))), 6).alias(name) for name, p in zip(("low", "high"), percents)]
+    return each.agg(F.round(F.avg("d"), 6).alias("difference")).crossJoin(placed.agg(*ends))  # one row each
+
+
 def equivalent(found: DataFrame, right: DataFrame, least: float = 0.8) -> DataFrame:
     """Pairs (query_id, id) of found chunks that are as good as a right one.
 

@@ -73,7 +73,9 @@ def _in_project(asked: DataFrame, projects: DataFrame, dependencies: DataFrame,
 
 
 def _latest(asked: DataFrame, references: DataFrame, pointers: DataFrame) -> DataFrame:
-    newest = references.groupBy("package").agg(F.max_by(F.struct("ecosystem", "version"), F.struct("last_seen", "ecosystem", "version")).alias("r"))
+    """By the references with the reason ``latest`` alone; of several the first by key."""
+    key = F.concat_ws("|", *KEY, "project", "reason")
+    newest = references.filter("reason = 'latest'").groupBy("package").agg(F.min_by(F.struct("ecosystem", "version"), key).alias("r"))
     found = asked.join(newest, "package", "left").select("query_id", "package", F.col("r.ecosystem").alias("ecosystem"), F.col("r.version").alias("version"))
     error = F.when(F.col("version").isNull(), NO_DEPENDENCY).when(F.col("generation").isNull(), NO_GENERATION)
     return found.join(pointers, KEY, "left").select("query_id", "generation", error.alias("error"), F.lit("latest").alias("found_by"))
@@ -83,8 +85,8 @@ def search_scopes(asked: DataFrame, projects: DataFrame, dependencies: DataFrame
     """(query_id, generation, error, found_by): the generations that a question is asked in, by its mode.
 
     ``asked``: query_id, mode, project, package. Modes: ``project`` (the version that the
-    project resolves), ``latest`` (the reference seen last), ``compare`` (both, one of them
-    may fail) and ``all-retained`` (each referred version that is active). What can't be
+    project resolves), ``latest`` (the reference recorded as the latest), ``compare`` (both, one of
+    them may fail; one row with both errors if both do) and ``all-retained`` (each referred version that is active). What can't be
     searched has one row with an error, so it differs from a search without hits.
     ``dependencies``: project, ordinal, ecosystem, package, version; ``references`` have
     last_seen; ``pointers``: ecosystem, package, version, generation, one row a version.
@@ -97,9 +99,11 @@ def search_scopes(asked: DataFrame, projects: DataFrame, dependencies: DataFrame
     retained = asked.filter(mode == "all-retained").join(versions, "package", "left").join(at, KEY, "left")
     everything = retained.filter(F.col("generation").isNotNull() | F.col("version").isNull()).select("query_id", "generation", F.when(F.col("version").isNull(), NO_DEPENDENCY).alias("error"), F.lit("all-retained").alias("found_by"))
     single = own.unionByName(last)
-    both = single.join(asked.filter(mode == "compare").select("query_id"), "query_id", "left_semi").groupBy("query_id").agg(F.count("generation").alias("works"))
-    kept = single.join(both, "query_id", "left").filter(F.col("works").isNull() | (F.col("works") == 0) | F.col("generation").isNotNull())
-    return kept.drop("works").unionByName(everything)
+    said = {name: F.max(F.when(F.col("found_by") == name, F.col("error"))) for name in ("project", "latest")}
+    both = single.join(asked.filter(mode == "compare").select("query_id"), "query_id", "left_semi").groupBy("query_id").agg(F.count("generation").alias("works"), *[c.alias(f"{n}_error") for n, c in said.items()])
+    failed = both.filter("works = 0").select("query_id", F.lit(None).cast(pointers.schema["generation"].dataType).alias("generation"), F.concat(F.lit("compare: project search: "), "project_error", F.lit("; latest search: "), "latest_error").alias("error"), F.lit("compare").alias("found_by"))
+    kept = single.join(both, "query_id", "left").filter(F.col("works").isNull() | F.col("generation").isNotNull())
+    return kept.drop("works", "project_error", "latest_error").unionByName(failed).unionByName(everything)
 
 
 def described(references: DataFrame, matches: DataFrame, pointers: DataFrame, generations: DataFrame, manifests: DataFrame, replicas: DataFrame) -> DataFrame:

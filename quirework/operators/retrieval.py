@@ -168,46 +168,83 @@ def _units(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm == 0, np.inf, norm)
 
 
+def _keys(ids: pa.Array) -> np.ndarray:
+    """Ids as an array that sorts as they do: whole numbers, or texts."""
+    if pa.types.is_integer(ids.type):
+        return ids.to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.array(ids.to_pylist(), dtype=str)
+
+
+class _Nearest:
+    """The k best (score, id) of each query so far, as flat arrays that are cut back from time to time."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.bar = k, np.full(queries, -np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size, self.most = 0, 4 * queries * k + 100_000
+
+    def add(self, q: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of the queries ``q`` (rows) with ``ids`` (columns)."""
+        floor = self.bar[q]
+        if scores.shape[1] > self.k:  # ties with the k-th stay in
+            floor = np.maximum(floor, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        line, column = np.nonzero(scores >= floor[:, None])
+        self.parts.append((q[line], scores[line, column], ids[column]))
+        self.size += len(line)
+        if self.size > self.most:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        q, score, ids = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((ids, -score, q))
+        q, score, ids = q[order], score[order], ids[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < self.k
+        full = place == self.k - 1
+        self.bar[q[full]] = score[full]
+        self.parts, self.size = [(q[keep], score[keep], ids[keep])], int(keep.sum())
+        return self.parts[0]
+
+
 def cosine(points: DataFrame, queries: DataFrame, k: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
     """(query_id, id, score, rank): the exact k nearest points (id, vector) of each query (query_id, vector).
 
-    With a scope on both sides only points of the query's scope count. Queries go out in
-    blocks of bounded size, one a pass over the points, so a task holds one block; it keeps
-    its k best per query, so what is shuffled is k rows a query and task. A zero vector
-    scores 0, rows without a vector are left out. All vectors have one length; another is
-    an error.
+    With a scope on both sides only points of the query's scope count, and only those are
+    compared; a query may stand once in each of several scopes. Queries go out in blocks of
+    bounded size, one a pass over the points, so a task holds one block; it keeps its k
+    best per query, so what is shuffled is k rows a query and task. Ids are whole numbers or
+    texts. A zero vector scores 0, rows without an id or a vector are left out. All vectors
+    have one length; another is an error.
     """
     scoped = "scope" in queries.columns
     id_type, query_type = points.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     scope = F.coalesce(F.col("scope").cast("string"), F.lit("")) if scoped else F.lit("")
-    rows = points.filter("vector is not null").select("id", scope.alias("scope"), F.col("vector").cast("array<double>").alias("vector"))
+    rows = points.filter("vector is not null and id is not null").select("id", scope.alias("scope"), F.col("vector").cast("array<double>").alias("vector"))
 
     def nearest(sent: Broadcast):
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, of = [q for q, _, _ in sent.value], np.array([s for _, s, _ in sent.value])
-            units = _units(np.array([v for _, _, v in sent.value], np.float64))
-            lines = np.arange(len(names))[:, None]
-            top, ids = np.full((len(names), 0), -np.inf), np.full((len(names), 0), None, object)
+            names, units = [q for q, _, _ in sent.value], _units(np.array([v for _, _, v in sent.value], np.float64))
+            asking: dict[str, list[int]] = {}
+            for n, (_, s, _) in enumerate(sent.value):
+                asking.setdefault(s, []).append(n)
+            found = _Nearest(len(names), k)
+            kind = None
             for batch in batches:
                 if not len(batch):
                     continue
-                vectors = batch.column(2)
-                m = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
-                scores = np.round(units @ _units(m).T, DECIMALS) + 0.0
-                if scoped:
-                    scores[of[:, None] != np.array(batch.column(1).to_pylist())[None, :]] = -np.inf
-                both = np.concatenate((ids, np.broadcast_to(np.array(batch.column(0).to_pylist(), object), scores.shape)), axis=1)
-                scores = np.concatenate((top, scores), axis=1)
-                if scores.shape[1] > 4 * k:  # ties with the k-th stay in
-                    floor = np.partition(scores, -k, axis=1)[:, -k]
-                    most = int((scores >= floor[:, None]).sum(axis=1).max())
-                    near = np.argpartition(scores, -most, axis=1)[:, -most:]
-                    scores, both = scores[lines, near], both[lines, near]
-                order = np.array([sorted(range(len(s)), key=lambda n, s=s, i=i: (-s[n], i[n] is None, i[n]))[:k] for s, i in zip(scores, both)]).reshape(len(names), -1)
-                top, ids = scores[lines, order], both[lines, order]
-            found = [(names[q], ids[q, n], float(top[q, n])) for q, n in np.argwhere(np.isfinite(top))]
-            if found:
-                yield pa.RecordBatch.from_pydict({"query_id": [f[0] for f in found], "id": [f[1] for f in found], "score": [f[2] for f in found]})
+                ids, kind = _keys(batch.column(0)), batch.column(0).type
+                m = _units(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1))
+                where = np.array(batch.column(1).to_pylist()) if scoped else None
+                for s, q in asking.items():
+                    here = np.flatnonzero(where == s) if scoped else slice(None)
+                    if not scoped or len(here):
+                        q = np.array(q)
+                        found.add(q, np.round(units[q] @ m[here].T, DECIMALS) + 0.0, ids[here])
+            q, score, ids = found.cut()
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array([names[n] for n in q.tolist()]), pa.array(ids.tolist(), kind), pa.array(score)], ["query_id", "id", "score"])
 
         return best
 

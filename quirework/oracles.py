@@ -53,6 +53,7 @@ SQL["bm25_topk_by_scope"] = f"WITH {bm25(_DOCS, _ITEMS, 10)} SELECT query_id, sc
 SQL["bm25_topk_global"] = f"WITH {bm25(_ALL, _ITEMS, 10)} SELECT query_id, id, score, rank FROM hits"
 SQL["cosine_topk"] = cosine("true", 10)
 SQL["cosine_topk_filtered"] = cosine("a.label = b.label", 10)
+SQL["inverted_lists_topk"] = cosine("true", 10)
 SQL["rrf_hybrid_topk"] = f"""WITH {bm25(_ALL, "SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 50 = 0", 50)},
 v AS ({cosine('true', 50)}),
 u AS (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) AS part FROM hits UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + rank) FROM v),
@@ -73,6 +74,44 @@ SQL["eval_hit_mrr"] = f"""WITH {bm25(_ALL, _ITEMS, 10)},
 r AS (SELECT item_id AS query_id, min(rank) AS rr FROM benchmark LEFT JOIN (SELECT h.query_id, h.rank FROM hits h JOIN documents x ON x.doc_id = h.id JOIN benchmark b ON b.item_id = h.query_id WHERE contains(x.text, b.text)) z ON z.query_id = item_id GROUP BY item_id),
 g AS (SELECT rr, unnest(['all', 'half: ' || CASE WHEN {fnv("('q-' || query_id)")} % 2 = 0 THEN 'tune' ELSE 'test' END]) AS "group" FROM r)
 SELECT "group", count(*) AS n, count(*) FILTER (rr <= 1) AS hit1, count(*) FILTER (rr <= 3) AS hit3, count(*) FILTER (rr <= 10) AS hit10, round(sum(CASE WHEN rr <= 10 THEN 1.0::DOUBLE / rr ELSE 0 END) / count(*), 6) AS mrr FROM g GROUP BY ALL"""
+_GOLD = """gq AS (SELECT item_id AS query_id, 'src' || item_id % 20 AS dependency, CASE WHEN item_id % 2 = 0 THEN 'made' ELSE 'found' END AS source, item_id % 3 AS kind, text,
+  array_to_string(string_split(text, ' ')[1:3], ' ') AS start FROM benchmark),
+gc AS (SELECT source AS dependency, doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'S' || doc_id % 50 ELSE '' END AS symbol, lang AS package, text FROM documents),
+gold AS (SELECT DISTINCT query_id, id, symbol FROM gq JOIN gc USING (dependency) WHERE id IN (query_id * 3, query_id * 7 + 1) OR contains(gc.text, gq.text) OR contains(gc.text, start)
+  OR symbol <> '' AND query_id % 4 = 0 AND (package || '.' || symbol = 'en.S' || query_id % 50 OR symbol = 'S' || query_id % 9))"""
+SQL["gold_answers"] = f"WITH {_GOLD} SELECT query_id, id FROM gold"
+_RANKS = f"""{_GOLD},
+own AS (WITH {bm25(_DOCS, "SELECT item_id AS query_id, 'src' || item_id % 20 AS scope, text FROM benchmark", 10, scoped=True)} SELECT 'own' AS method, query_id, id, rank FROM hits),
+every AS (WITH {bm25(_ALL, _ITEMS, 10)} SELECT 'all' AS method, query_id, id, rank FROM hits),
+h AS (SELECT method, query_id, id, rank, CASE WHEN symbol <> '' THEN package || '.' || symbol END AS name FROM (SELECT * FROM own UNION ALL SELECT * FROM every) JOIN gc USING (id)),
+good AS (SELECT DISTINCT query_id, package || '.' || symbol AS name FROM gold JOIN gc USING (id, symbol) WHERE symbol <> ''),
+rk AS (SELECT method, query_id, (SELECT min(rank) FROM h WHERE h.method = m.method AND h.query_id = gq.query_id AND h.id IN (SELECT id FROM gold WHERE gold.query_id = gq.query_id)) AS r,
+  (SELECT min(rank) FROM h WHERE h.method = m.method AND h.query_id = gq.query_id AND (h.id IN (SELECT id FROM gold WHERE gold.query_id = gq.query_id) OR h.name IN (SELECT name FROM good WHERE good.query_id = gq.query_id))) AS l
+  FROM gq, (SELECT unnest(['own', 'all']) AS method) m)"""
+SQL["evaluation_table"] = f"""WITH {_RANKS},
+a AS (SELECT query_id, CASE WHEN bool_or(symbol <> '') THEN 'API doc' ELSE 'prose' END AS answer FROM gold GROUP BY query_id),
+grp AS (SELECT query_id, unnest(['all questions', CASE WHEN {fnv("'q-' || query_id")} % 2 = 0 THEN 'tune half' ELSE 'held-out test half' END, 'source: ' || source, 'kind: ' || kind, 'answer: ' || coalesce(answer, 'prose')]) AS g FROM gq LEFT JOIN a USING (query_id))
+SELECT method, g AS "group", count(*) AS n, count(*) FILTER (r <= 1) AS hit1, count(*) FILTER (r <= 3) AS hit3, count(*) FILTER (r <= 10) AS hit10, count(*) FILTER (l <= 3) AS lenient3,
+  round(sum(CASE WHEN r <= 10 THEN 1.0::DOUBLE / r ELSE 0 END) / count(*), 6) AS mrr, round(sum(CASE WHEN l <= 10 THEN 1.0::DOUBLE / l ELSE 0 END) / count(*), 6) AS lenient_mrr
+FROM rk JOIN grp USING (query_id) GROUP BY method, g"""
+
+
+def _poisson(u: str) -> str:
+    """The Poisson number (mean 1) at ``u`` of the unit interval."""
+    steps, upto, term = [], 0.0, 0.36787944117144233
+    for k in range(12):
+        upto += term
+        steps.append(f"CASE WHEN {u} >= {upto!r}::DOUBLE THEN 1 ELSE 0 END")
+        term /= k + 1
+    return " + ".join(steps)
+
+
+SQL["evaluation_bootstrap"] = f"""WITH {_RANKS},
+d AS (SELECT query_id, sum(CASE WHEN method = 'own' THEN v ELSE 0 END) - sum(CASE WHEN method = 'all' THEN v ELSE 0 END) AS d FROM (SELECT *, CASE WHEN r <= 10 THEN 1.0::DOUBLE / r ELSE 0 END AS v FROM rk) GROUP BY query_id),
+u AS (SELECT query_id, d, rep, CAST('0x' || substr(md5('0:' || query_id || ':' || rep), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM d, (SELECT unnest(range(1, 201)) AS rep)),
+m AS (SELECT rep, sum(w * d) / sum(w) AS mean FROM (SELECT *, {_poisson('u')} AS w FROM u) GROUP BY rep HAVING sum(w) > 0),
+p AS (SELECT mean, row_number() OVER (ORDER BY mean) - 1 AS place, count(*) OVER () AS n FROM m)
+SELECT (SELECT round(avg(d), 6) FROM d) AS difference, round(min(mean) FILTER (place = n * 25 // 1000), 6) AS low, round(min(mean) FILTER (place = n * 975 // 1000), 6) AS high FROM p"""
 SQL["tune_test_split"] = f"SELECT item_id, {fnv('name')} AS hash, CASE WHEN item_id % 7 = 0 OR {fnv('name')} % 2 = 0 THEN 'tune' ELSE 'test' END AS half FROM (SELECT item_id, CASE WHEN item_id % 7 = 0 THEN 'dev-' ELSE 'q' END || item_id AS name FROM benchmark)"
 SQL["latency_quantiles"] = "SELECT event_type, count(*) AS n, list_sort(list(value))[count(*) * 50 // 100 + 1] AS median, list_sort(list(value))[count(*) * 95 // 100 + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type"
 SQL["phrase_copies"] = r"""WITH w AS (SELECT item_id, lower(text) AS low, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark)
@@ -238,6 +277,17 @@ SELECT CASE WHEN source LIKE '%3' THEN 'registry' ELSE lang END AS source_type,
 SQL["symbol_dependencies"] = """WITH d AS (SELECT o_custkey AS project, o_orderkey AS version, CASE WHEN o_orderstatus = 'O' THEN 'go' ELSE 'node' END AS dependency_ecosystem, substr(o_orderpriority, 1, 1) AS module FROM orders),
 s AS (SELECT c_custkey AS project, CAST(c_custkey % 5 + 1 AS VARCHAR) AS module, CASE WHEN c_custkey % 2 = 0 THEN 'go' ELSE '' END AS ecosystem FROM customer)
 SELECT s.project, s.module, arg_min(dependency_ecosystem, version) AS dependency_ecosystem, min(version) AS version FROM s LEFT JOIN d ON d.project = s.project AND d.module = s.module AND (s.ecosystem = '' OR s.ecosystem = d.dependency_ecosystem) GROUP BY s.project, s.module"""
+_SITES = """u AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS use_id, l_suppkey AS file, (l_partkey % 300) * 1048576 + l_orderkey % 90 AS s, (l_partkey % 300 + CAST(floor(l_quantity) AS INT) % 40) * 1048576 + CAST(floor(l_quantity) AS INT) AS e,
+  CASE WHEN l_orderkey % 11 = 0 THEN '' ELSE CAST(l_orderkey % 6 AS VARCHAR) END AS module, 'pkg.Symbol' || l_partkey AS symbol FROM lineitem WHERE l_linenumber <= 3),
+x AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS site_id, CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE l_suppkey END AS file,
+  CASE WHEN l_orderkey % 10 = 0 THEN 150 * 1048576 + 20 ELSE (l_partkey % 300) * 1048576 + l_orderkey % 90 + 3 END AS pos, l_orderkey % 60 AS project, CASE WHEN l_orderkey % 2 = 0 THEN '' ELSE 'asked' END AS text FROM lineitem WHERE l_linenumber > 3),
+f AS (SELECT site_id, arg_min(use_id, (e - s, -s, use_id)) AS use_id FROM x JOIN u ON u.file = x.file AND s <= pos AND pos < e GROUP BY site_id)"""
+SQL["call_site_uses"] = f"WITH {_SITES} SELECT site_id, use_id FROM f"
+SQL["call_site_targets"] = f"""WITH {_SITES},
+d AS (SELECT o_custkey AS project, substr(o_orderpriority, 1, 1) AS module, min(o_orderkey) AS version FROM orders GROUP BY ALL),
+r AS (SELECT site_id, symbol, module, version, text FROM f JOIN u USING (use_id) JOIN x USING (site_id) LEFT JOIN d USING (project, module) WHERE module <> '')
+SELECT site_id, symbol, CASE WHEN version IS NOT NULL THEN 'go' END AS ecosystem, module AS package, version, CASE WHEN version % 3 = 0 THEN version * 2 END AS generation, CASE WHEN text = '' THEN symbol ELSE text END AS query_text,
+  CASE WHEN version IS NULL THEN 'dependency not found' WHEN version % 3 <> 0 THEN 'no active generation for this version' END AS error FROM r"""
 SQL["release_notes_between"] = f"""WITH {_GENS}, {_PTRS}, q AS (SELECT c_custkey AS query_id, 'p' || c_custkey % 130 AS package, CAST(c_custkey % 3 + 1 AS VARCHAR) AS a, CAST(c_custkey % 3 + 2 AS VARCHAR) AS b FROM customer),
 k AS (SELECT q.*, package IN (SELECT package FROM g) AS known, coalesce((SELECT generation FROM ptr WHERE ptr.package = q.package AND version = b), (SELECT generation FROM ptr WHERE ptr.package = q.package AND version = a)) AS generation FROM q)
 SELECT query_id, 'go' AS ecosystem, CAST(l_linenumber AS VARCHAR) AS version, l_orderkey || '-' || l_linenumber AS excerpt, NULL AS error FROM k JOIN lineitem ON l_orderkey = generation WHERE l_returnflag = 'R' AND CAST(l_linenumber AS VARCHAR) IN (a, b)
@@ -247,9 +297,10 @@ q AS (SELECT c_custkey AS query_id, ['project', 'latest', 'compare', 'all-retain
 o AS (SELECT query_id, mode, 'project' AS found_by, (SELECT generation FROM ptr WHERE ptr.package = q.package AND ptr.version = v) AS generation, CASE WHEN project NOT IN (SELECT project FROM refs) THEN 'project not found' WHEN v IS NULL THEN 'dependency not found' END AS e
   FROM (SELECT q.*, (SELECT arg_min(version, (last_seen, version)) FROM refs WHERE refs.project = q.project AND refs.package = q.package) AS v FROM q) q WHERE mode IN ('project', 'compare')),
 n AS (SELECT query_id, mode, 'latest' AS found_by, (SELECT generation FROM ptr WHERE ptr.package = q.package AND ptr.version = v) AS generation, CASE WHEN v IS NULL THEN 'dependency not found' END AS e
-  FROM (SELECT q.*, (SELECT arg_max(version, (last_seen, version)) FROM refs WHERE refs.package = q.package) AS v FROM q) q WHERE mode IN ('latest', 'compare')),
-u AS (SELECT * FROM o UNION ALL SELECT * FROM n)
-SELECT query_id, generation, CASE WHEN generation IS NULL THEN coalesce(e, 'no active generation for this version') END AS error, found_by FROM u WHERE mode <> 'compare' OR generation IS NOT NULL OR query_id NOT IN (SELECT query_id FROM u WHERE generation IS NOT NULL)
+  FROM (SELECT q.*, (SELECT arg_min(version, 'go|' || refs.package || '|' || version || '|' || refs.project) FROM refs WHERE refs.package = q.package AND refs.package >= 'p3' AND CAST(refs.project AS BIGINT) % 4 = 0) AS v FROM q) q WHERE mode IN ('latest', 'compare')),
+u AS (SELECT query_id, mode, found_by, generation, CASE WHEN generation IS NULL THEN coalesce(e, 'no active generation for this version') END AS error FROM (SELECT * FROM o UNION ALL SELECT * FROM n))
+SELECT query_id, generation, error, found_by FROM u WHERE mode <> 'compare' OR generation IS NOT NULL
+UNION ALL SELECT query_id, NULL, 'compare: project search: ' || max(error) FILTER (found_by = 'project') || '; latest search: ' || max(error) FILTER (found_by = 'latest'), 'compare' FROM u WHERE mode = 'compare' GROUP BY query_id HAVING count(generation) = 0
 UNION ALL SELECT query_id, generation, NULL, 'all-retained' FROM q JOIN ptr USING (package) JOIN (SELECT DISTINCT package, version FROM refs) USING (package, version) WHERE mode = 'all-retained'
 UNION ALL SELECT query_id, NULL, 'dependency not found', 'all-retained' FROM q WHERE mode = 'all-retained' AND package NOT IN (SELECT package FROM refs)"""
 SQL["described_packages"] = f"""WITH {_REFS}, {_GENS}, {_PTRS}, {_HEALTH}, a AS (SELECT ptr.package, arg_max(ptr.version, (updated_at, -generation)) AS active_version, arg_max(generation, (updated_at, -generation)) AS generation, list(ptr.version ORDER BY ptr.version) AS vs FROM ptr JOIN g ON g.id = generation GROUP BY 1)

@@ -15,14 +15,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.functions import text as T
+from quirework.operators import callsites as K
 from quirework.operators import documents as D
 from quirework.operators import embedding as M
 from quirework.operators import episodes as EP
 from quirework.operators import evaluation as E
+from quirework.operators import gold as G
 from quirework.operators import index as X
 from quirework.operators import normalizing as N
 from quirework.operators import provenance as O
 from quirework.operators import retrieval as R
+from quirework.operators import vectors as I
 from quirework.plans import lifecycle as L
 from quirework.plans import reconcile as P
 from quirework.plans import snapshots as Z
@@ -121,6 +124,15 @@ def cosine_topk_filtered(spark, sf_dir):
     return R.cosine(points, points.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "scope", "vector"), 10)
 
 
+@query
+def inverted_lists_topk(spark, sf_dir):
+    """Every list probed: the exact search, over folders."""
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    root = scratch_path(spark, "lists")
+    I.build_lists(spark, root, points, lists=24)
+    return I.search_lists(spark, root, points.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), 10, probes=24)
+
+
 @query
 def rrf_hybrid_topk(spark, sf_dir):
     """Documents and vectors of one id are one chunk; every fiftieth is a query by its whole text and its vector."""
@@ -157,6 +169,57 @@ def eval_hit_mrr(spark, sf_dir):
     return E.retrieval_metrics(ranks, E.question_groups(F.concat(F.lit("q-"), F.col("query_id").cast("string"))))
 
 
+def _gold_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items asked of a source: right are one id, the symbols of one kind, and what holds the item's text or its first words."""
+    n = F.col("item_id")
+    b = table(spark, sf_dir, "benchmark").select(
+        n.alias("query_id"), F.concat(F.lit("src"), n % 20).alias("dependency"), F.concat(F.lit("q-"), n).alias("name"), F.when(n % 2 == 0, "made").otherwise("found").alias("source"), (n % 3).cast("string").alias("kind"),
+        F.array(n * 3, n * 7 + 1).alias("ids"), F.when(n % 4 == 0, F.array(F.concat(F.lit("en.S"), n % 50), F.concat(F.lit("S"), n % 9))).otherwise(F.array().cast("array<string>")).alias("symbols"),
+        F.array("text", F.substring_index("text", " ", 3)).alias("contains"), "text",
+    )
+    return b
+
+
+def _gold_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    symbol = F.when(n % 3 == 0, F.concat(F.lit("S"), n % 50)).otherwise("")
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("dependency"), n.alias("id"), F.col("lang").alias("package"), symbol.alias("symbol"), "text")
+
+
+@query
+def gold_answers(spark, sf_dir):
+    return G.right_answers(_gold_questions(spark, sf_dir), _gold_chunks(spark, sf_dir))
+
+
+def _method_ranks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two methods' ranks: BM25 in the question's source and over all, lenient where a hit has the symbol of a right answer."""
+    questions, chunks = _gold_questions(spark, sf_dir), _gold_chunks(spark, sf_dir)
+    right = G.right_answers(questions, chunks)
+    asked = questions.select("query_id", F.col("dependency").alias("scope"), "text")
+    found = _index(spark, sf_dir)
+    hits = R.bm25(found, asked, 10).select("query_id", "id", "rank").withColumn("method", F.lit("own")).unionByName(R.bm25(found, asked, 10, pooled=True).select("query_id", "id", "rank").withColumn("method", F.lit("all")))
+    named = chunks.select("id", F.when(F.col("symbol") != "", F.concat_ws(".", "package", "symbol")).alias("full"))
+    good = right.join(named, "id").select("query_id", "full").filter("full is not null").distinct()
+    as_good = hits.join(named, "id").join(good, ["query_id", "full"], "left_semi").select("query_id", "id").unionByName(right).distinct()
+    both = []
+    for method in ("own", "all"):
+        mine = hits.filter(F.col("method") == method)
+        lenient = E.first_right_rank(mine, as_good, questions).withColumnRenamed("right_rank", "lenient_rank")
+        both.append(E.first_right_rank(mine, right, questions).join(lenient, "query_id").withColumn("method", F.lit(method)))
+    answers = questions.join(G.answer_kind(questions, right, chunks), "query_id")
+    return both[0].unionByName(both[1]), E.all_groups(answers)
+
+
+@query
+def evaluation_table(spark, sf_dir):
+    return E.tallied(*_method_ranks(spark, sf_dir))
+
+
+@query
+def evaluation_bootstrap(spark, sf_dir):
+    return E.paired_bootstrap(_method_ranks(spark, sf_dir)[0], "own", "all", 200)
+
+
 @query
 def tune_test_split(spark, sf_dir):
     name = F.when(F.col("item_id") % 7 == 0, F.concat(F.lit("dev-"), F.col("item_id").cast("string"))).otherwise(F.concat(F.lit("q"), F.col("item_id").cast("string")))
@@ -727,6 +790,35 @@ def symbol_dependencies(spark, sf_dir):
     return O.dependencies_of_symbols(c, refs).select("project", "module", "dependency_ecosystem", "version")
 
 
+def _call_sites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A supplier is a file, its lines of orders are ranges and positions in it; a tenth of the positions are the same."""
+    li = table(spark, sf_dir, "lineitem")
+    line, column = F.col("l_partkey") % 300, F.col("l_orderkey") % 90
+    module = F.when(F.col("l_orderkey") % 11 == 0, "").otherwise((F.col("l_orderkey") % 6).cast("string"))
+    uses = li.filter("l_linenumber <= 3").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("use_id"), F.col("l_suppkey").alias("file"), line.alias("line"), column.alias("column"), (line + F.col("l_quantity").cast("int") % 40).alias("end_line"), F.col("l_quantity").cast("int").alias("end_column"),
+        module.alias("module"), F.lit("go").alias("ecosystem"), F.concat(F.lit("pkg.Symbol"), F.col("l_partkey")).alias("symbol"),
+    )
+    one = F.col("l_orderkey") % 10 == 0
+    sites = li.filter("l_linenumber > 3").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("site_id"), F.when(one, 1).otherwise(F.col("l_suppkey")).alias("file"), F.when(one, 150).otherwise(line).alias("line"), F.when(one, 20).otherwise(column + 3).alias("column"),
+        (F.col("l_orderkey") % 60).alias("project"), F.when(F.col("l_orderkey") % 2 == 0, "").otherwise("asked").alias("text"),
+    )
+    return sites, uses
+
+
+@query
+def call_site_uses(spark, sf_dir):
+    return K.innermost(*_call_sites(spark, sf_dir))
+
+
+@query
+def call_site_targets(spark, sf_dir):
+    refs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("ordinal"), F.lit("go").alias("ecosystem"), F.substring("o_orderpriority", 1, 1).alias("package"), F.col("o_orderkey").alias("version"))
+    pointers = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.lit("go").alias("ecosystem"), F.substring("o_orderpriority", 1, 1).alias("package"), F.col("o_orderkey").alias("version"), (F.col("o_orderkey") * 2).alias("generation"))
+    return K.resolved_sites(*_call_sites(spark, sf_dir), refs, pointers)
+
+
 @query
 def release_notes_between(spark, sf_dir):
     """Lines of an order are its chunks, returned ones release notes of the version of their number."""
@@ -740,6 +832,7 @@ def release_notes_between(spark, sf_dir):
 @query
 def search_scopes(spark, sf_dir):
     refs = _references(spark, sf_dir)
+    refs = refs.withColumn("reason", F.when((F.col("project").cast("long") % 4 == 0) & (F.col("package") >= "p3"), "latest").otherwise(F.col("reason")))
     g = _generations(spark, sf_dir).filter("id % 7 = 0")
     dependencies = refs.select("project", F.unix_seconds("last_seen").alias("ordinal"), *P.KEY)
     n = F.col("c_custkey")
