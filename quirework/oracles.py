@@ -264,6 +264,17 @@ SQL["file_dispatch"] = f"SELECT doc_id, {_NORMALIZER} AS normalizer, CASE WHEN {
 SQL["normalized_objects"] = f"""WITH f AS (SELECT doc_id, {_NORMALIZER} AS normalizer, doc_id % 11 = 0 OR doc_id % 8 IN (0, 1, 2) AS md, CASE WHEN doc_id % 5 = 0 THEN '' ELSE '# v1.' || doc_id % 7 || '.0 notes' || chr(10) END || coalesce(text, '') AS content FROM documents)
 SELECT doc_id, normalizer, CASE WHEN md THEN 'markdown' ELSE 'text' END AS content_type, md5(CASE WHEN md THEN content ELSE regexp_replace(content, '^\\s+|\\s+$', '', 'g') END) AS content_md5,
   CASE WHEN md AND normalizer = 'release-notes' AND doc_id % 5 <> 0 THEN 'v1.' || doc_id % 7 || '.0' ELSE '' END AS release_version FROM f WHERE normalizer IS NOT NULL"""
+SQL["incremental_rebuild"] = f"""WITH f AS (SELECT doc_id, {_PATH} {_NAME} AS path, {_NORMALIZER} AS normalizer, doc_id % 11 = 0 OR doc_id % 8 IN (0, 1, 2) AS md,
+  CASE WHEN doc_id % 5 = 0 THEN '' ELSE '# v1.' || doc_id % 7 || '.0 notes' || chr(10) END || coalesce(text, '') || CASE WHEN doc_id % 4 = 0 THEN chr(10) || '# v9.9.9 more' || chr(10) ELSE '' END AS content FROM documents WHERE doc_id % 7 <> 0)
+SELECT CASE WHEN doc_id % 6 = 1 THEN 'moved/' ELSE '' END || path AS path, normalizer, sha256(CASE WHEN md THEN content ELSE regexp_replace(content, '^\s+|\s+$', '', 'g') END) AS content_hash FROM f WHERE normalizer IS NOT NULL"""
+SQL["pattern_matches"] = f"""WITH f AS (SELECT coalesce(source, 'none') AS repository, {_PATH} {_NAME} AS path FROM documents),
+n AS (SELECT unnest(['*.md', '*.mdx', '*.txt', '*.rst', 'LICENSE*', 'license*', '*.go', 'go.mod']) AS name),
+m AS (SELECT repository, name AS pattern, path FROM f, n WHERE regexp_matches(path, '^(.*/)?' || replace(replace(name, '.', '[.]'), '*', '[^/]*') || '(/.*)?$')
+  UNION ALL SELECT repository, '/d3/e2/**/' || name, path FROM f, n WHERE regexp_matches(path, '^d3/e2/(.*/)?' || replace(replace(name, '.', '[.]'), '*', '[^/]*') || '(/.*)?$')
+  UNION ALL SELECT repository, '/d1/*/1?1/', path FROM f WHERE regexp_matches(path, '^d1/[^/]*/1[^/]1/.*$')
+  UNION ALL SELECT repository, 'd4/**/a.md', path FROM f WHERE regexp_matches(path, '^d4/(.*/)?a[.]md(/.*)?$')
+  UNION ALL SELECT repository, 'e5/', path FROM f WHERE regexp_matches(path, '^(.*/)?e5/.*$'))
+SELECT repository, pattern, count(*) AS n, min(path) AS first FROM m GROUP BY ALL"""
 SQL["promoted_metadata"] = "SELECT doc_id, '||' || '|' || coalesce(lang, '') || '|' || coalesce(source, '') AS metadata FROM documents"
 SQL["files_within_borders"] = f"""WITH f AS (SELECT source AS repository, {_PATH} {_NAME} AS path FROM documents WHERE source IS NOT NULL)
 SELECT * FROM f WHERE NOT starts_with(path, 'd3/e2/') AND NOT starts_with(path, 'd5/e1/')"""

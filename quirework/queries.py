@@ -21,6 +21,7 @@ from quirework.operators import embedding as M
 from quirework.operators import episodes as EP
 from quirework.operators import evaluation as E
 from quirework.operators import gold as G
+from quirework.operators import incremental as J
 from quirework.operators import index as X
 from quirework.operators import normalizing as N
 from quirework.operators import provenance as O
@@ -728,6 +729,34 @@ def normalized_objects(spark, sf_dir):
     return made.select("doc_id", "normalizer", "content_type", F.md5("content").alias("content_md5"), F.coalesce(F.try_element_at("metadata", F.lit("release_version")), F.lit("")).alias("release_version"))
 
 
+@query
+def incremental_rebuild(spark, sf_dir):
+    """Three versions of the files, each with edits, moves, additions and deletions; what the last one's listing says."""
+    files = _files(spark, sf_dir)
+    n = F.col("doc_id")
+    root = scratch_path(spark, "builds")
+    plain = ["path", "source_type", "include_license", "content"]
+    edited = F.when(n % 4 == 0, F.concat("content", F.lit("\n# v9.9.9 more\n"))).otherwise(F.col("content"))
+    moved = F.when(n % 6 == 1, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
+    J.build(spark, root, files.filter(n % 9 != 0).select(*plain))
+    J.build(spark, root, files.filter(n % 7 != 0).withColumn("content", edited).select(*plain))
+    J.build(spark, root, files.filter(n % 7 != 0).withColumn("content", edited).withColumn("path", moved).select(*plain))
+    after = Z.view(spark, root)
+    objects = after.table("objects").select("object_id", "content_hash")
+    return after.table("listing").join(objects, "object_id").select("path", "normalizer", "content_hash")
+
+
+@query
+def pattern_matches(spark, sf_dir):
+    """Documents as files of their source, against what is fetched for each ecosystem and some folders."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.coalesce("source", F.lit("none")).alias("repository"), _paths()["path"].alias("path"))
+    names = S.sparse_patterns(F.lit("go"))
+    repositories = files.select("repository").distinct()
+    patterns = repositories.select("repository", F.explode(F.concat(names, S.below(names, F.lit("d3/e2")), F.array(F.lit("/d1/*/1?1/"), F.lit("d4/**/a.md"), F.lit("e5/")))).alias("pattern"))
+    return S.matching(files, patterns).groupBy("repository", "pattern").agg(F.count("*").alias("n"), F.min("path").alias("first"))
+
+
 @query
 def promoted_metadata(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -68,20 +68,58 @@ def python_folders(packages: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def files_of_packages(packages: DataFrame, files: DataFrame, manifests: DataFrame) -> DataFrame:
-    """(repository, ecosystem, package, path): a repository's files without skipped folders and without those of nested packages.
+    """(repository, ecosystem, package, path): the files below a package's folder, without skipped folders and without those of nested packages.
 
-    ``packages``: repository, ecosystem, package; ``files``: repository, path;
-    ``manifests``: repository, path, name of each ``package.json``. A folder below the root
-    with a ``go.mod`` is another module's; for Node also one whose ``package.json`` has
-    another name.
+    ``packages``: repository, ecosystem, package and, where it is known, folder (empty: the
+    root); ``files``: repository, path; ``manifests``: repository, path, name of each
+    ``package.json``. A folder further below with a ``go.mod`` is another module's; for Node
+    also one whose ``package.json`` has another name. Files meet the packages of the
+    folders above them, not all of their repository.
     """
     on = ["repository", "ecosystem", "package"]
-    kept = files.filter(~F.arrays_overlap(F.split(F.concat(F.lit("/"), _folder(F.col("path"))), "/"), _strings(SKIPPED)))
-    each = packages.select(*on).distinct().join(kept.select("repository", "path"), "repository")
-    modules = kept.filter(basename(F.col("path")) == "go.mod").select("repository", _folder(F.col("path")).alias("folder"))
-    borders = packages.select(*on).distinct().join(modules, "repository")
-    foreign = packages.filter("ecosystem = 'node'").select(*on).distinct().join(manifests.select("repository", _folder(F.col("path")).alias("folder"), "name"), "repository").filter("name <> package").drop("name")
-    border = borders.unionByName(foreign).filter("folder <> ''").distinct()
-    above = each.select(*on, "path", F.explode(_ancestors(F.col("path"))).alias("folder"))
-    beyond = above.join(border, [*on, "folder"]).select(*on, "path").distinct()
-    return each.join(beyond, [*on, "path"], "left_anti")
+    home = F.coalesce("folder", F.lit("")) if "folder" in packages.columns else F.lit("")
+    homes = packages.select(*on, home.alias("home")).distinct()
+    kept = files.filter(~F.arrays_overlap(F.split(F.concat(F.lit("/"), _folder(F.col("path"))), "/"), _strings(SKIPPED))).select("repository", "path")
+    above_it = F.concat(_strings([""]), _ancestors(F.col("path")))
+    each = kept.withColumn("home", F.explode(above_it)).join(homes, ["repository", "home"])
+    modules = kept.filter(basename(F.col("path")) == "go.mod").select("repository", _folder(F.col("path")).alias("border"), F.lit("").alias("name"))
+    foreign = manifests.select("repository", _folder(F.col("path")).alias("border"), "name").filter("name <> ''")
+    borders = modules.unionByName(foreign).filter("border <> ''").groupBy("repository", "border").agg(F.max(F.col("name") == "").alias("module"), F.collect_set("name").alias("names"))
+    inner = F.filter(_ancestors(F.col("path")), lambda f: F.length(f) > F.length("home"))
+    crossed = each.withColumn("border", F.explode(inner)).join(borders, ["repository", "border"])
+    other = F.exists("names", lambda n: (n != "") & (n != F.col("package")))
+    beyond = crossed.filter(F.col("module") | ((F.col("ecosystem") == "node") & other)).select(*on, "path").distinct()
+    return each.join(beyond, [*on, "path"], "left_anti").select(*on, "path")
+
+
+def glob_regex(pattern: Column) -> Column:
+    """A pattern as a regular expression for whole paths.
+
+    ``*`` and ``?`` stay within a folder, ``**`` crosses folders. A pattern with a slash
+    before its end starts at the root, another fits at any depth; one that ends in a slash, and
+    any that names a folder, takes all that is below.
+    """
+    body = F.regexp_replace(F.regexp_replace(pattern, "^/", ""), "/$", "")
+    anchored = F.regexp_replace(pattern, "/$", "").contains("/")
+    out = F.regexp_replace(body, r"([.+^$()\[\]{}|\\])", r"\\$1")
+    for glob, marker in ((r"^\*\*/", "\u0001"), (r"/\*\*/", "\u0002"), (r"/\*\*$", "\u0003"), (r"\*+", "[^/]*"), (r"\?", "[^/]")):
+        out = F.regexp_replace(out, glob, marker)
+    for marker, meant in (("\u0001", "(?:.*/)?"), ("\u0002", "/(?:.*/)?"), ("\u0003", "/.*")):
+        out = F.replace(out, F.lit(marker), F.lit(meant))
+    return F.concat(F.when(anchored, "^").otherwise("^(?:.*/)?"), out, F.when(F.endswith(pattern, F.lit("/")), "/.*$").otherwise("(?:/.*)?$"))
+
+
+def matching(files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(repository, path, pattern): the patterns that take each file.
+
+    ``files``: repository, path; ``patterns``: repository, pattern. A pattern is filed under
+    the folder that its first wildcard leaves (the root for one that fits at any depth), and a
+    path asks the folders above it, so that it meets only patterns that can fit.
+    """
+    asked = patterns.select("repository", "pattern").filter("pattern <> ''").distinct()
+    body = F.regexp_replace("pattern", "^/", "")
+    anchored = F.regexp_replace("pattern", "/$", "").contains("/")
+    plain = _folder(F.regexp_replace(body, r"[*?].*$", ""))
+    filed = asked.select("repository", "pattern", F.when(anchored, plain).otherwise("").alias("folder"), glob_regex(F.col("pattern")).alias("regex"))
+    here = files.select("repository", "path").withColumn("folder", F.explode(F.concat(_strings([""]), _ancestors(F.col("path")))))
+    return here.join(filed, ["repository", "folder"]).filter(F.rlike("path", F.col("regex"))).select("repository", "path", "pattern")
