@@ -256,6 +256,15 @@ b AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRE
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, count(*) AS events, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS paths FROM b GROUP BY user_id, b"""
 SQL["coalesced_requests"] = """SELECT CAST(user_id AS VARCHAR) AS project, event_type = 'purchase' AS rebuild, bool_and(event_id % 2 = 0) AS offline, bool_or(event_id % 3 = 0) AS force, bool_or(event_id % 5 = 0) AS resolve,
 CASE WHEN bool_or(event_id % 9 = 0) THEN '' ELSE string_agg(DISTINCT event_type, ',' ORDER BY event_type) END AS names, count(*) AS requests FROM events GROUP BY user_id, event_type = 'purchase'"""
+SQL["coalesced_runs"] = """WITH r AS (SELECT *, user_id AS u, event_type = 'purchase' AS rebuild FROM events),
+s AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS n FROM r WINDOW w AS (PARTITION BY u, rebuild ORDER BY ts)),
+b AS (SELECT *, sum(n) OVER (PARTITION BY u, rebuild ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM s)
+SELECT CAST(u AS VARCHAR) AS project, rebuild, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, bool_and(event_id % 2 = 0) AS offline, bool_or(event_id % 3 = 0) AS force, bool_or(event_id % 5 = 0) AS resolve,
+CASE WHEN bool_or(event_id % 9 = 0) THEN '' ELSE string_agg(DISTINCT event_type, ',' ORDER BY event_type) END AS names, count(*) AS requests FROM b GROUP BY u, rebuild, run"""
+SQL["validation_report"] = """WITH c AS (SELECT source AS generation, count(*) AS n, CAST(substr(source, 4) AS INT) AS k FROM documents WHERE source IS NOT NULL GROUP BY source),
+f AS (SELECT generation, array_to_string(list_filter([CASE WHEN n % 3 = 0 THEN 'sanity: again' END, CASE WHEN n % 3 = 0 THEN 'sanity: by three' END, CASE WHEN n % 2 = 0 THEN 'structural: even' END,
+  CASE WHEN k = 3 THEN 'version: no result' WHEN k % 5 = 0 THEN 'version: wrong version' END], lambda x: x IS NOT NULL), '; ') AS failures FROM c)
+SELECT generation, CASE WHEN failures = '' THEN 'READY' ELSE 'FAILED' END AS state, failures FROM f"""
 
 _NAME = "['CHANGELOG.md', 'a.md', 'b.MDX', 'c.txt', 'd.rst', 'LICENSE', 'e.go', 'history.TXT'][doc_id % 8 + 1]"
 _PATH = "'d' || doc_id % 10 || '/e' || doc_id % 7 || '/' || doc_id || '/' ||"
@@ -275,6 +284,19 @@ m AS (SELECT repository, name AS pattern, path FROM f, n WHERE regexp_matches(pa
   UNION ALL SELECT repository, 'd4/**/a.md', path FROM f WHERE regexp_matches(path, '^d4/(.*/)?a[.]md(/.*)?$')
   UNION ALL SELECT repository, 'e5/', path FROM f WHERE regexp_matches(path, '^(.*/)?e5/.*$'))
 SELECT repository, pattern, count(*) AS n, min(path) AS first FROM m GROUP BY ALL"""
+SQL["package_exports"] = """WITH p AS (SELECT *, p_brand AS package, CASE WHEN p_partkey % 4 = 0 THEN '__init__' ELSE 'm' || p_size % 5 END AS module FROM part),
+d AS (SELECT package, module, p_partkey % 7 = 0 AS stub, p_partkey AS o, 'N' || p_size AS name, 'f' || p_partkey AS signature, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'doc' || p_partkey END AS doc FROM p WHERE p_partkey % 3 <> 0),
+u AS (SELECT package, module, stub, name, min(o) AS first, arg_max(signature, o) AS signature, arg_max(doc, o) AS doc FROM d GROUP BY ALL),
+e AS (SELECT coalesce(a.package, b.package) AS package, coalesce(a.name, b.name) AS name, a.name IS NULL AS late, coalesce(a.first, b.first) AS at_, coalesce(b.signature, a.signature) AS signature, CASE WHEN a.doc <> '' THEN a.doc ELSE coalesce(b.doc, '') END AS doc
+  FROM (SELECT * FROM u WHERE module = '__init__' AND NOT stub) a FULL JOIN (SELECT * FROM u WHERE module = '__init__' AND stub) b ON a.package = b.package AND a.name = b.name),
+i AS (SELECT package, CASE WHEN p_partkey % 10 = 0 THEN '_' ELSE '' END || 'L' || p_partkey % 40 AS name, min(p_partkey) AS at_, arg_max('m' || (p_size + 1) % 5, p_partkey) AS source, arg_max('N' || p_partkey % 50 + 1, p_partkey) AS original FROM p WHERE p_partkey % 3 = 0 AND module = '__init__' GROUP BY ALL),
+l AS (SELECT DISTINCT package FROM p WHERE CAST(substr(package, 7, 2) AS INT) % 3 = 0),
+w AS (SELECT package, n.name, 0 AS grp, false AS late, n.at_ FROM l, (VALUES ('N3', 0), ('L3', 1), ('N9', 2), ('L9', 3), ('L12', 5), ('X', 6)) n(name, at_)
+  UNION ALL SELECT package, name, 0, late, at_ FROM e WHERE package NOT IN (SELECT package FROM l)
+  UNION ALL SELECT package, name, 1, false, at_ FROM i WHERE package NOT IN (SELECT package FROM l) AND NOT starts_with(name, '_')),
+f AS (SELECT w.*, e.signature, e.doc, '__init__' AS found_in FROM w JOIN e USING (package, name)
+  UNION ALL SELECT w.*, u.signature, u.doc, i.source FROM w JOIN i USING (package, name) JOIN u ON u.package = w.package AND u.module = i.source AND u.name = i.original AND NOT u.stub WHERE (w.package, w.name) NOT IN (SELECT (package, name) FROM e))
+SELECT package, CAST(row_number() OVER (PARTITION BY package ORDER BY grp, late, at_, name) - 1 AS INTEGER) AS position, name, signature, doc, found_in FROM f"""
 SQL["promoted_metadata"] = "SELECT doc_id, '||' || '|' || coalesce(lang, '') || '|' || coalesce(source, '') AS metadata FROM documents"
 SQL["files_within_borders"] = f"""WITH f AS (SELECT source AS repository, {_PATH} {_NAME} AS path FROM documents WHERE source IS NOT NULL)
 SELECT * FROM f WHERE NOT starts_with(path, 'd3/e2/') AND NOT starts_with(path, 'd5/e1/')"""

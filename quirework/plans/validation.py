@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirework.functions.text import search_terms
+from quirework.operators.index import Index, live
+from quirework.operators.retrieval import bm25, scan
+
 
 def _failures(*checks: tuple[Column, str]) -> Column:
     """The names of the checks that fail, in order."""
@@ -51,6 +55,39 @@ def version_correctness(hits: DataFrame, samples: DataFrame) -> DataFrame:
     return per.groupBy("generation").agg(F.count(F.when(F.col("none"), 1)).alias("without_result"), F.count(F.when(F.col("strange"), 1)).alias("wrong_version"), (~F.max(F.col("none") | F.col("strange"))).alias("passed"))
 
 
+def sample_hits(found: Index, samples: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, generation, version): what a search for each sample's text finds within its generation.
+
+    ``samples``: query_id, generation, text. A text without search terms finds the
+    generation's points as they come, as a search without terms does. The version is that
+    which the index has for the generation.
+    """
+    asked = samples.select("query_id", F.col("generation").alias("scope"), "text")
+    worded = F.size(search_terms(F.col("text"))) > 0
+    ranked = bm25(found, asked.filter(worded), k).select("query_id", "scope")
+    scanned = scan(live(found.points, found.gone).select("scope", "id"), ["scope"], ["id"], k)
+    plain = asked.filter(~worded).select("query_id", "scope").join(scanned.select("scope"), "scope").select("query_id", "scope")
+    hits = ranked.unionByName(plain).join(found.scopes.select("scope", "version"), "scope", "left")
+    return hits.select("query_id", F.col("scope").alias("generation"), "version")
+
+
+def validated(structural_failures: DataFrame, sanity_failures: DataFrame, found: Index, samples: DataFrame, generations: DataFrame) -> DataFrame:
+    """(generation, state, failures): all three checks of each generation; READY if none failed.
+
+    ``structural_failures`` and ``sanity_failures``: generation, failures; ``samples``: generation, version,
+    query_id, text; a generation without samples passes the third. Failures name their check.
+    """
+    by = version_correctness(sample_hits(found, samples), samples)
+    third = by.select("generation", _failures((F.col("without_result") > 0, "no result"), (F.col("wrong_version") > 0, "wrong version")).alias("failures"))
+
+    def prefixed(name: str) -> Column:
+        return F.transform("failures", lambda f: F.concat(F.lit(f"{name}: "), f)).alias("failures")
+
+    named = [c.select("generation", prefixed(n)) for n, c in (("structural", structural_failures), ("sanity", sanity_failures), ("version", third))]
+    none = generations.select(F.col("id").alias("generation"), F.array().cast("array<string>").alias("failures"))
+    return report(none, *[c.join(none.select("generation"), "generation", "left_semi") for c in named])
+
+
 def report(*checks: DataFrame) -> DataFrame:
     """(generation, state, failures) from several results of (generation, failures): READY if none failed."""
     rows = None

@@ -20,6 +20,7 @@ from quirework.operators import documents as D
 from quirework.operators import embedding as M
 from quirework.operators import episodes as EP
 from quirework.operators import evaluation as E
+from quirework.operators import exports as Y
 from quirework.operators import gold as G
 from quirework.operators import incremental as J
 from quirework.operators import index as X
@@ -620,6 +621,36 @@ def sanity_ratios(spark, sf_dir):
     return V.sanity(candidates, prior, 0.9, 1.2).select("package", F.array_join("failures", "; ").alias("failures"))
 
 
+@query
+def validation_report(spark, sf_dir):
+    """Sources are generations, their lowest documents the samples; some versions are recorded otherwise, some sources were never indexed."""
+    docs = table(spark, sf_dir, "documents").filter("source is not null")
+    n = F.substring("source", 4, 9).cast("int")
+    version = F.when(n % 5 == 0, "v2").otherwise("v1")
+    points = docs.select(F.col("source").alias("scope"), F.col("doc_id").alias("id"), "text", F.lit("v1").alias("version"))
+    found = _written(spark, sf_dir, "validated", lambda root: X.upsert(spark, root, points.filter("scope <> 'src3'")))
+    lowest = V.lowest_chunks(docs.select(F.col("source").alias("generation"), F.col("doc_id").alias("chunk_id"), "text", version.alias("version")))
+    samples = lowest.select("generation", "version", F.col("chunk_id").alias("query_id"), F.when(F.col("chunk_id") % 2 == 0, F.lit("?! ..")).otherwise(F.col("text")).alias("text"))
+    generations = docs.select(F.col("source").alias("id")).distinct()
+    counts = docs.groupBy(F.col("source").alias("generation")).agg(F.count("*").alias("n"))
+    structural = counts.select("generation", F.when(F.col("n") % 2 == 0, F.array(F.lit("even"))).otherwise(F.array().cast("array<string>")).alias("failures"))
+    sanity = counts.select("generation", F.when(F.col("n") % 3 == 0, F.array(F.lit("by three"), F.lit("again"))).otherwise(F.array().cast("array<string>")).alias("failures"))
+    made = V.validated(structural, sanity, found, samples, generations)
+    return made.select("generation", "state", F.array_join("failures", "; ").alias("failures"))
+
+
+@query
+def coalesced_runs(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    n = F.col("event_id")
+    requests = e.select(
+        F.col("user_id").cast("string").alias("project"), (F.col("event_type") == "purchase").alias("rebuild"), (n % 2 == 0).alias("offline"), (n % 3 == 0).alias("force"), (n % 5 == 0).alias("resolve"),
+        F.when(n % 9 == 0, F.array().cast("array<string>")).otherwise(F.array("event_type")).alias("names"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+    runs = C.coalesced(requests, "ts", "6 hours")
+    return runs.withColumn("names", F.array_join("names", ",")).withColumn("started", F.date_format("started", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 @query
 def invalid_transitions(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("from_state"), F.col("l_linestatus").alias("to_state"))
@@ -757,6 +788,18 @@ def pattern_matches(spark, sf_dir):
     return S.matching(files, patterns).groupBy("repository", "pattern").agg(F.count("*").alias("n"), F.min("path").alias("first"))
 
 
+@query
+def package_exports(spark, sf_dir):
+    """Brands are packages, parts their definitions, stubs and imports; every third brand lists its names."""
+    p = table(spark, sf_dir, "part")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    module = F.when(key % 4 == 0, Y.ENTRY).otherwise(F.concat(F.lit("m"), size % 5))
+    definitions = p.filter(key % 3 != 0).select(F.col("p_brand").alias("package"), module.alias("module"), (key % 7 == 0).alias("stub"), key.alias("ordinal"), F.concat(F.lit("N"), size).alias("name"), F.lit("function").alias("kind"), F.concat(F.lit("f"), key).alias("signature"), F.when(key % 2 == 0, "").otherwise(F.concat(F.lit("doc"), key)).alias("doc"))
+    imports = p.filter(key % 3 == 0).select(F.col("p_brand").alias("package"), module.alias("module"), key.alias("ordinal"), F.concat(F.when(key % 10 == 0, "_").otherwise(""), F.lit("L"), key % 40).alias("name"), F.concat(F.lit("m"), (size + 1) % 5).alias("source"), F.concat(F.lit("N"), key % 50 + 1).alias("original"))
+    listed = p.filter((F.substring("p_brand", 7, 2).cast("int") % 3 == 0)).select(F.col("p_brand").alias("package")).distinct().withColumn("names", F.array(*[F.lit(x) for x in ("N3", "L3", "N9", "L9", "N3", "L12", "X")]))
+    return Y.exports(definitions, imports, listed).drop("kind")
+
+
 @query
 def promoted_metadata(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

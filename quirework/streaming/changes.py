@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # The files whose change means that dependencies may have changed.
 MANIFESTS = {
@@ -38,9 +34,6 @@ def debounced(events: DataFrame, by: str, at: str, path: str, gap: str = "2 seco
     return out.select(by, F.col("burst.start").alias("started"), "events", "paths")
 
 
-RUN = "project string, rebuild boolean, offline boolean, force boolean, resolve boolean, names array<string>, requests long"
-
-
 def merge_requests(requests: DataFrame) -> DataFrame:
     """Pending requests of a project as runs, by rebuild flag: offline only if all are, forced or resolving if one is.
 
@@ -52,25 +45,17 @@ def merge_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-def coalesced_stream(requests: DataFrame, wait_ms: int = 1000) -> DataFrame:
-    """The same for a stream: requests of a project and rebuild flag gather until none came for ``wait_ms``."""
-
-    def gather(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else [True, False, False, True, [], 0]
-        if state.hasTimedOut:
-            state.remove()
-            offline, force, resolve, some, names, n = held
-            yield pd.DataFrame({"project": [key[0]], "rebuild": [key[1]], "offline": [offline], "force": [force], "resolve": [resolve], "names": [sorted(names) if some else []], "requests": [n]})
-            return
-        for part in parts:
-            held[0] = held[0] and bool(part["offline"].all())
-            held[1] = held[1] or bool(part["force"].any())
-            held[2] = held[2] or bool(part["resolve"].any())
-            held[3] = held[3] and all(len(x) for x in part["names"])
-            held[4] = sorted(set(held[4]).union(*(list(x) for x in part["names"])))
-            held[5] += len(part)
-        state.update(tuple(held))
-        state.setTimeoutDuration(wait_ms)
+def coalesced(requests: DataFrame, at: str, wait: str = "1 second", lateness: str | None = None) -> DataFrame:
+    """Runs of a queue: requests of a project and rebuild flag gather until none came for ``wait``, then merge as in :func:`merge_requests`.
 
-    kind = "offline boolean, force boolean, resolve boolean, some boolean, names array<string>, n long"
-    return requests.groupBy("project", "rebuild").applyInPandasWithState(gather, RUN, kind, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    For batches and streams alike. A stream keeps the open runs as its state and sends one
+    on when the watermark (``lateness`` behind the newest request) has passed its end, so
+    late requests within it and a restart from a checkpoint give the batch's runs.
+    """
+    if requests.isStreaming:
+        requests = requests.withWatermark(at, lateness or wait)
+    names = F.when(F.min(F.size("names")) == 0, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))))
+    merged = requests.groupBy("project", "rebuild", F.session_window(F.col(at), wait).alias("run")).agg(
+        F.min("offline").alias("offline"), F.max("force").alias("force"), F.max("resolve").alias("resolve"), names.alias("names"), F.count("*").alias("requests")
+    )
+    return merged.select("project", "rebuild", F.col("run.start").alias("started"), "offline", "force", "resolve", "names", "requests")
