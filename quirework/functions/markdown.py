@@ -18,11 +18,21 @@ _LOOSE = re.compile(
     r"""(?mx) ^[^\S\n]*(?P<fence>```|~~~)[^\n]*(?:\n(?![^\S\n]*(?P=fence))[^\n]*)*+(?:\n[^\n]*)?+
             | ^(?P<marks>\#{1,6})(?=[ \t\f\r])(?P<rest>[^\n]+)$"""
 )
-# By CommonMark: a fence is closed by one as long; a line of = or - makes a heading of the paragraph above it.
+# The tags that begin a block of HTML, which ends before a blank line.
+HTML_BLOCKS = (
+    "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html "
+    "iframe legend li link main menu menuitem nav noframes ol optgroup option p param search section summary table tbody td tfoot th thead title tr track ul"
+).split()
+# By CommonMark: a fence is closed by one as long; a line of = or - makes a heading of the paragraph above it; a
+# block of HTML runs to its end mark or to a blank line; a heading may stand in quotes and items of lists.
 _STRICT = re.compile(
-    r"""(?mx) ^[ ]{0,3}(?P<fence>(?P<mark>[`~])(?P=mark){2,})(?P<info>(?:(?<=~)[^\n]*|[^`\n]*))$
+    r"""(?mx) ^[ ]{0,3}(?P<html><(?i:script|pre|style|textarea)(?=[\s>])(?s:.*?)(?:</(?i:script|pre|style|textarea)>[^\n]*|\Z) | <!--(?s:.*?)(?:-->[^\n]*|\Z) | <\?(?s:.*?)(?:\?>[^\n]*|\Z)
+              | <!\[CDATA\[(?s:.*?)(?:\]\]>[^\n]*|\Z) | <![A-Za-z](?s:.*?)(?:>[^\n]*|\Z) | </?(?i:"""
+    + "|".join(HTML_BLOCKS)
+    + r""")(?=[\s/>])[^\n]*(?:\n(?![ \t]*(?:\n|\Z))[^\n]*)*+ | (?:(?<=\n\n)|(?<=\A))</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>\n]*)?/?>[ \t]*$(?:\n(?![ \t]*(?:\n|\Z))[^\n]*)*+)
+            | ^[ ]{0,3}(?P<fence>(?P<mark>[`~])(?P=mark){2,})(?P<info>(?:(?<=~)[^\n]*|[^`\n]*))$
               (?P<code>(?:\n(?![ ]{0,3}(?P=fence)(?P=mark)*[ \t]*$)[^\n]*)*+)(?:\n[^\n]*)?+
-            | ^[ ]{0,3}(?P<marks>\#{1,6})(?P<rest>(?:[ \t][^\n]*)?)$
+            | ^(?:[ ]{0,3}(?:>[ ]?|[*+-][ ]{1,4}|\d{1,9}[.)][ ]{1,4}))*[ ]{0,3}(?P<marks>\#{1,6})(?P<rest>(?:[ \t][^\n]*)?)$
             | ^[ ]{0,3}(?P<above>[^\s\#>`~+*=-][^\n]*)\n[ ]{0,3}(?P<under>=+|-+)[ \t]*$"""
 )
 _INLINE = re.compile(
@@ -108,15 +118,15 @@ def _as_json(blocks: list[dict[str, Any]]) -> str:
 def outline(text: str) -> dict[str, Any]:
     """title (of the first heading of level 1), headings (paths), languages (sorted), links (in order), code_blocks (JSON).
 
-    Headings by ``#`` or underlined; HTML blocks, block quotes and indented code are read
-    as text, so that a heading within a quote or a list isn't found.
+    Headings by ``#``, in quotes and items of lists too, or underlined; what blocks of HTML
+    hold is neither heading nor link. Indented code is read as text.
     """
-    code = [m for m in _STRICT.finditer(text) if m["fence"]]
+    code = [m for m in _STRICT.finditer(text) if m["fence"] or m["html"]]
     prose = "".join(text[a:b] for a, b in zip([0, *(m.end() for m in code)], [*(m.start() for m in code), len(text)]))
     defined: dict[str, str] = {}
     for m in _DEFINED.finditer(prose):
         defined.setdefault(_label(m[1]), m[2] if m[2] is not None else m[3])
-    found = list(_STRICT.finditer(text))
+    found = [m for m in _STRICT.finditer(text) if not m["html"]]
     heads = [None if m["fence"] else (len(m["marks"]), _atx_title(m["rest"])) if m["marks"] else (1 if m["under"][0] == "=" else 2, m["above"].strip()) for m in found]
     named = [h and (h[0], _plain(h[1], defined)) for h in heads]
     paths = list(_trail(h for h in named if h))

@@ -56,8 +56,9 @@ def bm25(found: Index, queries: DataFrame, k: int = 10, pooled: bool = False, bl
     its rows have no scope. Query terms are a set. Only postings of terms that some query
     has are read on, each weighed once, and dealt by scope and a hash of the chunk into
     slices of bounded size; each slice meets the queries in blocks of bounded bytes, one
-    block a pass, and keeps its k best a query.
+    block a pass, and keeps its k best a query. ``k`` of 0 or less is 10.
     """
+    k = k if k > 0 else 10
     scoped = "scope" in queries.columns and not pooled
     query_type, id_type = queries.schema["query_id"].dataType.simpleString(), found.points.schema["id"].dataType.simpleString()
     postings = found.postings

@@ -146,6 +146,19 @@ SELECT doc_id, CAST(0 AS INTEGER) AS ordinal, '' AS path, md5('intro') AS body_m
 UNION ALL SELECT doc_id, 1, source, md5(body) FROM x UNION ALL SELECT doc_id, 2, source || ' > deep', md5('end') FROM x"""
 # the first heading skips a level and counts as one down, so those that follow are below it
 SQL["section_chunks_rendered"] = "SELECT conv_id, CAST(n - 1 AS INTEGER) AS section, CAST(0 AS INTEGER) AS part, CASE WHEN n = 1 THEN role ELSE first || ' > ' || role END AS path FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, first_value(role) OVER (PARTITION BY conv_id ORDER BY turn) AS first FROM conversations)"
+SQL["section_chunks_packed"] = r"""WITH RECURSIVE t AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS section, '## ' || role AS heading,
+  regexp_replace(replace(coalesce(text, ''), chr(10), chr(10) || chr(10)), '^\s+|\s+$', '', 'g') AS body FROM conversations),
+p AS (SELECT *, list_filter(list_transform(string_split(body, chr(10) || chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts, CASE WHEN body = '' THEN heading ELSE heading || chr(10) || chr(10) || body END AS whole FROM t),
+f AS (
+  SELECT conv_id, section, heading, 1 AS i, 0 AS part, parts[1] AS chunk, parts FROM p WHERE len(parts) > 0 AND strlen(whole) > 300
+  UNION ALL
+  SELECT conv_id, section, heading, i + 1, CASE WHEN strlen(chunk) + 2 + strlen(parts[i + 1]) <= 300 THEN part ELSE part + 1 END,
+         CASE WHEN strlen(chunk) + 2 + strlen(parts[i + 1]) <= 300 THEN chunk || chr(10) || chr(10) || parts[i + 1] ELSE parts[i + 1] END, parts
+  FROM f WHERE i < len(parts)),
+c AS (
+  SELECT conv_id, section, part, CASE WHEN part = 0 THEN heading || chr(10) || chr(10) || chunk ELSE chunk END AS content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, section, part ORDER BY i DESC) AS n FROM f) WHERE n = 1
+  UNION ALL SELECT conv_id, section, 0, whole FROM p WHERE len(parts) = 0 OR strlen(whole) <= 300)
+SELECT conv_id, section, part, CAST(strlen(content) AS INTEGER) AS bytes, md5(content) AS content_md5 FROM c"""
 SQL["manifest_rollup"] = """SELECT lang AS generation, count(*) AS object_count, count(*) FILTER (first <> doc_id) AS reused_count, count(*) FILTER (first = doc_id) AS created_count, count(DISTINCT source) AS source_count,
 any_value(c.n) AS chunk_count FROM (SELECT *, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) JOIN (SELECT lang AS g, count(DISTINCT line) AS n FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY lang) c ON c.g = lang GROUP BY lang"""
 SQL["first_chunk_wins"] = "SELECT lang, CAST(length(text) AS INTEGER) AS length, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY lang, length(text)"

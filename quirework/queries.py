@@ -328,9 +328,8 @@ def chunk_paragraph_pack(spark, sf_dir):
     return packed.select("doc_id", "ordinal", F.octet_length("chunk").alias("bytes"), F.md5("chunk").alias("chunk_md5"))
 
 
-def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rendered(turns: DataFrame) -> DataFrame:
     """Conversations as Markdown: a section for each turn, by its role."""
-    turns = table(spark, sf_dir, "conversations")
     part = F.concat(F.lit("## "), "role", F.lit("\n"), F.coalesce("text", F.lit("")))
     return turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))), lambda x: x["part"]), "\n").alias("text"))
 
@@ -343,10 +342,18 @@ def section_split(spark, sf_dir):
 
 @query
 def section_chunks_rendered(spark, sf_dir):
-    chunks = D.section_chunks(_rendered(spark, sf_dir), max_bytes=100_000)
+    chunks = D.section_chunks(_rendered(table(spark, sf_dir, "conversations")), max_bytes=100_000)
     return chunks.select("conv_id", "section", "part", F.array_join("path", " > ").alias("path"))
 
 
+@query
+def section_chunks_packed(spark, sf_dir):
+    """Turns as sections, their lines as paragraphs, packed to 300 bytes; the heading leads the first chunk."""
+    turns = table(spark, sf_dir, "conversations").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    chunks = D.section_chunks(_rendered(turns), max_bytes=300)
+    return chunks.select("conv_id", "section", "part", F.octet_length("content").alias("bytes"), F.md5("content").alias("content_md5"))
+
+
 @query
 def manifest_rollup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("generation"), "source", "text")

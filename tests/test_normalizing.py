@@ -186,3 +186,20 @@ def test_patterns(spark):
     assert one(spark, S.sparse_patterns(F.col("e")), e="rust") == S.DOCUMENTS
     assert one(spark, S.below(F.array(F.lit("*.md")), F.col("f")), f="packages/a") == ["/packages/a/**/*.md"]
     assert one(spark, S.below(F.array(F.lit("*.md")), F.col("f")), f="") == ["*.md"]
+
+
+def test_headings_in_html_quotes_and_lists():
+    from quirework.functions.markdown import outline
+
+    def heads(text):
+        return outline(text)["headings"]
+
+    assert outline("<div>\n# html\n\n# Real")["title"] == "Real"
+    assert heads("<!-- # no\n# no\n-->\n# Yes") == ["Yes"]
+    assert heads("<script>\n# no\n\n# still no\n</script>\n# Yes") == ["Yes"] and heads("<PRE>\n# no") == []
+    assert heads("# A\n<custom-tag a='1'>\n# B") == ["A", "B"]  # within a paragraph or after a heading line it begins no block
+    assert heads("<custom-tag a='1'>\n# B\n\n# C") == ["C"] and heads("a <b>x</b>\n# D") == ["D"]
+    assert heads("> # Quoted\n> > ## Deep\n- # Item\n1. ## One") == ["Quoted", "Quoted > Deep", "Item", "Item > One"]
+    assert outline("<p>\n[a](b)\n</p>\n\n[c](d)")["links"] == ["d"]
+    assert heads("<?php\n# no\n?>\n<!DOCTYPE x>\n# Yes\n<![CDATA[\n# no\n]]>") == ["Yes"]
+    assert heads("text\n</table\n# no\n\n# Yes") == ["Yes"]
