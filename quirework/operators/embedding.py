@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,3 +77,45 @@ def point_faults(points: DataFrame, dimensions: int, metadata: list[str]) -> Dat
     of = kinds.groupBy("generation").agg(F.sum("sizes").alias("dimensions"), F.sum("nuls").alias("nul in metadata"), F.when(F.count("*") > 1, F.sum("n")).otherwise(0).alias("two kinds of metadata"))
     faults = of.unpivot("generation", ["dimensions", "nul in metadata", "two kinds of metadata"], "fault", "points")
     return faults.filter("points > 0")
+
+
+def embedded(missing: DataFrame, model: Callable[[list[str]], list[list[float]]], dimensions: int, batch: int = 64) -> DataFrame:
+    """(key, vector): what ``model`` makes of the texts of ``missing`` (key, text), ``batch`` at a time.
+
+    The model is called in the tasks. One vector a text, each of ``dimensions`` numbers: anything else is an error, and nothing of the table is written.
+    """
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for arrived in batches:
+            for start in range(0, len(arrived), batch):
+                part = arrived.slice(start, batch)
+                vectors = model(part.column(1).to_pylist())
+                if len(vectors) != len(part):
+                    raise ValueError(f"the model returned {len(vectors)} vectors for {len(part)} texts")
+                odd = next((len(v) for v in vectors if len(v) != dimensions), None)
+                if odd is not None:
+                    raise ValueError(f"the model returned a vector of {odd} dimensions, not {dimensions}")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vectors, pa.list_(pa.float32()))], ["key", "vector"])
+
+    return missing.select("key", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(made, "key string, vector array<float>")
+
+
+def embedding_plan(pointers: DataFrame, replicas: DataFrame, points: DataFrame, wanted: str) -> DataFrame:
+    """(generation, drop, embed): what a switch to the model ``wanted`` has to do for each active generation.
+
+    Vectors of another model are dropped and made anew (keywords answer meanwhile); where none
+    were made, or the index lost them, they are filled in; a generation without a
+    replica is left to its build.
+    """
+    state = vector_state(pointers, replicas, wanted)
+    lost = unindexed(pointers.select("generation"), points).withColumn("lost", F.lit(True))
+    joined = state.join(lost, "generation", "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
+    drop = (F.col("vectors") == "stale") & ~F.col("lost")
+    embed = F.col("vectors").isin("stale", "none") | ((F.col("vectors") == "current") & F.col("lost"))
+    return joined.select("generation", drop.alias("drop"), embed.alias("embed"))
+
+
+def to_embed(plan: DataFrame, chunks: DataFrame, cache: DataFrame, provider: str, model: str) -> tuple[DataFrame, DataFrame]:
+    """Of the chunks (generation, text and more) of generations to embed: those with a vector in the cache, and the distinct texts that lack one."""
+    wanted = chunks.join(plan.filter("embed").select("generation"), "generation", "left_semi")
+    return cached(wanted, cache, provider, model)

@@ -362,5 +362,8 @@ SQL["embedding_prompts"] = "SELECT doc_id, md5('title: ' || CASE WHEN doc_id % 3
 SQL["embedding_cache_misses"] = """WITH t AS (SELECT coalesce(text, '') AS text FROM documents), c AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents WHERE doc_id % 3 = 0)
 SELECT 'hit' AS kind, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM t WHERE text IN (SELECT text FROM c) UNION ALL SELECT 'miss', count(*), CAST(sum(length(text)) AS BIGINT) FROM (SELECT DISTINCT text FROM t WHERE text NOT IN (SELECT text FROM c))"""
 SQL["vector_states"] = f"WITH {_GENS}, {_PTRS} SELECT generation, CASE WHEN generation % 9 = 0 THEN 'no replica' WHEN generation % 4 = 0 THEN 'none' WHEN generation % 3 = 0 THEN 'stale' ELSE 'current' END AS vectors FROM ptr"
+SQL["embedding_switch"] = f"""WITH {_GENS}, {_PTRS}, p AS (SELECT DISTINCT l_orderkey AS generation FROM lineitem WHERE (l_orderkey % 5 <> 0 OR l_linenumber = 1) AND l_orderkey % 7 <> 0),
+s AS (SELECT generation, generation NOT IN (SELECT generation FROM p) AS lost, CASE WHEN generation % 9 = 0 THEN 'no replica' WHEN generation % 4 = 0 THEN 'none' WHEN generation % 3 = 0 THEN 'stale' ELSE 'current' END AS v FROM ptr)
+SELECT generation, v = 'stale' AND NOT lost AS "drop", v IN ('stale', 'none') OR v = 'current' AND lost AS embed FROM s"""
 SQL["embedding_faults"] = """SELECT label AS generation, 'dimensions' AS fault, count(*) AS points FROM embeddings WHERE vec_id % 97 = 0 GROUP BY label
 UNION ALL SELECT label, 'two kinds of metadata', count(*) FROM embeddings WHERE label < 2 GROUP BY label HAVING count(DISTINCT vec_id % 2) = 2"""

@@ -988,6 +988,15 @@ def vector_states(spark, sf_dir):
     return M.vector_state(_pointers(g), replicas, "m")
 
 
+@query
+def embedding_switch(spark, sf_dir):
+    """What a switch of models drops and embeds; points are the lines of orders."""
+    g = _generations(spark, sf_dir)
+    replicas = g.filter("id % 9 <> 0").select(F.col("id").alias("generation"), F.when(F.col("id") % 4 == 0, "").when(F.col("id") % 3 == 0, "old").otherwise("m").alias("embedding_model"))
+    points = table(spark, sf_dir, "lineitem").filter("l_orderkey % 5 <> 0 or l_linenumber = 1").select(F.col("l_orderkey").alias("generation")).filter("generation % 7 <> 0")
+    return M.embedding_plan(_pointers(g), replicas, points, "m")
+
+
 @query
 def embedding_faults(spark, sf_dir):
     """Vectors of one label are a generation; labels of one dataset share their version but for two."""
