@@ -74,10 +74,11 @@ def preferred(files: DataFrame) -> DataFrame:
 def go_modules(output: DataFrame) -> DataFrame:
     """(root, name, version, direct, resolved_by) from captured module lists (root, content): JSON objects one after another.
 
-    The main module is dropped; a replacement gives its version, or is local if it has none.
+    Objects begin on a line of their own, which no text within one does. The main module is
+    dropped; a replacement gives its version, or is local if it has none.
     """
     kind = "array<struct<Path: string, Version: string, Main: boolean, Indirect: boolean, Replace: struct<Path: string, Version: string>>>"
-    listed = F.concat(F.lit("["), F.regexp_replace(F.trim("content"), r"\}\s*\{", "},{"), F.lit("]"))
+    listed = F.concat(F.lit("["), F.regexp_replace(F.trim("content"), r"\}[ \t]*\r?\n\s*\{", "},{"), F.lit("]"))
     m = output.select("root", F.explode(F.from_json(listed, kind)).alias("m")).select("root", "m.*")
     other = F.coalesce("Replace.Version", F.lit(""))
     replaced = F.col("Replace").isNotNull()
@@ -220,6 +221,38 @@ def parsed_locks(files: DataFrame) -> DataFrame:
     return rows.select("root", "path", F.explode(F.arrow_udf(_parsed, ROW)(name, F.col("content"))).alias("d")).select("root", "path", "d.*")
 
 
+RESOLVED = ("root", "ecosystem", "name", "version", "direct", "resolved_by", "error")
+
+
+def resolved(files: DataFrame, go_output: DataFrame) -> DataFrame:
+    """The dependencies of every project as one table (RESOLVED): of each root and ecosystem the lock file of the first priority.
+
+    ``files``: root, path, content, ``package.json`` files among them; ``go_output``: root and the
+    captured module list of Go projects. What can't be read is a row with its error and no name, so is each
+    line of a requirements file that isn't an exact pin.
+    """
+    chosen = preferred(files)
+    name = F.element_at(F.split("path", "/"), -1)
+    none = F.lit(None).cast("string")
+
+    def rows(df: DataFrame, ecosystem: str, by: Column, direct: Column, error: Column) -> DataFrame:
+        return df.select("root", F.lit(ecosystem).alias("ecosystem"), "name", "version", direct.alias("direct"), by.alias("resolved_by"), error.alias("error"))
+
+    roots = chosen.filter("ecosystem = 'go'").select("root")
+    go = rows(go_modules(go_output.join(roots, "root", "left_semi")), "go", F.col("resolved_by"), F.col("direct"), none)
+    pins = requirements(chosen.filter(name == "requirements.txt"))
+    pinned = F.col("name").isNotNull()
+    required = rows(pins, "python", F.when(pinned, "requirements.txt"), F.when(pinned, F.lit(True)), F.col("warning"))
+    npm = rows(npm_lock(chosen.filter(name == "package-lock.json")), "node", F.col("resolved_by"), F.col("direct"), F.col("error"))
+    parsed = parsed_locks(chosen)
+    own = declared(files.filter(name == "package.json")).withColumn("own", F.lit(True))
+    marked = parsed.join(own, ["root", "name"], "left")
+    direct = F.when(name == "yarn.lock", F.when(F.col("name").isNotNull(), F.coalesce("own", F.lit(False)))).otherwise(F.col("direct"))
+    others = marked.join(chosen.select("path", "ecosystem"), "path").select("root", "ecosystem", "name", "version", direct.alias("direct"), "resolved_by", "error")
+    out = go.unionByName(required).unionByName(npm).unionByName(others)
+    return out.select(*RESOLVED)
+
+
 def declared(packages: DataFrame) -> DataFrame:
     """(root, name) that package.json files (root, content) list as dependencies."""
     p = F.from_json("content", "dependencies map<string,string>, devDependencies map<string,string>")

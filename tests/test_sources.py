@@ -93,3 +93,24 @@ def test_vanity_roots(spark):
     html = '<meta name="go-import" content="ex.org/m hg http://no"><meta name="go-import" content="ex.org/m git https://git.ex.org/m">'
     pages = spark.createDataFrame([("ex.org/m/sub", html), ("ex.org/moo", html), ("ex.org/m", "none")], "module string, html string")
     assert rows(S.vanity_roots(pages), "module", "root", "url") == [("ex.org/m/sub", "ex.org/m", "https://git.ex.org/m")]
+
+
+def test_texts_with_braces_stay_whole(spark):
+    listed = json.dumps({"Path": "a} {b", "Version": "v1"}, indent=1) + "\n" + json.dumps({"Path": "c", "Version": "v2"}, indent=1)
+    assert rows(L.go_modules(files(spark, out=listed)), "name", "version") == [("a} {b", "v1"), ("c", "v2")]
+
+
+def test_all_formats_come_as_one_table(spark):
+    made = [
+        ("/g", "/g/go.mod", ""), ("/q", "/q/requirements.txt", "a==1\nb>=2"), ("/n", "/n/package-lock.json", json.dumps({"lockfileVersion": 3, "packages": {"": {"dependencies": {"x": "1"}}, "node_modules/x": {"version": "1.0"}}})),
+        ("/y", "/y/yarn.lock", '# yarn lockfile v1\n\n"own@^1":\n  version "1.2.3"\n\nother@^2:\n  version "2.0.0"\n'), ("/y", "/y/package.json", json.dumps({"dependencies": {"own": "^1"}})),
+        ("/u", "/u/uv.lock", "[[package]]\nname = 'p'\nversion = '3'\nsource = { registry = 'r' }\n"), ("/u", "/u/requirements.txt", "ignored==1"), ("/z", "/z/poetry.lock", "not = [toml"),
+    ]
+    out = spark.createDataFrame([("/g", json.dumps({"Path": "m", "Version": "v1"})), ("/q", json.dumps({"Path": "stray", "Version": "v1"}))], "root string, content string")
+    found = L.resolved(spark.createDataFrame(made, "root string, path string, content string"), out)
+    assert tuple(found.columns) == L.RESOLVED
+    got = {(r.root, r.name): (r.ecosystem, r.version, r.direct, r.resolved_by, r.error is None) for r in found.collect()}
+    assert got == {
+        ("/g", "m"): ("go", "v1", True, "go-list", True), ("/q", "a"): ("python", "1", True, "requirements.txt", True), ("/q", None): ("python", None, None, None, False), ("/n", "x"): ("node", "1.0", True, "package-lock.json", True),
+        ("/y", "own"): ("node", "1.2.3", True, "yarn.lock", True), ("/y", "other"): ("node", "2.0.0", False, "yarn.lock", True), ("/u", "p"): ("python", "3", got[("/u", "p")][2], "uv.lock", True), ("/z", None): ("python", None, None, None, False),
+    }
