@@ -288,7 +288,7 @@ SELECT doc_id, normalizer, CASE WHEN md THEN 'markdown' ELSE 'text' END AS conte
   CASE WHEN md AND normalizer = 'release-notes' AND doc_id % 5 <> 0 THEN 'v1.' || doc_id % 7 || '.0' ELSE '' END AS release_version FROM f WHERE normalizer IS NOT NULL"""
 SQL["incremental_rebuild"] = f"""WITH f AS (SELECT doc_id, {_PATH} {_NAME} AS path, {_NORMALIZER} AS normalizer, doc_id % 11 = 0 OR doc_id % 8 IN (0, 1, 2) AS md,
   CASE WHEN doc_id % 5 = 0 THEN '' ELSE '# v1.' || doc_id % 7 || '.0 notes' || chr(10) END || coalesce(text, '') || CASE WHEN doc_id % 4 = 0 THEN chr(10) || '# v9.9.9 more' || chr(10) ELSE '' END AS content FROM documents WHERE doc_id % 7 <> 0)
-SELECT CASE WHEN doc_id % 6 = 1 THEN 'moved/' ELSE '' END || path AS path, normalizer, sha256(CASE WHEN md THEN content ELSE regexp_replace(content, '^\s+|\s+$', '', 'g') END) AS content_hash FROM f WHERE normalizer IS NOT NULL"""
+SELECT CASE WHEN doc_id % 6 = 1 THEN 'moved/' ELSE '' END || path AS path, normalizer, sha256(CASE WHEN md THEN content ELSE regexp_replace(content, '^\\s+|\\s+$', '', 'g') END) AS content_hash FROM f WHERE normalizer IS NOT NULL"""
 SQL["pattern_matches"] = f"""WITH f AS (SELECT coalesce(source, 'none') AS repository, {_PATH} {_NAME} AS path FROM documents),
 n AS (SELECT unnest(['*.md', '*.mdx', '*.txt', '*.rst', 'LICENSE*', 'license*', '*.go', 'go.mod']) AS name),
 m AS (SELECT repository, name AS pattern, path FROM f, n WHERE regexp_matches(path, '^(.*/)?' || replace(replace(name, '.', '[.]'), '*', '[^/]*') || '(/.*)?$')
@@ -323,9 +323,9 @@ SELECT CASE WHEN source LIKE '%3' THEN 'registry' ELSE lang END AS source_type,
 SQL["symbol_dependencies"] = """WITH d AS (SELECT o_custkey AS project, o_orderkey AS version, CASE WHEN o_orderstatus = 'O' THEN 'go' ELSE 'node' END AS dependency_ecosystem, substr(o_orderpriority, 1, 1) AS module FROM orders),
 s AS (SELECT c_custkey AS project, CAST(c_custkey % 5 + 1 AS VARCHAR) AS module, CASE WHEN c_custkey % 2 = 0 THEN 'go' ELSE '' END AS ecosystem FROM customer)
 SELECT s.project, s.module, arg_min(dependency_ecosystem, version) AS dependency_ecosystem, min(version) AS version FROM s LEFT JOIN d ON d.project = s.project AND d.module = s.module AND (s.ecosystem = '' OR s.ecosystem = d.dependency_ecosystem) GROUP BY s.project, s.module"""
-_SITES = """u AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS use_id, l_suppkey AS file, (l_partkey % 300) * 1048576 + l_orderkey % 90 AS s, (l_partkey % 300 + CAST(floor(l_quantity) AS INT) % 40) * 1048576 + CAST(floor(l_quantity) AS INT) AS e,
+_SITES = """u AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d') || '-' || CAST(floor(l_quantity) AS INT) AS use_id, l_suppkey AS file, (l_partkey % 300) * 1048576 + l_orderkey % 90 AS s, (l_partkey % 300 + CAST(floor(l_quantity) AS INT) % 40) * 1048576 + CAST(floor(l_quantity) AS INT) AS e,
   CASE WHEN l_orderkey % 11 = 0 THEN '' ELSE CAST(l_orderkey % 6 AS VARCHAR) END AS module, 'pkg.Symbol' || l_partkey AS symbol FROM lineitem WHERE l_linenumber <= 3),
-x AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS site_id, CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE l_suppkey END AS file,
+x AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d') || '-' || CAST(floor(l_quantity) AS INT) AS site_id, CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE l_suppkey END AS file,
   CASE WHEN l_orderkey % 10 = 0 THEN 150 * 1048576 + 20 ELSE (l_partkey % 300) * 1048576 + l_orderkey % 90 + 3 END AS pos, l_orderkey % 60 AS project, CASE WHEN l_orderkey % 2 = 0 THEN '' ELSE 'asked' END AS text FROM lineitem WHERE l_linenumber > 3),
 f AS (SELECT site_id, arg_min(use_id, (e - s, -s, use_id)) AS use_id FROM x JOIN u ON u.file = x.file AND s <= pos AND pos < e GROUP BY site_id)"""
 SQL["call_site_uses"] = f"WITH {_SITES} SELECT site_id, use_id FROM f"
@@ -334,8 +334,8 @@ d AS (SELECT o_custkey AS project, substr(o_orderpriority, 1, 1) AS module, min(
 r AS (SELECT site_id, symbol, module, version, text FROM f JOIN u USING (use_id) JOIN x USING (site_id) LEFT JOIN d USING (project, module) WHERE module <> '')
 SELECT site_id, symbol, CASE WHEN version IS NOT NULL THEN 'go' END AS ecosystem, module AS package, version, CASE WHEN version % 3 = 0 THEN version * 2 END AS generation, CASE WHEN text = '' THEN symbol ELSE text END AS query_text,
   CASE WHEN version IS NULL THEN 'dependency not found' WHEN version % 3 <> 0 THEN 'no active generation for this version' END AS error FROM r"""
-SQL["release_notes_between"] = f"""WITH {_GENS}, {_PTRS}, q AS (SELECT c_custkey AS query_id, 'p' || c_custkey % 130 AS package, CAST(c_custkey % 3 + 1 AS VARCHAR) AS a, CAST(c_custkey % 3 + 2 AS VARCHAR) AS b FROM customer),
-k AS (SELECT q.*, package IN (SELECT package FROM g) AS known, coalesce((SELECT generation FROM ptr WHERE ptr.package = q.package AND version = b), (SELECT generation FROM ptr WHERE ptr.package = q.package AND version = a)) AS generation FROM q)
+SQL["release_notes_between"] = f"""WITH {_REFS}, {_GENS}, {_PTRS}, q AS (SELECT c_custkey AS query_id, 'p' || c_custkey % 130 AS package, CAST(c_custkey % 3 + 1 AS VARCHAR) AS a, CAST(c_custkey % 3 + 2 AS VARCHAR) AS b FROM customer),
+k AS (SELECT q.*, package IN (SELECT package FROM refs) AS known, coalesce((SELECT generation FROM ptr WHERE ptr.package = q.package AND version = b), (SELECT generation FROM ptr WHERE ptr.package = q.package AND version = a)) AS generation FROM q)
 SELECT query_id, 'go' AS ecosystem, CAST(l_linenumber AS VARCHAR) AS version, l_orderkey || '-' || l_linenumber AS excerpt, NULL AS error FROM k JOIN lineitem ON l_orderkey = generation WHERE l_returnflag = 'R' AND CAST(l_linenumber AS VARCHAR) IN (a, b)
 UNION ALL SELECT query_id, NULL, NULL, NULL, 'dependency not found' FROM k WHERE NOT known"""
 SQL["search_scopes"] = f"""WITH {_REFS}, {_GENS.replace('FROM orders)', 'FROM orders WHERE o_orderkey % 7 = 0)')}, {_PTRS},

@@ -869,18 +869,22 @@ def symbol_dependencies(spark, sf_dir):
     return O.dependencies_of_symbols(c, refs).select("project", "module", "dependency_ecosystem", "version")
 
 
+def _line_id() -> Column:
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd"), F.col("l_quantity").cast("int"))
+
+
 def _call_sites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A supplier is a file, its lines of orders are ranges and positions in it; a tenth of the positions are the same."""
     li = table(spark, sf_dir, "lineitem")
     line, column = F.col("l_partkey") % 300, F.col("l_orderkey") % 90
     module = F.when(F.col("l_orderkey") % 11 == 0, "").otherwise((F.col("l_orderkey") % 6).cast("string"))
     uses = li.filter("l_linenumber <= 3").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("use_id"), F.col("l_suppkey").alias("file"), line.alias("line"), column.alias("column"), (line + F.col("l_quantity").cast("int") % 40).alias("end_line"), F.col("l_quantity").cast("int").alias("end_column"),
+        _line_id().alias("use_id"), F.col("l_suppkey").alias("file"), line.alias("line"), column.alias("column"), (line + F.col("l_quantity").cast("int") % 40).alias("end_line"), F.col("l_quantity").cast("int").alias("end_column"),
         module.alias("module"), F.lit("go").alias("ecosystem"), F.concat(F.lit("pkg.Symbol"), F.col("l_partkey")).alias("symbol"),
     )
     one = F.col("l_orderkey") % 10 == 0
     sites = li.filter("l_linenumber > 3").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("site_id"), F.when(one, 1).otherwise(F.col("l_suppkey")).alias("file"), F.when(one, 150).otherwise(line).alias("line"), F.when(one, 20).otherwise(column + 3).alias("column"),
+        _line_id().alias("site_id"), F.when(one, 1).otherwise(F.col("l_suppkey")).alias("file"), F.when(one, 150).otherwise(line).alias("line"), F.when(one, 20).otherwise(column + 3).alias("column"),
         (F.col("l_orderkey") % 60).alias("project"), F.when(F.col("l_orderkey") % 2 == 0, "").otherwise("asked").alias("text"),
     )
     return sites, uses
@@ -905,7 +909,7 @@ def release_notes_between(spark, sf_dir):
     line = F.col("l_linenumber").cast("string")
     chunks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("generation"), F.when(F.col("l_returnflag") == "R", "release_note").otherwise("markdown").alias("content_type"), line.alias("release_version"), F.concat_ws("-", "l_orderkey", line).alias("content"))
     asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("p"), F.col("c_custkey") % 130).alias("package"), (F.col("c_custkey") % 3 + 1).cast("string").alias("from_version"), (F.col("c_custkey") % 3 + 2).cast("string").alias("to_version"))
-    return O.release_changes(asked, g, _pointers(g), chunks)
+    return O.release_changes(asked, _references(spark, sf_dir), _pointers(g), chunks)
 
 
 @query

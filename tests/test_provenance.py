@@ -23,17 +23,22 @@ def world(spark):
 
 
 def test_scopes_of_each_mode(spark, world):
+    """The reference recorded as the latest counts, not the one seen last: of several the first by key."""
+    references = spark.createDataFrame(
+        [("go", "a", "2", "p", "latest", "2024-01-01"), ("go", "a", "9", "p", "project", "2025-01-01"), ("node", "a", "7", "p", "latest", "2026-01-01"), ("go", "b", "3", "q", "latest", "2024-01-01"), ("go", "c", "1", "p", "project", "2024-01-01"), ("go", "a", "1", "q", "project", "2023-01-01")],
+        "ecosystem string, package string, version string, project string, reason string, last_seen string",
+    )
     asked = spark.createDataFrame(
         [(1, "project", "p", "a"), (2, "project", "x", "a"), (3, "project", "p", "zz"), (4, "project", "p", "b"), (5, "latest", None, "a"), (6, "latest", None, "b"), (7, "latest", None, "zz"),
-         (8, "compare", "p", "a"), (9, "compare", "x", "a"), (10, "compare", "x", "b"), (11, "all-retained", None, "a"), (12, "all-retained", None, "zz"), (13, "all-retained", None, "b"), (14, "project", "p", None)],
+         (8, "compare", "p", "a"), (9, "compare", "x", "a"), (10, "compare", "x", "b"), (11, "all-retained", None, "a"), (12, "all-retained", None, "zz"), (13, "all-retained", None, "b"), (14, "project", "p", None), (15, "latest", None, "c")],
         "query_id int, mode string, project string, package string",
     )
     got = {}
-    for r in P.search_scopes(asked, world["projects"], world["dependencies"], world["references"], world["pointers"]).collect():
+    for r in P.search_scopes(asked, world["projects"], world["dependencies"], references, world["pointers"]).collect():
         got.setdefault(r.query_id, set()).add((r.generation, r.error))
     assert got == {
         1: {("g1", None)}, 2: {(None, P.NO_PROJECT)}, 3: {(None, P.NO_DEPENDENCY)}, 4: {(None, P.NO_GENERATION)}, 5: {("g2", None)}, 6: {(None, P.NO_GENERATION)}, 7: {(None, P.NO_DEPENDENCY)},
-        8: {("g1", None), ("g2", None)}, 9: {("g2", None)}, 10: {(None, P.NO_PROJECT), (None, P.NO_GENERATION)}, 11: {("g1", None), ("g2", None), ("g7", None)}, 12: {(None, P.NO_DEPENDENCY)}, 14: {(None, P.NO_DEPENDENCY)},
+        8: {("g1", None), ("g2", None)}, 9: {("g2", None)}, 10: {(None, f"compare: project search: {P.NO_PROJECT}; latest search: {P.NO_GENERATION}")}, 11: {("g1", None), ("g2", None), ("g7", None)}, 12: {(None, P.NO_DEPENDENCY)}, 14: {(None, P.NO_DEPENDENCY)}, 15: {(None, P.NO_DEPENDENCY)},
     }  # fmt: skip  # 13: referred to, nothing active: an empty result and no error
 
 
