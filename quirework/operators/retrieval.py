@@ -22,7 +22,7 @@ from quirework.session import stored
 
 K1, B = 1.2, 0.75
 #: Documents of a slice and questions that are scored together.
-SLICE_DOCS, QUESTIONS = 4096, 512
+SLICE_DOCS, QUESTIONS = 1024, 512
 #: Scores are compared at this many decimals, so that the order of summation doesn't decide.
 DECIMALS = 6
 
