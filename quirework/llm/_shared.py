@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -14,10 +15,12 @@ from pyspark.sql import functions as F
 
 from quirework.session import scratch_path, shared_dir, stored  # noqa: F401
 
+#: The C library's way to return freed memory, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Bytes of text that a task holds as Python objects at a time.
 CHUNK_BYTES = 1 << 20
 #: Rows and bytes of an Arrow batch, at most; one row at least, however long.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 #: A key with more rows than this, and more than one in HOT_SHARE of all rows, is joined by broadcast.
 HOT_ROWS, HOT_SHARE = 1000, 50_000
 
@@ -85,8 +88,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are reused, and would keep the most that any operator took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[pa.Array]:
-    """Slices of whole texts, of about ``limit`` bytes each and one text at least."""
+    """Slices of whole texts, of about ``limit`` bytes each and one text at least; memory is given back after the last."""
     if not len(texts):
         return
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -96,6 +106,7 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[pa.Array]:
         stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield texts.slice(start, stop - start)
         start = stop
+    give_back()
 
 
 def as_bytes(texts: pa.Array) -> list[bytes]:
