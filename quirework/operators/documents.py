@@ -15,9 +15,16 @@ _SECTION = pa.struct([("ordinal", pa.int32()), ("heading", pa.string()), ("path"
 SECTIONS = "array<struct<ordinal: int, heading: string, path: array<string>, body: string>>"
 
 
+#: Texts whose sections are Python objects at one time.
+TEXTS_AT_ONCE = 64
+
+
 def _sections(texts: pa.Array) -> pa.Array:
-    rows = [[dict(zip(("ordinal", "heading", "path", "body"), (n, *s))) for n, s in enumerate(sections(t or ""))] for t in texts.to_pylist()]
-    return pa.array(rows, pa.list_(_SECTION))
+    def made(some: pa.Array) -> pa.Array:
+        rows = [[dict(zip(("ordinal", "heading", "path", "body"), (n, *s))) for n, s in enumerate(sections(t or ""))] for t in some.to_pylist()]
+        return pa.array(rows, pa.list_(_SECTION))
+
+    return pa.concat_arrays([made(texts[n : n + TEXTS_AT_ONCE]) for n in range(0, max(1, len(texts)), TEXTS_AT_ONCE)])
 
 
 def split_sections(docs: DataFrame, text: str = "text") -> DataFrame:
