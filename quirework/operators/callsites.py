@@ -2,7 +2,7 @@
 
 Ranges of uses may nest and overlap, and a file may have millions. Each range goes to the
 level whose bins are the smallest not shorter than it, so that it lies in two bins at
-most; a position asks one bin a level. The join is then by equality, and what meets in a
+most; a position asks one bin of each level that some range has. The join is then by equality, and what meets in a
 bin are ranges of about its length.
 """
 
@@ -39,11 +39,13 @@ def innermost(sites: DataFrame, uses: DataFrame) -> DataFrame:
     binned = binned.withColumn("bin", F.explode(F.expr("sequence(shiftright(start, level), shiftright(end - 1, level))")))
     asked = sites.select("site_id", F.struct("file", _at(F.col("line"), F.col("column")).alias("at")).alias("place"))
     places = asked.groupBy("place").agg(F.count("*").alias("times_"))
+    found = {r.level for r in binned.select("level").distinct().collect()}  # at most LEVELS
     at = F.col("place.at")
-    probes = F.array(*[F.struct(F.lit(b).alias("level"), F.shiftright(at, b).alias("bin")) for b in LEVELS])
-    wanted = places.select("place", "times_", F.col("place.file").alias("file"), at.alias("at"), F.explode(probes).alias("p")).select("place", "times_", "file", "at", "p.level", "p.bin")
+    probes = F.array(*[F.struct(F.lit(b).alias("level"), F.shiftright(at, b).alias("bin")) for b in LEVELS if b in found or not found])
+    wanted = places.select("times_", F.col("place.file").alias("file"), at.alias("at"), F.explode(probes).alias("p")).select("times_", "file", "at", "p.level", "p.bin")
     hits = wanted.join(binned, ["file", "level", "bin"]).filter((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")))
-    best = hits.groupBy("place").agg(F.min_by("use_id", F.struct(F.col("end") - F.col("start"), -F.col("start"), "use_id")).alias("use_id"), F.first("times_").alias("times_"))
+    best = hits.groupBy("file", "at").agg(F.min_by("use_id", F.struct(F.col("end") - F.col("start"), -F.col("start"), "use_id")).alias("use_id"), F.first("times_").alias("times_"))
+    best = best.select(F.struct("file", "at").alias("place"), "use_id", "times_")
     return join_back(asked, best, "place").select("site_id", "use_id")
 
 

@@ -7,6 +7,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
+from quirework.operators import callsites as K
 from quirework.operators import documents as D
 from quirework.operators import index as X
 from quirework.operators import retrieval as R
@@ -55,3 +56,13 @@ def test_sections_are_made_a_few_texts_at_a_time(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 20e6 and len(got) == 2002 and [s["ordinal"] for s in got[1999].as_py()] == [0, 1] and got[2001].as_py() == []
+
+
+def test_a_position_asks_the_levels_that_ranges_have(spark, monkeypatch):
+    """All uses are of one length: a position has one probe, not one of each of 15 levels."""
+    seen = []
+    monkeypatch.setattr(K, "join_back", lambda rows, summed, key: seen.append(summed) or rows.join(summed, key))
+    uses = spark.createDataFrame([(u, "f", u, 0, u, 9) for u in range(20)], "use_id int, file string, line int, column int, end_line int, end_column int")
+    sites = spark.createDataFrame([(7, "f", 3, 4), (8, "f", 3, 9)], "site_id int, file string, line int, column int")
+    assert [tuple(r) for r in K.innermost(sites, uses).collect()] == [(7, 3)]
+    assert seen[0]._jdf.queryExecution().analyzed().toString().count("shiftright(") == 3  # both ends of a range, one probe
