@@ -72,12 +72,24 @@ def section_chunks(docs: DataFrame, text: str = "text", max_bytes: int = 2000) -
     return parts.withColumnRenamed("ordinal", "section")
 
 
+def ordered_chunks(docs: DataFrame, text: str = "text", max_bytes: int = 2000) -> DataFrame:
+    """The chunks of :func:`section_chunks` with their ordinal in the document, path and content: numbered where the document is, without a shuffle or sort."""
+    keep = [c for c in docs.columns if c != text]
+    split = docs.select(*keep, F.arrow_udf(_sections, SECTIONS)(F.col(text)).alias("s"))
+    each = F.flatten(F.transform("s", lambda s: F.transform(pack_section(s["heading"], s["body"], max_bytes), lambda c: F.struct(s["path"].alias("path"), c.alias("content")))))
+    return split.select(*keep, F.posexplode(each).alias("ordinal", "c")).select(*keep, "ordinal", "c.path", "c.content")
+
+
 def symbol_content(content: Column, package: Column, symbol: Column, signature: Column) -> Column:
     """The content of an API entry; a blank one falls back to its signature, then its names."""
     sig = F.coalesce(signature, F.lit(""))
     return F.when(stripped(F.coalesce(content, F.lit(""))) != "", content).when(sig != "", sig).otherwise(chunk_title(package, symbol, package))
 
 
+def content_hash(content: Column) -> Column:
+    return F.sha2(F.coalesce(content, F.lit("")), 256)
+
+
 def reuse_content(docs: DataFrame, doc_id: str, content: str, order: list[Column], known: DataFrame | None = None) -> DataFrame:
     """``docs`` with content_hash, object_id and reused: equal contents share the first object's id.
 
@@ -85,13 +97,17 @@ def reuse_content(docs: DataFrame, doc_id: str, content: str, order: list[Column
     there. The minimum per hash is combined before the shuffle, and contents that many rows
     share are joined back by broadcast, so one that a third of the rows have is no task's alone.
     """
-    hashed = docs.withColumn("content_hash", F.sha2(F.coalesce(F.col(content), F.lit("")), 256))
+    return reuse_hashed(docs.withColumn("content_hash", content_hash(F.col(content))), doc_id, order, known)
+
+
+def reuse_hashed(hashed: DataFrame, doc_id: str, order: list[Column], known: DataFrame | None = None) -> DataFrame:
+    """:func:`reuse_content` of rows that have their content_hash, and needn't carry the content."""
     rank = F.struct(*[c.alias(f"o{n}") for n, c in enumerate(order)], F.col(doc_id).alias("id"))
     first = hashed.groupBy("content_hash").agg(F.min(rank)["id"].alias("first_id"), F.count("*").alias("times_"))
     if known is not None:
         first = first.join(known.groupBy("content_hash").agg(F.min("object_id").alias("known_id")), "content_hash", "left")
     else:
-        first = first.withColumn("known_id", F.lit(None).cast(docs.schema[doc_id].dataType))
+        first = first.withColumn("known_id", F.lit(None).cast(hashed.schema[doc_id].dataType))
     found = join_back(hashed, first, "content_hash")
     object_id = F.coalesce("known_id", "first_id")
     return found.withColumn("object_id", object_id).withColumn("reused", F.col("known_id").isNotNull() | (F.col("first_id") != F.col(doc_id))).drop("first_id", "known_id")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import random
 import re
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from quirework.operators import incremental as J
+from quirework.operators import skew as W
 from quirework.plans import snapshots as Z
+from quirework.session import shared_dir
 from quirework.sources import discovery as S
 
 FILES = "path string, source_type string, include_license boolean, content string"
@@ -122,3 +125,34 @@ def test_files_are_those_below_the_package_folder(spark):
     for r in S.files_of_packages(packages, tree, manifests).collect():
         got.setdefault(r.package, set()).add(r.path)
     assert got == {"x": {"packages/x/package.json", "packages/x/a.md"}, "y": {"packages/y/c.md"}, "m": {"package.json", "go.mod", "d.md"}}
+
+
+def test_contents_are_written_twice_and_not_shuffled(spark, tmp_path, monkeypatch):
+    """Once as objects and once as chunks, for all that is new; where keys are too many to be broadcast, contents meet them in one shuffle."""
+    rng = random.Random(6)
+    state = {f"f{k}.md": f"# T{k}\n" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(20_000)) for k in range(60)}
+    state |= {f"copy{k}.md": state["f1.md"] for k in range(3)}
+    moved = {f"in/{p}" if p.startswith("f2") else p: t + ("\n# more\nx" if p.startswith("f3") else "") for p, t in state.items()}
+    size = sum(map(len, state.values()))
+
+    def moves():
+        summary = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(summary.apply(n).totalShuffleWrite() for n in range(summary.size()))
+
+    def sizes(*folders):
+        return {p: p.stat().st_size for d in folders for p in Path(d).rglob("*.parquet")}
+
+    def built(name):
+        root, shared = str(tmp_path / name), shared_dir(spark).removeprefix("file:")
+        before, there = moves(), sizes(shared)
+        J.build(spark, root, files(spark, state))
+        shuffled, written = moves() - before, sum(n for p, n in sizes(shared, root).items() if p not in there)
+        J.build(spark, root, files(spark, moved))
+        return shuffled / size, written / size, chunks(spark, root), tuple(Z.view(spark, root).table("counts").first())
+
+    shuffled, written, found, counts = built("few")
+    assert shuffled < 0.2 and written < 2.8
+    monkeypatch.setattr(W, "FEW_KEYS", 0)
+    shuffled, _, again, counts_again = built("many")
+    assert again == found and counts_again == counts
+    assert 0.2 < shuffled < 2
