@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -66,3 +69,56 @@ def test_a_position_asks_the_levels_that_ranges_have(spark, monkeypatch):
     sites = spark.createDataFrame([(7, "f", 3, 4), (8, "f", 3, 9)], "site_id int, file string, line int, column int")
     assert [tuple(r) for r in K.innermost(sites, uses).collect()] == [(7, 3)]
     assert seen[0]._jdf.queryExecution().analyzed().toString().count("shiftright(") == 3  # both ends of a range, one probe
+
+
+def test_pooled_questions_pass_over_points_without_a_shuffle(spark, tmp_path):
+    """Each block of questions read all postings and shuffled them; now only the best hits are. Ties, replaced and deleted points, empty and null texts."""
+    rng = random.Random(5)
+    words = [f"w{n}" for n in range(40)]
+    texts = {n: " ".join(rng.choices(words, [1 / (k + 1) for k in range(40)], k=rng.randrange(30))) for n in range(150)} | {150: None, 151: "", 152: "w1 w1", 153: "w1 w1"}
+    kind = "scope string, id string, text string"
+    root = str(tmp_path / "index")
+    X.upsert(spark, root, spark.createDataFrame([(f"s{n % 3}", f"d{n}", "w3 old" if n == 7 else t) for n, t in texts.items()], kind))
+    X.upsert(spark, root, spark.createDataFrame([("s1", "d7", texts[7])], kind))
+    X.delete(spark, root, spark.createDataFrame([("d9",), ("d30",)], "id string"))
+    live = {f"d{n}": Counter((t or "").split()) for n, t in texts.items() if n not in (9, 30)}
+    average = sum(c.total() for c in live.values()) / len(live)
+    df = Counter(t for c in live.values() for t in c)
+    want = []
+    for q in (q for q in texts if q % 2 == 0):
+        asked, scored = set((texts[q] or "").split()), []
+        for d, c in live.items():
+            hit = [math.log(1 + (len(live) - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * c.total() / average)) for t in asked & c.keys()]
+            scored += [(-round(sum(hit), 6), d)] if hit else []
+        want += [(q, d, -s, r + 1) for r, (s, d) in enumerate(sorted(scored)[:9])]
+    rows = [(q, t) for q, t in texts.items() if q % 2 == 0]
+    questions = spark.createDataFrame([*rows, rows[1]], "query_id int, text string")  # one stands twice
+    for block_bytes in (None, 1500):
+        got = R.bm25(X.opened(spark, root), questions, 9, pooled=True, **({"block_bytes": block_bytes} if block_bytes else {}))
+        assert block_bytes is None or _plan(got).count("Exchange") == 1
+        assert sorted((r.query_id, r.id, round(r.score, 6), r.rank) for r in got.collect()) == sorted(want)
+
+
+def test_a_table_is_the_sum_of_dense_and_sparse_terms(monkeypatch):
+    """Whatever share of the terms is dense, and however few cells are summed up at once."""
+    rng = np.random.default_rng(8)
+    fill = 1 / (np.arange(60) + 1)
+    asks, has = rng.random((700, 60)) < fill, rng.random((60, 90)) < fill[rng.permutation(60)][:, None]
+    has[:5] = False
+    value = np.where(has, rng.random((60, 90)), 0)
+    q, t = np.nonzero(asks)
+    rows = pa.table({"query_id": q + 1000, "term": [f"t{n}" for n in t], "idf": t / 10})
+    names, terms, idf, groups = R._packed(rows)
+    number = {x: n for n, x in enumerate(terms.to_pylist())}
+    code, docs = np.nonzero(has)
+    known = [n for n, c in enumerate(code) if f"t{c}" in number]
+    of = np.array([number[f"t{code[n]}"] for n in known])
+    by = np.argsort(of, kind="stable")
+    there, cuts = np.unique(of[by], return_index=True)
+    docs, parts = docs[known][by], value[code[known], docs[known]][by]
+    for dense, cells in ((0, 1 << 21), (0.02, 64), (0.02, 1 << 21), (2, 1), (2, 1000)):
+        monkeypatch.setattr(R, "DENSE", dense)
+        monkeypatch.setattr(R, "CELLS", cells)
+        got = np.concatenate([R._table(there, np.append(cuts, len(of)), docs, parts, 90, g) for g in groups])
+        assert np.allclose(got, asks[names.to_numpy() - 1000] @ value)
+    assert len(groups) == 2 and all(idf[number[f"t{n}"]] == n / 10 for n in set(t))
