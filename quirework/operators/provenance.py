@@ -30,18 +30,22 @@ def current_sources(chunks: DataFrame, objects: DataFrame, sources: DataFrame) -
     return found.select("generation", "chunk_id", *[F.when(F.col("now").isNotNull(), F.col("now")[c]).otherwise(F.col(c)).alias(c) for c in ("source_type", "authority")])
 
 
+def first_dependencies(dependencies: DataFrame) -> DataFrame:
+    """(project, module, ecosystem, first): a project's first dependency (ordinal, found_in, version) of each name in each ecosystem, and in any (an empty one)."""
+    first = F.struct("ordinal", F.col("ecosystem").alias("found_in"), "version")
+    exact = dependencies.groupBy("project", F.col("package").alias("module"), "ecosystem").agg(F.min(first).alias("first"))
+    anywhere = exact.groupBy("project", "module").agg(F.min("first").alias("first")).withColumn("ecosystem", F.lit(""))
+    return exact.filter("ecosystem <> ''").unionByName(anywhere)
+
+
 def dependencies_of_symbols(symbols: DataFrame, dependencies: DataFrame) -> DataFrame:
     """``symbols`` (project, module, ecosystem) with the version of the project's first dependency of that name.
 
     ``dependencies``: project, ordinal, ecosystem, package, version. A symbol of no known
     ecosystem (null or empty) takes any; without a match the version is null.
     """
-    first = F.struct("ordinal", F.col("ecosystem").alias("found_in"), "version")
-    exact = dependencies.groupBy("project", F.col("package").alias("module"), "ecosystem").agg(F.min(first).alias("first"))
-    anywhere = exact.groupBy("project", "module").agg(F.min("first").alias("first")).withColumn("ecosystem", F.lit(""))
     asked = symbols.withColumn("ecosystem", F.coalesce("ecosystem", F.lit("")))
-    known = exact.filter("ecosystem <> ''").unionByName(anywhere)
-    return asked.join(known, ["project", "module", "ecosystem"], "left").select(*symbols.columns, F.col("first.found_in").alias("dependency_ecosystem"), F.col("first.version").alias("version"))
+    return asked.join(first_dependencies(dependencies), ["project", "module", "ecosystem"], "left").select(*symbols.columns, F.col("first.found_in").alias("dependency_ecosystem"), F.col("first.version").alias("version"))
 
 
 def release_changes(asked: DataFrame, references: DataFrame, pointers: DataFrame, chunks: DataFrame) -> DataFrame:

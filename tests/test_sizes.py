@@ -122,3 +122,39 @@ def test_a_table_is_the_sum_of_dense_and_sparse_terms(monkeypatch):
         got = np.concatenate([R._table(there, np.append(cuts, len(of)), docs, parts, 90, g) for g in groups])
         assert np.allclose(got, asks[names.to_numpy() - 1000] @ value)
     assert len(groups) == 2 and all(idf[number[f"t{n}"]] == n / 10 for n in set(t))
+
+
+def _most_rows(node, kinds: str) -> int:
+    """The most rows that a node of some kinds in a plan has made."""
+    below = node.children()
+    mine = [int(node.metrics().apply("numOutputRows").value())] if any(k in node.nodeName() for k in kinds.split()) else []
+    return max(mine + [_most_rows(below.apply(n), kinds) for n in range(below.size())], default=0)
+
+
+def test_a_position_meets_arrays_of_ranges_and_no_row_a_range(spark, monkeypatch):
+    """Each pair of a position and a range around it was a row, sorted to find the best. Crowded bins in several arrays, equal ranges, payloads."""
+    uses = [(f"u{u:03}", "f", 100 - u % 90, 0, 100 + u % 90, 5, f"m{u % 7}" if u % 90 else "", "", f"s{u}") for u in range(300)] + [("u0", "f", 100, 0, 100, 5, "m3", "go", "best"), ("none", None, 1, 0, 9, 0, "m", "", "s")]
+    sites = [(s, "f", 100 + s // 50, s % 2 * 7, "p", "") for s in range(200)] + [(900, None, 100, 0, "p", "")]
+    uses = spark.createDataFrame(uses, "use_id string, file string, line int, column int, end_line int, end_column int, module string, ecosystem string, symbol string")
+    sites = spark.createDataFrame(sites, "site_id int, file string, line int, column int, project string, text string")
+    dependencies = spark.createDataFrame([("p", 2, "go", "m3", "v1"), ("p", 1, "js", "m3", "v2"), ("q", 0, "go", "m3", "v9")], "project string, ordinal int, ecosystem string, package string, version string")
+    pointers = spark.createDataFrame([("go", "m3", "v1", "g1"), ("js", "m3", "v9", "g9")], "ecosystem string, package string, version string, generation string")
+    found = {}
+    for s in sites.filter("file is not null").collect():
+        around = [((r.end_line - r.line) * K.COLUMNS + r.end_column - r.column, -(r.line * K.COLUMNS + r.column), r.use_id, r) for r in uses.filter("file = 'f'").collect() if (r.line, r.column) <= (s.line, s.column) < (r.end_line, r.end_column)]
+        if around:
+            found[s.site_id] = min(around)[3]
+    joined = []
+    monkeypatch.setattr(K, "join_back", lambda rows, summed, key: joined.append(summed) or rows.join(summed, key))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for n in (1024, 7):
+            monkeypatch.setattr(K, "USES", n)
+            assert {r.site_id: r.use_id for r in K.innermost(sites, uses).collect()} == {s: u.use_id for s, u in found.items()}
+            got = {r.site_id: (r.symbol, r.version, r.generation) for r in K.resolved_sites(sites, uses, dependencies, pointers).collect()}
+            version = {"go": ("v1", "g1"), "": ("v2", None)}
+            assert got == {s: (u.symbol, *(version[u.ecosystem] if u.module == "m3" else (None, None))) for s, u in found.items() if u.module}
+        joined[0].collect()
+        assert len(found) == 200 and _most_rows(joined[0]._jdf.queryExecution().executedPlan(), "Join") <= 40  # 8 positions, four levels at most
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
