@@ -158,3 +158,50 @@ def test_a_position_meets_arrays_of_ranges_and_no_row_a_range(spark, monkeypatch
         assert len(found) == 200 and _most_rows(joined[0]._jdf.queryExecution().executedPlan(), "Join") <= 40  # 8 positions, four levels at most
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_cells_are_summed_up_a_few_documents_at_a_time():
+    """The cells of rare terms were up to 2,097,152 at once over all of a slice: here 63 MB."""
+    rng = np.random.default_rng(4)
+    asks, has = rng.random((512, 3000)) < 0.03, rng.random((3000, 1024)) < 0.05
+    q, t = np.nonzero(asks)
+    *_, groups = R._packed(pa.table({"query_id": np.append(np.arange(512), q), "term": ["first"] * 512 + [f"t{n:04}" for n in t], "idf": np.ones(512 + len(q))}))
+    code, docs = np.nonzero(has)  # terms are numbered as they come
+    number = {x: n for n, x in enumerate(dict.fromkeys(["first"] + [f"t{n:04}" for n in t]))}
+    of = np.array([number[f"t{n:04}"] for n in code])
+    by = np.argsort(of, kind="stable")
+    there, cuts = np.unique(of[by], return_index=True)
+    tracemalloc.start()
+    got = R._table(there, np.append(cuts, len(of)), docs[by], np.ones(len(of)), 1024, groups[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 and np.allclose(got, asks.astype(float) @ has)
+
+
+def test_questions_and_documents_of_a_kind_are_scored_together(monkeypatch):
+    """Questions of two languages that come in turn were in the same tables; the best are the same whatever the order and however few at a time."""
+    rng = random.Random(6)
+    words = [[f"{x}{n}" for n in range(60)] for x in "ab"]
+    texts = [Counter(rng.choices(words[n % 2], [1 / (k + 1) for k in range(60)], k=rng.randrange(5, 40))) for n in range(300)]
+    df = Counter(t for c in texts for t in c)
+    idf = {t: math.log(1 + (300 - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    rows = pa.table({"query_id": [q for q in range(120) for _ in texts[q]], "term": [t for q in range(120) for t in texts[q]], "idf": [idf[t] for q in range(120) for t in texts[q]]})
+    average = sum(c.total() for c in texts) / 300
+    batch = pa.record_batch([pa.array(range(300)), pa.array([c.total() for c in texts]), pa.array([[{"term": t, "tf": n} for t, n in c.items()] for c in texts], pa.list_(pa.struct({"term": pa.string(), "tf": pa.int32()})))], ["id", "length", "counts"])
+    want = set()
+    for q in range(120):
+        scored = [(-round(sum(idf[t] * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * c.total() / average)) for t in texts[q].keys() & c.keys()), 6), d) for d, c in enumerate(texts)]
+        want |= {(q, d, -s) for s, d in sorted(x for x in scored if x[0])[:7]}
+
+    class Sent:
+        value = None
+
+    for kinds, questions, slice_docs, postings in ((16, 512, 1024, 1 << 22), (2, 60, 50, 700), (1, 7, 33, 1)):
+        for name, n in (("KINDS", kinds), ("QUESTIONS", questions), ("SLICE_DOCS", slice_docs), ("POSTINGS", postings)):
+            monkeypatch.setattr(R, name, n)
+        Sent.value = R._sent(rows)
+        found = [tuple(r.values()) for b in R._point_scores(Sent, 7, average)(iter([batch.slice(0, 1), batch.slice(1, 0), batch.slice(1)])) for r in b.to_pylist()]
+        assert {(q, d, round(s, 6)) for q, d, s in found} == want and len(found) == len(want)
+        if kinds == 2:
+            (names, *_), *_ = Sent.value
+            assert [len({q % 2 for q in names.to_pylist()[a : a + 60]}) for a in (0, 60)] == [1, 1]
