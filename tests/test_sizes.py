@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
+from quirework.functions.text import search_terms
 from quirework.operators import callsites as K
 from quirework.operators import documents as D
 from quirework.operators import index as X
@@ -205,3 +206,24 @@ def test_questions_and_documents_of_a_kind_are_scored_together(monkeypatch):
         if kinds == 2:
             (names, *_), *_ = Sent.value
             assert [len({q % 2 for q in names.to_pylist()[a : a + 60]}) for a in (0, 60)] == [1, 1]
+
+
+def test_distinct_words_are_looked_up_once_and_give_the_terms_of_the_column(spark, monkeypatch):
+    """Each word of a text was taken apart in the JVM, however often it stands there."""
+    rng = random.Random(9)
+    letters = ["a", "B", "é", "Σ", "İ", "ß", "ǅ", "Ⅳ", "٣", "7", "𐐡", "𐑉", "中", "-", ".", "_", "/", "z"]
+    words = ["The", "HTTPServer", "fooBar.baz_QUX", "x", "a.b", "x" * 65, "İstanbul", "ΟΔΟΣ"] + ["".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(3000)]
+    texts = [(n, " ".join(rng.choices(words, k=rng.randrange(60)))) for n in range(300)] + [(300, None), (301, ""), (302, "?!"), (303, "the " * 50)]
+    docs = spark.createDataFrame([("s", n, t) for n, t in texts], "scope string, id int, text string").repartition(3)
+    want = {r.id: (r.length, {c.term: c.tf for c in r.counts}) for r in X.counted(docs.select("scope", "id", search_terms(docs.text).alias("terms"))).collect()}
+    asked = []
+    real = X.terms_of_word
+    monkeypatch.setattr(X, "terms_of_word", lambda w: asked.append(w) or real(w))
+    got = {r.id: (r.length, {c.term: c.tf for c in r.counts}) for r in X.counted_texts(docs).collect()}
+    assert got == want and len(want) == 304
+    for most in (1 << 20, 4):
+        monkeypatch.setattr(X, "COUNT_TERMS", most)
+        (told,) = X._word_counts([pa.array([["ab", "The", "fooBar", "ab"], [], None, ["ab"], ["the"]], pa.list_(pa.string()))])
+        assert told.to_pylist()[0] == {"length": 5, "counts": [{"term": t, "tf": n} for t, n in (("ab", 2), ("foobar", 1), ("foo", 1), ("bar", 1))]}
+        assert [t["length"] for t in told.to_pylist()[1:]] == [0, 0, 1, 0]
+        assert most == 4 or sorted(asked) == ["The", "ab", "fooBar", "the"]
