@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quirework.functions.text import search_terms
 from quirework.operators import callsites as K
@@ -227,3 +228,28 @@ def test_distinct_words_are_looked_up_once_and_give_the_terms_of_the_column(spar
         assert told.to_pylist()[0] == {"length": 5, "counts": [{"term": t, "tf": n} for t, n in (("ab", 2), ("foobar", 1), ("foo", 1), ("bar", 1))]}
         assert [t["length"] for t in told.to_pylist()[1:]] == [0, 0, 1, 0]
         assert most == 4 or sorted(asked) == ["The", "ab", "fooBar", "the"]
+
+
+def test_a_search_over_all_scopes_needs_no_postings(spark, tmp_path):
+    """The postings of all points were written, shuffled and sorted to count in how many points a term is."""
+    kind, root, whole = "scope string, id int, text string", str(tmp_path / "bare"), str(tmp_path / "whole")
+    steps = [[("s", 1, "aa bb"), ("t", 2, "bb cc cc")], [("s", 3, None), ("s", 4, "?")], [("s", 1, "cc"), ("t", 5, "aa cc")]]
+    questions = spark.createDataFrame([(1, "aa cc"), (2, "bb"), (3, "zz")], "query_id int, text string")
+
+    def hits(at: str, **how) -> list:
+        return sorted((r.query_id, r.id, r.score, r["rank"]) for r in R.bm25(X.opened(spark, at), questions, **how).collect())
+
+    for n, rows in enumerate(steps):
+        X.upsert(spark, whole, spark.createDataFrame(rows, kind))
+        X.upsert(spark, root, spark.createDataFrame(rows, kind), postings=n == 1)
+        assert hits(root, pooled=True) == hits(whole, pooled=True) != []
+    assert "postings" not in {p.name.split("-")[0] for p in (tmp_path / "bare" / "data").iterdir() if any(f.suffix == ".parquet" for f in p.rglob("*"))}
+    with pytest.raises(ValueError, match="postings"):
+        R.bm25(X.opened(spark, root), questions)
+    done = X.completed(spark, root)
+    assert X.completed(spark, root).version == done.version  # nothing left to do
+    assert hits(root) == hits(whole) != [] and hits(root, pooled=True) == hits(whole, pooled=True)
+    X.upsert(spark, root, spark.createDataFrame([("t", 6, "bb")], kind), postings=False)
+    X.upsert(spark, whole, spark.createDataFrame([("t", 6, "bb")], kind))
+    X.merge(spark, root)
+    assert hits(root) == hits(whole) and hits(root, pooled=True) == hits(whole, pooled=True)
