@@ -253,3 +253,19 @@ def test_a_search_over_all_scopes_needs_no_postings(spark, tmp_path):
     X.upsert(spark, whole, spark.createDataFrame([("t", 6, "bb")], kind))
     X.merge(spark, root)
     assert hits(root) == hits(whole) and hits(root, pooled=True) == hits(whole, pooled=True)
+
+
+def test_hits_are_shuffled_by_as_many_tasks_as_cores(spark, tmp_path, monkeypatch):
+    """Each file's task shuffled its k best of each question, which grew with the square of the input."""
+    root = str(tmp_path / "index")
+    monkeypatch.setattr(X, "FILE_POINTS", 10)
+    monkeypatch.setattr(R, "TASKS", 1)
+    X.upsert(spark, root, spark.range(400).selectExpr("'s' AS scope", "id", "concat('aa w', id % 40) AS text").repartition(8))
+    seen = []
+    monkeypatch.setattr(R, "top_k", lambda hits, by, k: seen.append(hits) or hits)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        R.bm25(X.opened(spark, root), spark.createDataFrame([(1, "aa")], "query_id int, text string"), 5, pooled=True)
+        assert seen[0].rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
